@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeloom.llm import bpe, decontaminate, exact_dedup, line_dedup
+from changeloom.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, simhash, toxicity
 from changeloom.llm.common import table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -13,6 +13,18 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"))
 
@@ -26,7 +38,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op5_bpe, op6_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_quality, op4_toxicity, op5_bpe, op6_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -37,8 +49,8 @@ b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
 win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS s
         FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
-hit AS (SELECT at.doc_id, at.i, at.n, win.item_id FROM at JOIN win USING (n, s)),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hit AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM grams g JOIN win USING (n, s)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hit GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
