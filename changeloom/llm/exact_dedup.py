@@ -50,7 +50,9 @@ class DigestIndex:
         An append is one write of a table: if the job is lost, none of it is seen and it can be run again.
         """
         groups = digests(docs, doc_id, text).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        new = groups.join(self.rows().hint("merge"), "digest", "left_anti")
+        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
+        # the second condition keeps the join above the sum: rows of a text are counted before they are shuffled
+        new = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti")
         self._write(new.select("digest", "keep_id", "group_size"), "append")
 
     def decide(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
