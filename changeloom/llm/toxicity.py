@@ -11,6 +11,7 @@ share of label 1, or 0.5; rows that repeat an id are scored each; further column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import map_text, pick
+from changeloom.llm.common import cut, map_text, pick
 from changeloom.llm.decontaminate import words_of
 from changeloom.llm.labelled import held_out, sample
 
@@ -32,7 +33,7 @@ EPOCHS, STEP_ROWS, RATE, DECAY = 20, 128, 0.05, 1e-5
 SCALE = 100.0
 
 #: A bucket gets a vector if so many texts have it and its two shares differ by so many standard errors.
-LEAST_TEXTS, LEAST_Z = 5, 5.0
+LEAST_TEXTS, LEAST_Z, MOST_CHOSEN = 5, 5.0, 4096
 
 #: A worker keeps the numbers of so many words.
 CACHE = 200_000
@@ -89,22 +90,21 @@ class Model:
         return np.add.reduceat(self.value[at], starts) / np.diff(np.append(starts, len(at)))
 
 
-def chosen(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
-    """The buckets whose share of texts of label 1 and of label 0 differ by more than chance: |z| of the two shares."""
-    have = [np.bincount(np.concatenate([r[0] for r, v in zip(rows, y, strict=True) if v == k]), minlength=BUCKETS) for k in (0, 1)]
-    n = [max(1, int((y == k).sum())) for k in (0, 1)]
-    share = (have[0] + have[1]) / (n[0] + n[1])
-    spread = np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    z = np.abs(have[1] / n[1] - have[0] / n[0]) / np.maximum(spread, 1e-12)
-    return np.flatnonzero((z >= LEAST_Z) & (have[0] + have[1] >= LEAST_TEXTS))
+def telling(have: tuple[np.ndarray, np.ndarray], n: tuple[float, float]) -> np.ndarray:
+    """The buckets whose share of the n texts of label 0 and of label 1 differ by more than chance, the most telling
+    MOST_CHOSEN of them. have: how many texts of each label have the bucket."""
+    share = (have[0] + have[1]) / max(1, n[0] + n[1])
+    spread = np.sqrt(share * (1 - share) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
+    z = np.abs(have[1] / max(1, n[1]) - have[0] / max(1, n[0])) / np.maximum(spread, 1e-12)
+    z[have[0] + have[1] < LEAST_TEXTS] = 0
+    return np.sort(np.argsort(-z, kind="stable")[: min(MOST_CHOSEN, int((z >= LEAST_Z).sum()))])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float) -> Model:
-    """rows: buckets and weights; prior: log odds of label 1 among all labelled rows. Buckets that tell nothing of the
-    label keep the zero vector, so that words of no known kind add nothing."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, kept: np.ndarray, prior: float) -> Model:
+    """rows: buckets and weights; kept: the buckets that get a vector; prior: log odds of label 1 among all labelled
+    rows. Buckets that tell nothing of the label keep the zero vector, so that words of no known kind add nothing."""
     if len(set(y.tolist())) < 2:
         return Model(prior, np.zeros(BUCKETS, np.float32))
-    kept = chosen(rows, y)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     rows = [(place[a[k]], w[k]) for a, w in rows if (k := place[a] >= 0) is not None]
@@ -138,7 +138,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Of each sampled row the driver gets its bag, at most BUCKETS numbers."""
+    """Buckets are counted in Spark; of each sampled row the driver gets its weights of the telling buckets alone."""
     rows, (none, some) = sample(docs, labels, label, most, doc_id, text)
 
     def make():
@@ -149,10 +149,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return bags
 
     fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))]
-    got = map_text(rows, text, make, fields, drop=True).select(doc_id, "y", "at", "weight").toPandas().sort_values(doc_id, kind="stable")
+    bags_of = cut(map_text(rows, text, make, fields, drop=True).select(doc_id, "y", "at", "weight"))
+    counts = bags_of.select("y", F.explode("at").alias("at")).groupBy("at").agg(F.sum(1 - F.col("y")).alias("none"), F.sum("y").alias("some")).toPandas()
+    have = np.zeros((2, BUCKETS))
+    have[:, counts["at"].to_numpy(int)] = counts[["none", "some"]].to_numpy(float).T
+    taken = [min(most, x) for x in (none, some)]
+    kept = telling(have, taken)
+    shared = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(BUCKETS), kept))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [(np.asarray(x, np.int64), np.asarray(w)) for x, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            both = [(x[shared.value[x]], w[shared.value[x]]) for x, w in both]
+            made = [pa.array([x.astype(np.int32) for x, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=b.schema.names)
+
+    got = bags_of.mapInArrow(thin, bags_of.schema).toPandas().sort_values(doc_id, kind="stable")
     bags = [(np.asarray(a, np.int64), np.asarray(w, np.float64)) for a, w in zip(got["at"], got["weight"], strict=True)]
     share = np.clip(some / (none + some), 0.01, 0.99) if none + some else 0.5
-    return fit(bags, got["y"].to_numpy(np.int64), float(np.log(share / (1 - share))))
+    return fit(bags, got["y"].to_numpy(np.int64), kept, float(np.log(share / (1 - share))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
