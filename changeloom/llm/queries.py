@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeloom.llm import bpe, decontaminate, exact_dedup, line_dedup, page_text, quality, simhash, substring_dedup, toxicity
+from changeloom.llm import bpe, decontaminate, exact_dedup, line_dedup, mixing_lm, page_text, quality, simhash, substring_dedup, toxicity
 from changeloom.llm.common import table
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -33,6 +33,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing_lm(spark, sf_dir):
+    return mixing_lm.report(table(spark, sf_dir, "documents"))
+
+
 def op8_page_text(spark, sf_dir):
     return page_text.main_text(table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_quality, op4_toxicity, op5_bpe, op6_exact_dedup, op8_page_text, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_quality, op4_toxicity, op5_bpe, op6_exact_dedup, op7_mixing_lm, op8_page_text, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
