@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from changeloom.queries import QUERIES, SQL, activity, decisions, graphs, paths, rows, texts  # noqa: F401
+
 FLAGSHIP = "halflife_activity_customer"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
