@@ -153,7 +153,7 @@ def confusion_pivot(spark, sf):
 
 
 @query(f"""WITH {_EVAL}, y AS (SELECT "case", list_position(['none', 'skim', 'human'], bucket) AS g, list_position(['none', 'skim', 'human'], label) AS s FROM x)
-SELECT "case", count(*) AS units, count(*) FILTER (g = s) AS exact, count(*) FILTER (s = 3 AND g = 1) AS misses, count(*) FILTER (g < s) AS under, count(*) FILTER (g > s) AS over FROM y GROUP BY "case"""")
+SELECT "case", count(*) AS units, count(*) FILTER (g = s) AS exact, count(*) FILTER (s = 3 AND g = 1) AS misses, count(*) FILTER (g < s) AS under, count(*) FILTER (g > s) AS over FROM y GROUP BY "case" """)
 def eval_rates(spark, sf):
     return evaluation.rates(_labelled(spark, sf), ["case"])
 
