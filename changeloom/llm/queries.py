@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from changeloom.llm import bpe, decontaminate, exact_dedup, line_dedup, mixing_lm, page_text, quality, simhash, substring_dedup, toxicity
 from changeloom.llm.common import table
 
@@ -49,8 +50,12 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_simhash, op3_quality, op4_toxicity, op5_bpe, op6_exact_dedup, op7_mixing_lm, op8_page_text, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (pipeline, op1_decontaminate, op2_simhash, op3_quality, op4_toxicity, op5_bpe, op6_exact_dedup, op7_mixing_lm, op8_page_text, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
