@@ -25,7 +25,7 @@ def rank_of(bucket: Column) -> Column:
 
 
 def name_of(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, _NAMES)), rank + 1)
+    return F.when(rank.isNotNull(), F.element_at(F.array(*map(F.lit, _NAMES)), rank + 1))
 
 
 def lookup(table: dict[str, float], key: Column, default: float) -> Column:

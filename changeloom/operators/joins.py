@@ -78,6 +78,8 @@ def match_rules(subjects: DataFrame, rules: list[dict], path: str = "path") -> D
                 out = out & F.col(column).isin(want)
         return out
 
+    if not rules:
+        return subjects.filter(F.lit(False)).select("*", F.lit("").alias("rule_id"), F.lit(0).alias("rule_score"), F.lit(None).cast("int").alias("rule_cap"), F.lit(0).alias("rule_floor"))
     made = [F.when(holds(r), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["score"]).alias("rule_score"), F.lit(r.get("cap")).cast("int").alias("rule_cap"), F.lit(r.get("floor", 0)).alias("rule_floor"))) for r in rules]
     return subjects.withColumn("_rule", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull()))).select(*subjects.columns, "_rule.*")
 
