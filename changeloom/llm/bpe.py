@@ -15,6 +15,7 @@ import hashlib
 import heapq
 from functools import cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -96,7 +97,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = RA
 
     def make():
         own = codec(path, pattern)
-        return lambda texts: [pa.array([own.encode((t or b"").decode()) for t in texts], pa.list_(pa.int32()))]
+        return lambda texts: [pa.array([np.array(own.encode((t or b"").decode()), np.int32) for t in texts], pa.list_(pa.int32()))]
 
     return map_text(docs, text, make, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
@@ -109,7 +110,8 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str =
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            made = pa.array([own.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())
+            flat, ends = batch.column(at).values.to_numpy(zero_copy_only=False), batch.column(at).offsets.to_numpy()
+            made = pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
 
     return docs.mapInArrow(run, schema)

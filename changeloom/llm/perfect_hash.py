@@ -43,9 +43,10 @@ def build(number: int, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> Shar
         sizes.append(size)
         rest = ~alone[at.astype(np.int64)]
         left_a, left_b = left_a[rest], left_b[rest]
-    made = Shard(number, np.array(sizes, np.int64), np.concatenate([*words, np.empty(0, U)]), np.zeros(len(a), U), np.zeros(len(a), np.uint32))
+    made = Shard(0, np.array(sizes, np.int64), np.concatenate([*words, np.empty(0, U)]), np.zeros(len(a), U), np.zeros(len(a), np.uint32))
     place = Index([made], 0).place(a, b)
     made.prints[place], made.counts[place] = b, np.minimum(counts, 0xFFFFFFFF)
+    made.number = number
     return made
 
 

@@ -72,7 +72,7 @@ def test_decontaminate(spark, docs, odd):
     want = by_sql(spark, docs, "op1_decontaminate", benchmark=items)
     assert any(r[-1] for r in want) and not all(r[-1] for r in want)
     same(decontaminate.report(docs, items), want, columns)
-    same(decontaminate.report(docs, items, limit=7), want, columns)
+    same(decontaminate.report(docs, items, limit=12), want, columns)
     assert decontaminate.report(odd, items).count() == odd.count()
     assert decontaminate.report(odd, items.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.report(docs.limit(0), items).count() == 0
