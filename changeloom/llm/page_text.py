@@ -3,7 +3,7 @@
 A page is parsed into lines, one a block. Lines in navigation, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments go, by the names of their elements, classes, ids and roles. Where a page marks its
 main part (an article or main element), the lines of that part are its text. A page that marks none is aligned with
-its neighbour in the order of host and URL path by a longest common subsequence of lines, and the shared lines go.
+its neighbour of the host with the nearest URL path by a longest common subsequence of lines, and the shared lines go.
 
 Lines of a marked article are not deleted for being shared: pages of a host share licences, quotations and whole
 copies of articles, which belong to their text.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -183,14 +184,21 @@ def _map(df: DataFrame, html: int, schema: str, f) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def nearest(own: tuple[str, str, int], before: tuple | None, after: tuple | None) -> tuple[int, int] | None:
+    """(row, near): of a page's neighbours of the same host the one whose path begins alike the longest, or the first."""
+    near = [x for x in (before, after) if x and x[0] == own[0]]
+    alike = lambda x: len(commonprefix([own[1], x[1]]))
+    return (own[2], max(near, key=alike)[2]) if near else None
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(row, near) for pages(row, host, path): the page before in the order of host, path, row, or else the one after.
+    """(row, near) for pages(row, host, path): the page before or after it in the order of host, path, row.
 
     The order is made by a range shuffle, so that a host of any size is dealt to many tasks. The first and last page of
     each task are gathered to link tasks: two rows a task.
     """
     ordered = cut(pages.select("host", "path", "row").repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row"))
-    task = F.spark_partition_id()
+    numbered = ordered.select(F.spark_partition_id().alias("task"), "host", "path", "row")
 
     def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
@@ -199,32 +207,32 @@ def neighbours(pages: DataFrame) -> DataFrame:
                 first = first or b.slice(0, 1)
                 last = b.slice(b.num_rows - 1, 1)
         if first is not None:
-            yield pa.RecordBatch.from_arrays([*first.columns, last.column(1), last.column(2)], names=["task", "host", "row", "last_host", "last_row"])
+            yield first
+            yield last
 
-    ends = ordered.select(task.alias("task"), "host", "row").mapInArrow(edge, "task int, host string, row bigint, last_host string, last_row bigint").orderBy("task").collect()
-    before = {x["task"]: (y["last_host"], y["last_row"]) for y, x in zip(ends, ends[1:], strict=False)}
-    after = {x["task"]: (y["host"], y["row"]) for x, y in zip(ends, ends[1:], strict=False)}
+    ends: dict[int, list[tuple]] = {}
+    for r in numbered.mapInArrow(edge, numbered.schema).collect():
+        ends.setdefault(r["task"], []).append((r["host"], r["path"], r["row"]))
+    order = sorted(ends)
+    before = {y: max(ends[x]) for x, y in zip(order, order[1:], strict=False)}
+    after = {x: min(ends[y]) for x, y in zip(order, order[1:], strict=False)}
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting, number = None, None, None
+        last = own = number = None
         for b in batches:
             out = []
-            for number, host, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen = seen or before.get(number)
-                if waiting:
-                    out.append((waiting[1], row if waiting[0] == host else None))
-                    waiting = None
-                if seen and seen[0] == host:
-                    out.append((row, seen[1]))
+            for number, *page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if own is None:
+                    last = before.get(number)
                 else:
-                    waiting = (host, row)
-                seen = (host, row)
-            yield _pairs(out)
-        if waiting:
-            near = after.get(number)
-            yield _pairs([(waiting[1], near[1] if near and near[0] == waiting[0] else None)])
-
-    return ordered.select(task.alias("task"), "host", "row").mapInArrow(link, "row bigint, near bigint").filter("near is not null")
+                    out.append(nearest(own, last, tuple(page)))
+                    last = own
+                own = tuple(page)
+            yield _pairs([x for x in out if x])
+        if own is not None and (x := nearest(own, last, after.get(number))):
+            yield _pairs([x])
+
+    return numbered.mapInArrow(link, "row bigint, near bigint")
 
 
 def _pairs(rows: list) -> pa.RecordBatch:
