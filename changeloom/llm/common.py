@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: A batch that goes to Python holds at most so many rows or bytes, so that long texts don't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
+#: Functions of single texts get so many bytes at a time: their words as Python objects take ten times as much.
+PART_BYTES = 2 << 20
+
 #: A key with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of those.
 HOT_SHARE = 200
 
@@ -43,11 +46,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch with at most BATCH_BYTES of text, or one row."""
+def slices(batch: pa.RecordBatch, at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with at most so many bytes of text, or one row."""
     start, size = 0, 0
     for i, n in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
-        if size + (n or 0) > BATCH_BYTES and i > start:
+        if size + (n or 0) > most and i > start:
             yield batch.slice(start, i - start)
             start, size = i, 0
         size += n or 0
@@ -72,7 +75,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for whole in batches:
-            for batch in slices(whole, at):
+            for batch in slices(whole, at, PART_BYTES):
                 made = f(batch.column(at).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, names=names)
 
