@@ -34,6 +34,9 @@ DEPTHS, COUNTERS = (2, 5), 1 << 16
 #: A group is planned for so many suffixes, about 24 bytes each with what sorting takes.
 GROUP = 4_000_000
 
+#: Bytes of text whose suffixes are settled and sent together.
+SENT = 8 << 20
+
 #: Bytes of text that are hashed at once.
 PART = 1 << 20
 
@@ -82,10 +85,12 @@ def suffixes(texts: list[bytes | None], window: int = WINDOW) -> tuple[np.ndarra
         total = total * U(_BASE) + words[k : k + len(total)]
         if k + 1 in DEPTHS or k + 1 == window:
             found.append(total.copy())
-    text = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    text = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    place = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     full = np.flatnonzero(place + window <= n[text]) if len(text) else np.empty(0, np.int64)
-    return text[full], place[full], [_mixed(x[full]) for x in found]
+    for k, x in enumerate(found):
+        found[k] = _mixed(x[full])
+    return text[full], place[full], found
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -195,7 +200,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SENT):
                 id_of = batch.column(0).fill_null(_NO_ID).to_numpy()
                 row_of = batch.column(2).to_numpy()
                 number, place, found = suffixes(batch.column(1).cast(pa.binary()).to_pylist(), window)
@@ -209,7 +214,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for a, b in _runs(to):
                     own = sent[a:b]
                     texts, which = np.unique(number[own], return_inverse=True)
-                    data = pack(_steps(found[-1][own]).view(np.int64), which << 32 | place[own]), pack(_steps(id_of[texts]), row_of[texts])
+                    data = pack(_steps(found[-1][own]).view(np.int64), which.astype(np.int64) << 32 | place[own]), pack(_steps(id_of[texts]), row_of[texts])
                     out.append((int(keys[to[a]]), 0, len(data[0]).to_bytes(8, "little") + data[0] + data[1]))
                 yield _rows(out)
 
