@@ -44,15 +44,23 @@ FIVES = list(combinations(range(8), 5))
 DIFFERENCES = np.array([sum(1 << b for b in c) for k in range(1, BITS + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """A hash of each shingle of so many words, in order; fewer words are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - size + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     hash_of = xxhash.xxh64_intdigest
-    h = np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[len(words) - n :].tolist(), strict=True)], np.uint64)
+    return np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts, ends[len(words) - n :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    h = shingles(text, size)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         part = h[i : i + (1 << 16)]
