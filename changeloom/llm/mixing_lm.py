@@ -6,8 +6,8 @@ bytes, the word so far) at this node of the tree. Their log odds are added with
 a table of the last byte and the odds so far, and the weights move with the text as it is read. The sum of
 the bits' log probabilities is the text's; the bits a byte are that, divided by its bytes.
 
-Training reads all training texts once in Spark. Each task counts bits into tables of its own; at first on all texts and then on every LEARN-th, it
-predicts the bits from what it has counted so far and moves the weights online. Tables are packed, shuffled by
+Training reads all training texts once in Spark. Each task predicts the bits of every text from what it has counted so far,
+moves the weights online, and counts the bits into tables of its own. Tables are packed, shuffled by
 slice and added; weights are averaged. The tables have a fixed number of slots, which bounds what is broadcast.
 
 The base adds, over words and one end a text, log10((c + 0.1) / (N + 0.1 (V + 1))). Words are known by 64-bit hashes.
@@ -39,10 +39,9 @@ PREDICTORS = len(ORDERS) + 1
 SLOTS = 1 << 22  # of each predictor
 LINE = 64  # slots of a context at a time: what a context's nodes need lies together
 SLICE = 1 << 16  # slots that are added in one place
-FOLDS, LEARN, HOT_WORDS = 10, 32, 1 << 21
+FOLDS, HOT_WORDS = 10, 1 << 21
 HELD_WORDS = 6_000_000  # that a task holds before it counts them
 SEGMENT = 1 << 20  # bytes of a text after which contexts start anew
-WARM = 1_000_000  # bits on which a task learns from every text
 GROUP = 1 << 16  # bytes that are handled as one array
 FIRST_BLOCK = 4096  # bytes of a text after which its weights first move; blocks double
 ODDS, STEP = 7.9, 16  # largest log odds of a predictor, and steps in a unit
@@ -244,20 +243,17 @@ class Learner:
         self.seen = 0.0
 
     def read(self, texts: list[bytes | None]) -> None:
-        for own, learn in ((texts[::LEARN], True), ([t for i, t in enumerate(texts) if i % LEARN], False)):
-            for cat, _, start, end in groups(own):
-                learn = learn or self.seen < WARM
-                hashed = contexts(cat)
-                n = end - start
-                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                b = bits_of(cat, hashed, at, self.model.tree)
-                if learn:
-                    self.move(b)
-                one = (b.sign > 0).astype(np.uint32)
-                for k, slot in enumerate(b.slots):
-                    slot <<= np.uint32(1)
-                    slot |= one
-                    np.add.at(self.counts[k].reshape(-1), slot.astype(np.int64), np.uint32(1))
+        for cat, _, start, end in groups(texts):
+            hashed = contexts(cat)
+            n = end - start
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            b = bits_of(cat, hashed, at, self.model.tree)
+            self.move(b)
+            one = (b.sign > 0).astype(np.uint32)
+            for k, slot in enumerate(b.slots):
+                slot <<= np.uint32(1)
+                slot |= one
+                np.add.at(self.counts[k].reshape(-1), slot.astype(np.int64), np.uint32(1))
 
     def move(self, b: Bits) -> None:
         odds = [odds_of(self.counts[k][s]) for k, s in enumerate(b.slots)]
