@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing, beside a word-count base.
 
 A text is coded as bits: its bytes (A-Z lower-cased) and one end, each by its path in the Huffman tree of what
-follows the byte before. For each bit, several predictors look up how often it was 1 in their hashed context (the last 3 and 6
+follows the byte before. For each bit, several predictors look up how often it was 1 in their hashed context (the last 2, 4 and 6
 bytes, the word so far) at this node of the tree. Their log odds are added with weights gated by the node, refined by
 a table of the last byte and the odds so far, and the weights move with the text as it is read. The sum of
 the bits' log probabilities is the text's; the bits a byte are that, divided by its bytes.
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from changeloom.llm.common import cut, map_text, pick, slices, small_batches
 from changeloom.llm.substring_dedup import word_hashes
 
-ORDERS = (3, 6)
+ORDERS = (2, 4, 6)
 PREDICTORS = len(ORDERS) + 1
 SLOTS = 1 << 22  # of each predictor
 LINE = 64  # slots of a context at a time: what a context's nodes need lies together
@@ -43,7 +43,7 @@ FOLDS, HOT_WORDS = 10, 1 << 21
 HELD_WORDS = 6_000_000  # that a task holds before it counts them
 SEGMENT = 1 << 20  # bytes of a text after which contexts start anew
 GROUP = 1 << 16  # bytes that are handled as one array
-FIRST_BLOCK = 4096  # bytes of a text after which its weights first move; blocks double
+FIRST_BLOCK = 128  # bytes of a text after which its weights first move; blocks double
 ODDS, STEP = 7.9, 16  # largest log odds of a predictor, and steps in a unit
 RATE = 0.1  # of a text's weights
 BUCKETS = 24  # of log odds in the refining table

@@ -11,3 +11,20 @@ def test_weights_learn_from_every_text():
     learner.seen = 1e9
     learner.read([b"abab", b"aab", b"b"] * 50)
     assert learner.refining[0].sum() == learner.counts[0].sum() > 0
+
+
+def test_weights_move_within_an_ordinary_text():
+    counts = np.zeros((256, 257), np.int64)
+    counts[97, [97, 98, 256]] = 50, 30, 10
+    learner = mixing_lm.Learner(mixing_lm.code(counts))
+    learner.read([b"abab", b"aab", b"b"] * 200)
+    model = learner.model
+    model.odds = np.stack([np.round(mixing_lm.odds_of(c) * mixing_lm.STEP).astype(np.int8) for c in learner.counts])
+    text, rate = b"abba" * 75, mixing_lm.RATE
+    online = mixing_lm.log_probabilities(model, [text])
+    try:
+        mixing_lm.RATE = 0.0
+        still = mixing_lm.log_probabilities(model, [text])
+    finally:
+        mixing_lm.RATE = rate
+    assert online != still
