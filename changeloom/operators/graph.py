@@ -104,19 +104,20 @@ def dependents(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int
     return met.groupBy("sid").agg(F.countDistinct("node").alias("syms"), F.countDistinct("file").alias("files"), F.array_sort(F.collect_set("repo")).alias("repos"))
 
 
-def direct_callers(edges: DataFrame, transparent: DataFrame, most: int = 8) -> DataFrame:
-    """(node, caller): who calls a node, seen through transparent nodes(node), which stand for their own callers."""
+def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:
+    """(node, caller): who calls a node, seen through transparent nodes(node), which stand for their own callers, in
+    chains of any length: a round sees one further, and ends when no pair is new."""
     clear = transparent.select("node").distinct()
     edge = edges.select(F.col("dst").alias("node"), F.col("src").alias("caller")).distinct()
     real, through = edge.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti"), edge.join(clear.withColumnRenamed("node", "caller"), "caller", "left_semi")
     seen = through
-    for _ in range(most):
+    while True:
         next_ = through.select("node", F.col("caller").alias("_via")).join(edge.select(F.col("node").alias("_via"), "caller"), "_via").select("node", "caller").distinct()
-        real = real.unionByName(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti"))
+        real = _cut(real.unionByName(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti")).distinct())
         through = _cut(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_semi").join(seen, ["node", "caller"], "left_anti"))
         if through.isEmpty():
             break
-        seen = seen.unionByName(through)
+        seen = _cut(seen.unionByName(through))
     return real.select("node", "caller").distinct()
 
 
