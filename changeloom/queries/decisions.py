@@ -124,9 +124,15 @@ SELECT id, row_number() OVER (ORDER BY list_position(['none', 'skim', 'human'],
 QUALIFY place <= 100""")
 def bucket_order(spark, sf):
     """A report of the first hundred units under the balanced budget."""
+    return bucket_order_all(spark, sf).filter("place <= 100")
+
+
+@query(f"""WITH {_UNITS}
+SELECT id, row_number() OVER (ORDER BY list_position(['none', 'skim', 'human'], bucket) DESC, total DESC, coalesce(impact, 50) * likelihood DESC, id) AS place FROM placed WHERE budget = 'balanced'""")
+def bucket_order_all(spark, sf):
+    """The place of every unit under the balanced budget."""
     rows = _placed(spark, sf).filter("budget = 'balanced'")
-    best = rows.orderBy(*decisions.bucket_order(rows, "id")).limit(100).select(F.collect_list("id").alias("ids"))
-    return best.select(F.posexplode("ids").alias("_p", "id")).select("id", (F.col("_p") + 1).cast("bigint").alias("place"))
+    return decisions.places(rows, decisions.bucket_order(rows, "id")).select("id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""WITH x AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN 75 WHEN 'A' THEN 45 ELSE 15 END AS w FROM lineitem)
