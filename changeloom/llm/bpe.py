@@ -5,7 +5,8 @@ kind. A part that has no such place is split by the pattern itself, and its long
 in the order of the library, in n log n steps.
 
 Cases: a null or empty text has no ids, and no ids decode to no bytes; ids are decoded to raw bytes, so any list of
-ids can be decoded even where it isn't UTF-8; special tokens don't exist; further columns stay as they are.
+ids can be decoded even where it isn't UTF-8; special tokens don't exist; further columns stay as they are, but for those
+with the name of a result, which are replaced; rows that repeat stay rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from changeloom.llm.common import map_text, pick
+from changeloom.llm.common import map_text, once, pick
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -87,9 +87,8 @@ class Codec:
         return self.library.decode_bytes(ids)
 
 
-@cache
 def codec(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Codec:
-    return Codec(path, pattern)
+    return once(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +34,47 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master, whose executors are the driver, gets one of its own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and writes it to the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def held(df: DataFrame, *out: str) -> DataFrame:
+    """The named columns, and all others in one struct, so that no column of an operator can clash with them."""
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    at = [df.columns.index(n) for n in out]
+    rest = [c for i, c in enumerate(flat.columns) if i not in at]
+    return flat.select(F.struct(*rest, F.lit(0).alias("none")).alias("held"), *[F.col(f"_{i}").alias(n) for i, n in zip(at, out, strict=True)])
+
+
+def freed(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """What ``held`` put away, in the order of ``columns``; ``made`` has the columns that were named there."""
+    firsts = {n: columns.index(n) for n in made}
+    return df.select(*[(made[c] if firsts.get(c) == i else F.col(f"held._{i}")).alias(c) for i, c in enumerate(columns)])
+
+
+_once: dict = {}
+
+
+def once(key: object, build: Callable[[], object]) -> object:
+    """What build() makes, kept in the worker until another key is asked for: a worker holds one large thing."""
+    if key not in _once:
+        _once.clear()
+        _once[key] = build()
+    return _once[key]
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -78,6 +112,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes |
             for batch in slices(whole, at, PART_BYTES):
                 made = f(batch.column(at).cast(pa.binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

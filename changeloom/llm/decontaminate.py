@@ -6,7 +6,8 @@ back to words and to character offsets of the original text.
 
 Cases: null or empty texts have no words and no hits; items without words have no window; an item shorter than the
 window is one window; items that repeat an id count once, an item with a null id marks words but isn't named; windows
-that several items share count for each; further columns are ignored; empty tables give no hits or no rows.
+that several items share count for each; further columns stay, but for those with the name of a result, which are
+replaced; rows that repeat are marked alike; a very long text is scanned whole; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import cut, map_text, pick
+from changeloom.llm.common import cut, held, map_text, once, pick, slices
 
 #: So many windows make one automaton (about 100 bytes a character of a window at most). A larger benchmark takes
 #: several automata, each with its own pass over the texts, so that neither driver nor workers hold more than one.
@@ -37,10 +38,8 @@ FIELDS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("hit_words", T.ArrayType(T.IntegerType())),
     T.StructField("item_ids", T.ArrayType(T.StringType())),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
 ]
-
-_automata: dict = {}
+SPANS = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -91,10 +90,11 @@ def scan(text: bytes | None, found: ahocorasick.Automaton | None) -> tuple[int,
 
 
 def spans_of(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
-    """Runs of hit words as character offsets of the text as it came."""
+    """Runs of hit words (hit: their sorted positions) as character offsets of the text as it came."""
     at = [m.span() for m in WORD.finditer(text.decode())]
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    first = np.concatenate(([True], np.diff(hit) > 1))
+    last = np.concatenate((first[1:], [True]))
+    return [{"start": at[a][0], "end": at[b][1]} for a, b in zip(hit[first], hit[last], strict=True)]
 
 
 def _pass(docs: DataFrame, text: str, windows: list[tuple[str, int, list[str]]]) -> DataFrame:
@@ -102,50 +102,70 @@ def _pass(docs: DataFrame, text: str, windows: list[tuple[str, int, list[str]]])
     shared, key = docs.sparkSession.sparkContext.broadcast(windows), uuid4().hex
 
     def make():
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(shared.value) if shared.value else None
-        found = _automata[key]
+        found = once(key, lambda: automaton(shared.value) if shared.value else None)
 
         def mark(texts: list[bytes | None]) -> list[pa.Array]:
-            n, hits, ids, spans = [], [], [], []
+            n, hits, ids = [], [], []
             for t in texts:
                 k, hit, items = scan(t, found)
                 n.append(k)
                 hits.append([] if hit is None else np.flatnonzero(hit).astype(np.int32))
                 ids.append(sorted(items))
-                spans.append([] if hit is None else spans_of(t, hit))
-            return [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            return [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))]
 
         return mark
 
     return map_text(docs, text, make, FIELDS)
 
 
+def with_spans(docs: DataFrame, text: str) -> DataFrame:
+    """docs(text, hit_words) with the runs of hit words as passages of the text."""
+    at, hits = docs.columns.index(text), docs.columns.index("hit_words")
+    schema = T.StructType([*docs.schema.fields, SPANS])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at):
+                made = [spans_of(t, np.array(h)) if h else [] for t, h in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(hits).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, limit: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs(held, text) with the number of words, the positions of hit words and their items, from one pass a block."""
+    out = None
+    for windows in blocks(items, item_id, item_text, size, limit):
+        if out is None:
+            out = _pass(docs, text, windows)
+            continue
+        before = F.struct("held", F.col("hit_words").alias("words"), F.col("item_ids").alias("items")).alias("held")
+        both = _pass(cut(out.select(before, text)), text, windows)
+        out = both.select(
+            F.col("held.held").alias("held"),
+            text,
+            "n_words",
+            F.array_sort(F.array_union("held.words", "hit_words")).alias("hit_words"),
+            F.array_sort(F.array_union("held.items", "item_ids")).alias("item_ids"),
+        )
+    return out if out is not None else _pass(docs, text, [])
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with the number of words, the positions of the hit ones, their items' ids (sorted as strings) and the
     hit passages as character offsets [start, end) of the text. Columns of these names are replaced.
     """
-    marked = None
-    for windows in blocks(items, item_id, item_text, size, limit):
-        if marked is None:
-            marked = _pass(docs, text, windows)
-            continue
-        before = cut(marked.withColumn("_before", F.struct("hit_words", "item_ids", "spans")))
-        both = _pass(before, text, windows)
-        marked = both.select(
-            *[c for c in both.columns if c not in ("hit_words", "item_ids", "spans", "_before")],
-            F.array_sort(F.array_union("_before.hit_words", "hit_words")).alias("hit_words"),
-            F.array_sort(F.array_union("_before.item_ids", "item_ids")).alias("item_ids"),
-            F.concat("_before.spans", "spans").alias("spans"),
-        )
-    return marked if marked is not None else _pass(docs, text, [])
+    found = with_spans(marked(held(docs, text), items, text, item_id, item_text, size, limit), text)
+    new = [f.name for f in [*FIELDS, SPANS]]
+    own = docs.columns.index(text)
+    return found.select(*[(F.col(text) if i == own else F.col(f"held._{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in new], *new)
 
 
 def report(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 10, limit: int = BLOCK_WINDOWS) -> DataFrame:
     """A row a document: words, hit words, items and their digest."""
-    return decontaminate(pick(docs, doc_id, text), items, text, size=size, limit=limit).select(
-        doc_id,
+    return marked(held(pick(docs, doc_id, text), text), items, text, size=size, limit=limit).select(
+        F.col("held._0").alias(doc_id),
         "n_words",
         F.size("hit_words").cast("bigint").alias("n_hit"),
         F.size("item_ids").cast("bigint").alias("n_items"),

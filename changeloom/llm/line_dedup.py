@@ -5,7 +5,8 @@ lower-cased; keys are compared by their 128-bit hash. Documents that have a key
 enough documents are built into shards, one task a shard, and documents probe the shards' arrays. No line is joined.
 
 Cases: a null text is one empty line and stays null; empty keys are never removed; a key that a document repeats counts
-once for it; rows that repeat a doc_id are documents of their own; further columns stay as they are.
+once for it; rows that repeat a doc_id are documents of their own; a very long text is read whole, a line of it may be the
+whole text; further columns stay as they are, but for n_lines and n_dropped, which are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changeloom.llm.common import cut, map_text, pick, slices, small_batches
-from changeloom.llm.perfect_hash import Index, Shard, build
+from changeloom.llm.common import cut, map_text, once, pick, slices, small_batches
+from changeloom.llm.perfect_hash import Index, build
 
 #: Keys in a shard, about.
 SHARD_KEYS = 1 << 17
@@ -31,8 +32,6 @@ SHARD_KEYS = 1 << 17
 #: Shards of so many bytes at most are broadcast at once; if all take more, documents are read in several passes.
 BLOCK_BYTES = 64 << 20
 
-_indexes: dict = {}
-
 
 def hashes(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """The lines of each text, and a row (a, b) for each line's key; empty keys are (0, 0)."""
@@ -78,11 +77,7 @@ def _pass(docs: DataFrame, text: str, held: list[bytes], top: int, min_docs: int
     shared, key = docs.sparkSession.sparkContext.broadcast(held), uuid4().hex
 
     def make():
-        if key not in _indexes:
-            _indexes.clear()
-            found: list[Shard] = [pickle.loads(x) for x in shared.value]
-            _indexes[key] = Index(found, top)
-        index = _indexes[key]
+        index = once(key, lambda: Index([pickle.loads(x) for x in shared.value], top))
 
         def keep(texts: list[bytes | None]) -> list[pa.Array]:
             lines, n, keys = hashes(texts)
