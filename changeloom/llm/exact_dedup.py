@@ -4,19 +4,23 @@ Texts are equal when they are identical after A-Z are lower-cased. Only DataFram
 
 Cases: a null text counts as empty; empty texts are equal to each other; a null doc_id is smaller than any other, and
 a group of null doc_ids only keeps all its rows; rows that repeat a doc_id share its fate; an empty input gives an
-empty result; further columns are ignored.
+empty result; a very long text is one digest like any other; further columns are ignored; a batch that an index has
+already isn't added again.
 """
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm.common import LOWER, UPPER, join_sizes, pick
+from changeloom.llm.common import LOWER, UPPER, cut, join_sizes, pick
 
-SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT"
+SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
+
+#: The report adds its documents in so many batches, dealt by a hash of their ids.
+BATCHES = 2
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -26,10 +30,11 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 class DigestIndex:
-    """A table of the digests seen so far: digest, the id that stays for it, rows seen when it was added.
+    """A table of digests in batches: digest, the largest id and the number of the batch's rows that have it, the batch.
 
-    The table is bucketed and sorted by digest. A batch is joined to it by a sort-merge anti-join for which only the
-    batch is shuffled, and what is new is appended in the same buckets.
+    The table is bucketed and sorted by digest. A batch is joined to it by sort-merge, an anti-join for the digests that
+    are new, for which only the batch is shuffled, and appended in the same buckets: new digests, and what the batch
+    changes for known ones. So the id that stays and the size of a group are right after any number of batches.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
@@ -42,32 +47,51 @@ class DigestIndex:
         df.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode(mode).saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def append(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        """Adds the digests that the index lacks; the largest id of each group of equal texts stays.
-
-        An append is one write of a table: if the job is lost, none of it is seen and it can be run again.
-        """
-        groups = digests(docs, doc_id, text).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        known = self.rows().select(F.col("digest").alias("known")).hint("merge")
-        # the second condition keeps the join above the sum: rows of a text are counted before they are shuffled
-        new = groups.join(known, (F.col("digest") == F.col("known")) & (F.col("group_size") > 0), "left_anti")
-        self._write(new.select("digest", "keep_id", "group_size"), "append")
+        """A row for each digest; the sum needs no shuffle, for the table has a digest in one bucket."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def append(self, docs: DataFrame, batch: str, doc_id: str = "doc_id", text: str = "text") -> None:
+        self.append_digests(digests(docs, doc_id, text), batch)
+
+    def append_digests(self, rows: DataFrame, batch: str) -> None:
+        """Adds rows(doc_id, digest). An append is one write of a table: if the job is lost, none of it is seen and it
+        can be run again; a batch that is there isn't added twice."""
+        table = self.spark.table(self.name)
+        if not table.filter(F.col("batch") == batch).isEmpty():
+            return
+        groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+        known = table.select("digest").hint("merge")
+        new = groups.join(known, "digest", "left_anti")
+        again = groups.join(known, "digest", "left_semi")
+        self._write(new.unionByName(again).withColumn("batch", F.lit(batch)), "append")
 
     def decide(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """A row for each of docs, which the index must hold: which id stays for its text, and whether it is this one."""
-        rows = digests(docs, doc_id, text).withColumn("_spread", F.unhex(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)))
-        met = join_sizes(rows, self.rows(), "digest", "group_size", "_spread")
+        return self.decide_digests(digests(docs, doc_id, text))
+
+    def decide_digests(self, rows: DataFrame) -> DataFrame:
+        """A row for each of rows(doc_id, digest), which the index must hold: which id stays for its text, and whether it is this one."""
+        spread = F.unhex(F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256))
+        met = join_sizes(rows.withColumn("_spread", spread), self.rows(), "digest", "group_size", "_spread")
         return met.select(
             "doc_id", "keep_id", "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def batch_of(batches: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % batches, F.lit(0))
+
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs against themselves, through an index of their own that stays in the warehouse."""
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """docs against themselves, added to an index of their own in batches; the index goes when all is decided."""
+    rows = cut(digests(docs, doc_id, text))
     index = DigestIndex(docs.sparkSession, f"digest_index_{uuid4().hex}")
-    index.append(docs, doc_id, text)
-    return index.decide(docs, doc_id, text)
+    for k in range(batches):
+        index.append_digests(rows.filter(batch_of(batches) == k), f"batch {k}")
+    out = cut(index.decide_digests(rows))
+    index.drop()
+    return out
