@@ -5,13 +5,18 @@ mean, a text's the mean of its words'. Vectors and softmax are trained together
 had still has most of its n-grams in common with the word. For a text everything is linear, so a scorer needs one
 number for each hashed n-gram.
 
-Cases: null and empty texts get the score of a text of no known n-gram; without labels of both kinds the score is the
-share of label 1, or 0.5; rows that repeat an id are scored each; further columns are ignored.
+Every n-gram of the sampled rows has a vector that is trained. A text has thousands of n-grams and few of them matter, so
+vectors are scaled by evidence: the more the shares of the two labels differ, in standard errors, the larger the
+step of the vector and what it adds. Little evidence makes a vector small; none is left out.
+
+Cases: null and empty texts get the score of a text of no known n-gram; a very long text is read whole, in parts, and has
+one number for each bucket at most; without labels of both kinds, and so from empty tables, the score is the share of
+label 1, or 0.5; an empty table of documents gives no rows; rows that repeat an id are scored each and learned from as
+one; labels that tie are told apart by the id; further columns are ignored, a column with the name of the score is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +29,17 @@ from changeloom.llm.common import cut, map_text, pick
 from changeloom.llm.decontaminate import words_of
 from changeloom.llm.labelled import held_out, sample
 
-#: At most so many labelled rows of each label are learned from.
-MOST_LABELLED = 3_000
+#: At most so many labelled rows of each label are learned from, and at most so many n-grams of them in all (128 MB): rows of
+#: larger hashes of their ids are left out beyond that.
+MOST_LABELLED, MOST_GRAMS = 3_000, 1 << 24
 BUCKETS, WIDTH, GRAMS = 1 << 17, 4, (3, 4, 5)
-EPOCHS, STEP_ROWS, RATE, DECAY = 20, 128, 0.05, 1e-5
+EPOCHS, STEP_ROWS, RATE, DECAY, STEEPEST = 12, 128, 30.0, 1e-5, 0.05
 
 #: The mean of many vectors is small; the softmax sees it this many times as large.
 SCALE = 100.0
 
-#: A bucket gets a vector if so many texts have it and its two shares differ by so many standard errors.
-LEAST_TEXTS, LEAST_Z, MOST_CHOSEN = 5, 5.0, 4096
+#: Standard errors at which a vector has its full scale, the power of the scale, and the largest one.
+FULL_Z, POWER, LARGEST = 5.0, 3, 4.0
 
 #: A worker keeps the numbers of so many words.
 CACHE = 200_000
@@ -90,84 +96,66 @@ class Model:
         return np.add.reduceat(self.value[at], starts) / np.diff(np.append(starts, len(at)))
 
 
-def telling(have: tuple[np.ndarray, np.ndarray], n: tuple[float, float]) -> np.ndarray:
-    """The buckets whose share of the n texts of label 0 and of label 1 differ by more than chance, the most telling
-    MOST_CHOSEN of them. have: how many texts of each label have the bucket."""
-    share = (have[0] + have[1]) / max(1, n[0] + n[1])
+def evidence(have: np.ndarray, n: tuple[float, float]) -> np.ndarray:
+    """The scale of each bucket's vector. have: how many of the n texts of label 0 and of label 1 have the bucket."""
+    share = (have.sum(axis=0) + 1) / (sum(n) + 2)
     spread = np.sqrt(share * (1 - share) * (1 / max(1, n[0]) + 1 / max(1, n[1])))
-    z = np.abs(have[1] / max(1, n[1]) - have[0] / max(1, n[0])) / np.maximum(spread, 1e-12)
-    z[have[0] + have[1] < LEAST_TEXTS] = 0
-    return np.sort(np.argsort(-z, kind="stable")[: min(MOST_CHOSEN, int((z >= LEAST_Z).sum()))])
+    z = np.abs(have[1] / max(1, n[1]) - have[0] / max(1, n[0])) / spread
+    return np.minimum(LARGEST, (z / FULL_Z) ** POWER).astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, kept: np.ndarray, prior: float) -> Model:
-    """rows: buckets and weights; kept: the buckets that get a vector; prior: log odds of label 1 among all labelled
-    rows. Buckets that tell nothing of the label keep the zero vector, so that words of no known kind add nothing."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float) -> Model:
+    """rows: buckets and weights; prior: log odds of label 1 among all labelled rows."""
     if len(set(y.tolist())) < 2:
         return Model(prior, np.zeros(BUCKETS, np.float32))
-    place = np.full(BUCKETS, -1)
-    place[kept] = np.arange(len(kept))
-    rows = [(place[a[k]], w[k]) for a, w in rows if (k := place[a] >= 0) is not None]
+    have = np.zeros((2, BUCKETS))
+    for (at, _), v in zip(rows, y, strict=True):
+        have[v, at] += 1
+    scale = evidence(have, ((y == 0).sum(), (y == 1).sum()))
     rng = np.random.default_rng(7)
-    vectors, soft, bias = np.zeros((len(kept), WIDTH)), rng.normal(0, 1, (WIDTH, 2)), np.zeros(2)
-    first, second = ([np.zeros(p.shape) for p in (vectors, soft, bias)] for _ in range(2))
+    vectors, soft, bias = np.zeros((BUCKETS, WIDTH), np.float32), rng.normal(0, 1, (WIDTH, 2)), np.zeros(2)
     balance = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
-    t = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for i in range(0, len(y), STEP_ROWS):
             part = order[i : i + STEP_ROWS]
             at, weight = (np.concatenate([rows[r][k] for r in part]) for k in (0, 1))
+            weight = weight * scale[at]
             own = np.repeat(np.arange(len(part)), [len(rows[r][0]) for r in part])
             mean = np.stack([np.bincount(own, weight * vectors[at, d], len(part)) for d in range(WIDTH)], axis=1)
             logits = SCALE * mean @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             err = (p - np.eye(2)[y[part]]) * balance[part, None] / len(part)
-            back = SCALE * err @ soft.T
-            of_vectors = np.stack([np.bincount(at, weight * back[own, d], len(kept)) for d in range(WIDTH)], axis=1)
-            slopes = (of_vectors + DECAY * vectors, SCALE * mean.T @ err + DECAY * soft, err.sum(axis=0))
-            t += 1
-            for x, g, a, b in zip((vectors, soft, bias), slopes, first, second, strict=True):
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                x -= RATE * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
-    value = np.zeros(BUCKETS, np.float32)
-    value[kept] = SCALE * vectors @ (soft[:, 1] - soft[:, 0])
-    return Model(float(bias[1] - bias[0]) + prior, value)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Buckets are counted in Spark; of each sampled row the driver gets its weights of the telling buckets alone."""
+            back = (SCALE * err @ soft.T).astype(np.float32)
+            of_vectors = np.stack([np.bincount(at, weight * back[own, d], BUCKETS) for d in range(WIDTH)], axis=1)
+            slopes = (of_vectors, 0.01 * SCALE * mean.T @ err, 0.01 * err.sum(axis=0))
+            step = RATE * min(1.0, STEEPEST / max(1e-12, float(np.sqrt((of_vectors**2).sum()))))
+            for x, g in zip((vectors, soft, bias), slopes, strict=True):
+                x -= (step * (g + DECAY * x)).astype(x.dtype)
+    value = SCALE * scale * (vectors @ (soft[:, 1] - soft[:, 0]))
+    return Model(float(bias[1] - bias[0]) + prior, value.astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, doc_id: str = "doc_id", text: str = "text", most_grams: int = MOST_GRAMS) -> Model:
+    """The driver gets the bags of the sampled rows: at most ``most`` rows a label and ``most_grams`` n-grams."""
     rows, (none, some) = sample(docs, labels, label, most, doc_id, text)
 
     def make():
         def bags(texts: list[bytes | None]) -> list[pa.Array]:
             made = [bag(t) for t in texts]
-            return [pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))]
+            return [pa.array([len(a) for a, _ in made], pa.int64()), *(pa.array([x[k].tobytes() for x in made], pa.binary()) for k in (0, 1))]
 
         return bags
 
-    fields = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))]
-    bags_of = cut(map_text(rows, text, make, fields, drop=True).select(doc_id, "y", "at", "weight"))
-    counts = bags_of.select("y", F.explode("at").alias("at")).groupBy("at").agg(F.sum(1 - F.col("y")).alias("none"), F.sum("y").alias("some")).toPandas()
-    have = np.zeros((2, BUCKETS))
-    have[:, counts["at"].to_numpy(int)] = counts[["none", "some"]].to_numpy(float).T
-    taken = [min(most, x) for x in (none, some)]
-    kept = telling(have, taken)
-    shared = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(BUCKETS), kept))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [(np.asarray(x, np.int64), np.asarray(w)) for x, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            both = [(x[shared.value[x]], w[shared.value[x]]) for x, w in both]
-            made = [pa.array([x.astype(np.int32) for x, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=b.schema.names)
-
-    got = bags_of.mapInArrow(thin, bags_of.schema).toPandas().sort_values(doc_id, kind="stable")
-    bags = [(np.asarray(a, np.int64), np.asarray(w, np.float64)) for a, w in zip(got["at"], got["weight"], strict=True)]
+    fields = [T.StructField("n", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("weight", T.BinaryType())]
+    bags_of = cut(map_text(rows, text, make, fields, drop=True).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("place"), "y", "n", "at", "weight"))
+    sizes = bags_of.select("place", "n").toPandas().sort_values("place")
+    last = sizes["place"][sizes["n"].cumsum() <= most_grams].max()
+    got = bags_of.filter(F.col("place") <= (int(last) if len(sizes) and last == last else 0)).toPandas().sort_values(["place", "doc_id"], kind="stable")
+    bags = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(got["at"], got["weight"], strict=True)]
     share = np.clip(some / (none + some), 0.01, 0.99) if none + some else 0.5
-    return fit(bags, got["y"].to_numpy(np.int64), kept, float(np.log(share / (1 - share))))
+    return fit(bags, got["y"].to_numpy(np.int64), float(np.log(share / (1 - share))))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
