@@ -1,25 +1,34 @@
-"""Removal of word sequences that a document with a smaller id has, by suffixes partitioned by variable-length prefixes.
+"""Removal of word sequences that a document with a smaller id has, by suffix trees partitioned by prefixes.
 
-Words are runs of what isn't white space (space, \\t to \\r). The suffixes are those of the documents' word sequences,
-cut at the window's length. A suffix is named by 64-bit hashes of its first 2, 5 and all words, the nodes on its path
-in the suffix tree. One pass counts prefixes; a prefix with too many suffixes for a group's memory is taken longer.
-A second pass sends each suffix to the group of its prefix, packed by batch; a group sorts its suffixes, and nodes at
-the window's depth under which documents differ are the repeats. Neighbouring repeats of a document cover its
-maximal repeats; covered words go back to the texts.
+Words are runs of what isn't white space (space, \\t to \\r). Suffixes are those of the documents' word sequences, cut at
+the window's length, at which a tree's deep nodes are sought. A suffix goes to the group that its prefix names: the
+least 5-word sequence of the prefix, by hash, or the whole prefix where that sequence has too many suffixes for a group's memory.
+Suffixes of one prefix meet in one group, so a group has the whole subtree below it. Suffixes that follow each other
+and have the least sequence in common travel as one run of words, which takes about 4 words a suffix instead of 13.
+
+A group builds its subtrees over word ids: it sorts its suffixes by the path of their words, compares neighbours word by word,
+and so has the nodes at the window's depth; a node with several documents below it is a repeat. Neighbouring
+repeats of a document make its maximal repeats; their words go when the marks are back at the texts.
+
+Words are compared as bytes, never by hash alone: hashes deal suffixes to groups and bring equal ones together, and each
+pair of neighbours is then compared.
 
 Before a batch is sent, suffixes that repeat within it are settled there, so that at most one document of a batch
 goes to the group for a repeat, however many documents share it.
 
 Cases: a null or empty text has no words; a text of fewer words than a window stays; rows that repeat an id don't
-remove each other's words; a null id counts as larger than any other; further columns are ignored.
+remove each other's words; a null id counts as larger than any other; a very long text is read whole, and runs of it
+are dealt like those of others; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +37,10 @@ from changeloom.llm.common import pick, slices, small_batches
 
 WINDOW = 13
 
-#: Words of the shorter prefixes, and buckets in which their suffixes are counted.
-DEPTHS, COUNTERS = (2, 5), 1 << 16
+#: Words of the sequence whose least one names a suffix's group, and counters of the suffixes that each has.
+SHORT, COUNTERS = 5, 1 << 16
 
-#: A group is planned for so many suffixes, about 24 bytes each with what sorting takes.
+#: A group is planned for so many suffixes, about 60 bytes each with their words and what sorting takes.
 GROUP = 4_000_000
 
 #: Bytes of text whose suffixes are settled and sent together.
@@ -46,6 +55,9 @@ _WHITE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15
 _NO_ID = (1 << 63) - 1
 
+#: Set in the row's number where the id is null.
+_NULL = 1 << 31
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -75,22 +87,61 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U)
 
 
-def suffixes(texts: list[bytes | None], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each suffix of at least a window's words: its text's number, its first word, the hashes of its prefixes."""
-    hashes = [word_hashes(t or b"") for t in texts]
-    n = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    words = np.concatenate([*hashes, np.zeros(window, U)])
-    total, found = np.zeros(int(n.sum()), U), []
-    for k in range(window):
-        total = total * U(_BASE) + words[k : k + len(total)]
-        if k + 1 in DEPTHS or k + 1 == window:
-            found.append(total.copy())
+@dataclass
+class Suffixes:
+    """Those of at least a window's words of some texts, in order.
+
+    ``ids`` are the words of all texts, end to end, as places in ``words``; ``first`` is where each suffix begins.
+    """
+
+    words: list[bytes]
+    ids: np.ndarray
+    text: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    least: np.ndarray  # hash of the least short sequence of the suffix's prefix
+    path: np.ndarray  # hash of the whole prefix
+
+
+def _sums(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words that follow each other."""
+    out, size = h, 1
+    for bit in bin(n)[3:]:
+        out, size = out[: len(out) - size] * U(pow(_BASE, size, 1 << 64)) + out[size:], 2 * size
+        if bit == "1":
+            out, size = out[: len(out) - 1] * U(_BASE) + h[size : size + len(out) - 1], size + 1
+    return _mixed(out)
+
+
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n that follow each other."""
+    out, size = h, 1
+    while size < n:
+        step = min(size, n - size)
+        out, size = np.minimum(out[: len(out) - step], out[step:]), size + step
+    return out
+
+
+def suffixes(texts: list[bytes | None], window: int = WINDOW) -> Suffixes:
+    place_of: dict[bytes, int] = {}
+    numbers, sizes = [], []
+    for t in texts:
+        own = (t or b"").split()
+        for w in set(own).difference(place_of):
+            place_of[w] = len(place_of)
+        numbers.append(np.fromiter(map(place_of.__getitem__, own), np.int32, len(own)))
+        sizes.append(len(own))
+    words, n = list(place_of), np.array(sizes, np.int64)
+    ids = np.concatenate([*numbers, np.empty(0, np.int32)])
     text = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    place = (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-    full = np.flatnonzero(place + window <= n[text]) if len(text) else np.empty(0, np.int64)
-    for k, x in enumerate(found):
-        found[k] = _mixed(x[full])
-    return text[full], place[full], found
+    place = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    first = np.flatnonzero(place + window <= n[text]) if len(ids) else np.empty(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))[ids] if len(first) else np.empty(0, U)
+    least = path = np.empty(0, U)
+    if len(first):
+        short = min(SHORT, window)
+        least, path = _least(_sums(hashes, short), window - short + 1)[first], _sums(hashes, window)[first]
+    return Suffixes(words, ids, text[first], place[first], first, least, path)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -126,48 +177,68 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [r["key"] for r in found.orderBy("to").collect()]
 
 
-def heavy(docs: DataFrame, window: int, group: int, least_groups: int) -> tuple[int, list[np.ndarray]]:
-    """How many groups there are, and for each shorter prefix the counters that are too full for it."""
+def heavy(docs: DataFrame, window: int, group: int, least_groups: int) -> tuple[int, np.ndarray]:
+    """How many groups there are, and the counters of least sequences that are too full for one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(COUNTERS, np.int64) for _ in DEPTHS]
+        own = np.zeros(COUNTERS, np.int64)
         for whole in batches:
-            for batch in slices(whole, 0):
-                _, _, found = suffixes(batch.column(0).cast(pa.binary()).to_pylist(), window)
-                for own, h in zip(counts, found, strict=False):
-                    own += np.bincount((h % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        for k, own in enumerate(counts):
-            there = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), k, np.int32)), pa.array(there), pa.array(own[there])], names=["depth", "counter", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "depth int, counter bigint, n bigint").groupBy("depth", "counter").agg(F.sum("n").alias("n")).toPandas()
-    total = int(counts["n"][counts["depth"] == 0].sum())
+            for batch in slices(whole, 0, SENT):
+                least = suffixes(batch.column(0).cast(pa.binary()).to_pylist(), window).least
+                own += np.bincount((least % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        there = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(own[there])], names=["counter", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    total = int(counts["n"].sum())
     groups = max(least_groups, -(-total // group))
-    full = counts[counts["n"] > max(1, total // (4 * groups))]
-    flags = []
-    for k in range(len(DEPTHS)):
-        flags.append(np.zeros(COUNTERS, bool))
-        flags[k][full["counter"][full["depth"] == k].to_numpy()] = True
-    return groups, flags
-
-
-def group_of(found: list[np.ndarray], flags: list[np.ndarray], groups: int) -> np.ndarray:
-    """The group of each suffix: by its shortest prefix that isn't too full."""
-    out = found[-1].copy()
-    for h, full in reversed(list(zip(found, flags, strict=False))):
-        light = ~full[(h % U(COUNTERS)).astype(np.int64)]
-        out[light] = h[light]
-    return (_mixed(out ^ U(_BASE)) % U(groups)).astype(np.int64)
-
-
-def repeats(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes by node, and which of them (in that order) another document with a smaller id has."""
-    order = np.argsort(h, kind="stable")
+    full = np.zeros(COUNTERS, bool)
+    full[counts["counter"][counts["n"] > max(1, total // (4 * groups))].to_numpy(np.int64)] = True
+    return groups, full
+
+
+def prefix_of(own: Suffixes, full: np.ndarray) -> np.ndarray:
+    """What names a suffix's group: its prefix's least sequence, or where that is too full the whole prefix."""
+    return np.where(full[(own.least % U(COUNTERS)).astype(np.int64)], own.path, own.least)
+
+
+def nodes(ids: np.ndarray, first: np.ndarray, path: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes (their words are ids[first : first + window]) in an order that has equal ones side by side, and where each
+    of the nodes at the window's depth begins.
+
+    Suffixes are sorted by the hash of their path and compared word by word with the first of their hash. Those that differ
+    from it are sorted by their words themselves.
+    """
+    order = np.argsort(path, kind="stable")
     if not len(order):
         return order, np.empty(0, bool)
-    starts = np.flatnonzero(np.concatenate(([True], np.diff(h[order]) != 0)))
-    least = np.minimum.reduceat(ids[order], starts)
-    return order, ids[order] > np.repeat(least, np.diff(np.append(starts, len(order))))
+    begins = np.concatenate(([True], path[order[1:]] != path[order[:-1]]))
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(order)))
+    rest = np.flatnonzero(~begins)
+    head = first[order[np.repeat(starts, sizes)[rest]]]
+    own, odd = first[order[rest]], np.zeros(len(rest), bool)
+    for k in range(window):
+        odd |= ids[own + k] != ids[head + k]
+    for start in np.unique(np.repeat(starts, sizes)[rest[odd]]).tolist():
+        stop = start + int(sizes[np.searchsorted(starts, start)])
+        inner = order[start:stop]
+        words = ids[first[inner][:, None] + np.arange(window)]
+        by = np.lexsort(words.T[::-1])
+        order[start:stop] = inner[by]
+        begins[start + 1 : stop] = (words[by[1:]] != words[by[:-1]]).any(axis=1)
+    return order, begins
+
+
+def repeats(order: np.ndarray, begins: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which suffixes (in the order of the nodes) another document with a smaller id has below the same node."""
+    if not len(order):
+        return np.empty(0, bool)
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, len(order)))
+    ids, null = ids[order], rows[order] >= _NULL
+    least, all_null = (np.repeat(np.minimum.reduceat(x, starts), sizes) for x in (ids, null))
+    return (ids > least) | (null & ~all_null)
 
 
 def _marks(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -187,6 +258,71 @@ def _rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=["to", "kind", "data"])
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _whole(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def packed_runs(own: Suffixes, starts: np.ndarray, counts: np.ndarray, id_of: np.ndarray, row_of: np.ndarray, window: int) -> bytes:
+    """Runs of suffixes that follow each other (the first of each, and how many), with their words.
+
+    Words are places in a list of the distinct words of the packet, the frequent ones first, so that places are mostly small.
+    """
+    n = counts + window - 1
+    at = np.repeat(own.first[starts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    used, which, times = np.unique(own.ids[at], return_inverse=True, return_counts=True)
+    by = np.argsort(-times, kind="stable")
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    texts, number = np.unique(own.text[starts], return_inverse=True)
+    parts = [b" ".join([own.words[i] for i in used[by].tolist()]), _planes(rank[which]), _planes(counts.astype(np.int32)), _planes(number.astype(np.int32)), _planes(own.place[starts].astype(np.int32)), _planes(id_of[texts]), _planes(row_of[texts])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(p).to_bytes(8, "little") + p for p in parts]))
+
+
+@dataclass
+class Group:
+    """The runs that a group has got: suffixes over word ids of the group."""
+
+    window: int
+
+    def __post_init__(self) -> None:
+        self.place_of: dict[bytes, int] = {}
+        self.held: list[list[np.ndarray]] = []
+
+    def add(self, data: bytes) -> None:
+        whole, parts, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+        while at < len(whole):
+            n = int.from_bytes(whole[at : at + 8], "little")
+            parts.append(whole[at + 8 : at + 8 + n])
+            at += 8 + n
+        words = parts[0].split(b" ")
+        for w in words:
+            if w not in self.place_of:
+                self.place_of[w] = len(self.place_of)
+        ids = np.fromiter(map(self.place_of.__getitem__, words), np.int32, len(words))
+        number = _whole(parts[3], np.int32)
+        self.held.append([ids[_whole(parts[1], np.int32)], _whole(parts[2], np.int32), _whole(parts[4], np.int32), _whole(parts[5], np.int64)[number], _whole(parts[6], np.int64)[number]])
+
+    def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id, row and place of the suffixes that a document with a smaller id has too."""
+        ids, counts, place, doc, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = []
+        n = counts.astype(np.int64)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        long = n + self.window - 1
+        first = np.repeat(np.cumsum(long) - long, n) + step
+        salt = _mixed(np.arange(1, len(self.place_of) + 1).astype(U) * U(_BASE))
+        order, begins = nodes(ids, first, _sums(salt[ids], self.window)[first], self.window)
+        run = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        gone = order[repeats(order, begins, doc[run], row[run])]
+        of = run[gone]
+        return doc[of], row[of], place[of].astype(np.int64) + step[gone]
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """A row a document: doc_id, n_words, n_removed, and text: the words that stay, joined by one space.
 
@@ -194,7 +330,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = pick(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
+    number = F.xxhash64("text").bitwiseAND(F.lit(_NULL - 1)).bitwiseOR(F.when(F.col("doc_id").isNull(), F.lit(_NULL)).otherwise(F.lit(0)))
+    rows = pick(docs, doc_id, text).toDF("doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("row", number)
     groups, flags = heavy(rows, window, group, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys, shared = np.array(even_keys(spark, groups)), spark.sparkContext.broadcast(flags)
 
@@ -203,44 +340,37 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for batch in slices(whole, 1, SENT):
                 id_of = batch.column(0).fill_null(_NO_ID).to_numpy()
                 row_of = batch.column(2).to_numpy()
-                number, place, found = suffixes(batch.column(1).cast(pa.binary()).to_pylist(), window)
-                order, later = repeats(found[-1], id_of[number])
-                settled = order[later]
-                out = [(int(keys[to]), 1, data) for to, data in _marks(id_of[number[settled]], row_of[number[settled]], place[settled], groups)]
-                sent = order[~later]
-                to = group_of([h[sent] for h in found], shared.value, groups)
-                by = np.argsort(to, kind="stable")
-                sent, to = sent[by], to[by]
-                for a, b in _runs(to):
-                    own = sent[a:b]
-                    texts, which = np.unique(number[own], return_inverse=True)
-                    data = pack(_steps(found[-1][own]).view(np.int64), which.astype(np.int64) << 32 | place[own]), pack(_steps(id_of[texts]), row_of[texts])
-                    out.append((int(keys[to[a]]), 0, len(data[0]).to_bytes(8, "little") + data[0] + data[1]))
-                yield _rows(out)
+                own = suffixes(batch.column(1).cast(pa.binary()).to_pylist(), window)
+                order, begins = nodes(own.ids, own.first, own.path, window)
+                later = np.empty(len(order), bool)
+                later[order] = repeats(order, begins, id_of[own.text], row_of[own.text])
+                gone, sent = np.flatnonzero(later), np.flatnonzero(~later)
+                out = [(int(keys[to]), 1, data) for to, data in _marks(id_of[own.text[gone]], row_of[own.text[gone]], own.place[gone].astype(np.int64), groups)]
+                if len(sent):
+                    name = prefix_of(own, shared.value)[sent]
+                    follows = (np.diff(own.first[sent]) == 1) & (np.diff(own.text[sent]) == 0) & (name[1:] == name[:-1])
+                    starts = np.flatnonzero(np.concatenate(([True], ~follows)))
+                    counts = np.diff(np.append(starts, len(sent)))
+                    to = (_mixed(name[starts] ^ U(_BASE)) % U(groups)).astype(np.int64)
+                    by = np.argsort(to, kind="stable")
+                    starts, counts, to = sent[starts[by]], counts[by], to[by]
+                    out += [(int(keys[to[a]]), 0, packed_runs(own, starts[a:b], counts[a:b], id_of, row_of, window)) for a, b in _runs(to)]
+                if out:
+                    yield _rows(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, ids, row, place = ([] for _ in range(4))
+        own = Group(window)
         for batch in batches:
             through = []
             for to, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind:
                     through.append((to, 1, data))
-                    continue
-                n = int.from_bytes(data[:8], "little")
-                steps, packed = unpack(data[8 : 8 + n], 2)
-                own_ids, own_rows = unpack(data[8 + n :], 2)
-                h.append(np.cumsum(steps.view(U)))
-                which = packed >> 32
-                ids.append(np.cumsum(own_ids)[which])
-                row.append(own_rows[which].astype(np.int32))
-                place.append((packed & 0xFFFFFFFF).astype(np.int32))
+                else:
+                    own.add(data)
             if through:
                 yield _rows(through)
-        if h:
-            ids, row, place = (np.concatenate(x) for x in (ids, row, place))
-            order, later = repeats(np.concatenate(h), ids)
-            own = order[later]
-            yield _rows([(int(keys[to]), 1, data) for to, data in _marks(ids[own], row[own].astype(np.int64), place[own].astype(np.int64), groups)])
+        if own.held:
+            yield _rows([(int(keys[to]), 1, data) for to, data in _marks(*own.removed(), groups)])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=1).compress
