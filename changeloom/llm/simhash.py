@@ -10,7 +10,8 @@ its pairs, and the stars are joined to components in Spark.
 
 Cases: null and empty texts and texts of white space have fingerprint 0 and are linked like any others; a text of one
 or two words is one shingle; repeated shingles count each time; a null doc_id gets the component of its text but is never
-its smallest id; rows that repeat a doc_id stay rows; further columns are ignored; an empty table gives no rows.
+its smallest id; rows that repeat a doc_id stay rows; further columns are ignored; an empty table gives no rows; a very
+long text is read whole and its hashes are added up in parts.
 """
 
 from __future__ import annotations
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     found = components(links(index(groups.select("fp"), long_list, few), long_list))
     linked = groups.join(found, groups["fp"] == found["node"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_sizes(linked, least, "root", "members", "fp").select("fp", "component_id")
     whole = groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "size")
     met = join_sizes(rows.withColumn("_spread", F.xxhash64("doc_id")), whole, "fp", "size", "_spread")
     return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
