@@ -83,6 +83,22 @@ def test_decontaminate_spans(spark):
     docs = spark.createDataFrame([(1, "É!! The  CAT-sat; on")], "doc_id bigint, text string")
     row = decontaminate.decontaminate(docs, spark.createDataFrame([(7, "cat sat")], "item_id bigint, text string")).first()
     assert [(s["start"], s["end"]) for s in row["spans"]] == [(9, 16)] and row["item_ids"] == ["7"]
+    letters = "a b c d e f g h i j k l m"
+    docs = spark.createDataFrame([(1, letters, 5, 6)], "doc_id bigint, text string, _before int, N_WORDS int")
+    items = spark.createDataFrame([(1, letters)], "item_id bigint, text string")
+    for limit in (100, 1):
+        row = decontaminate.decontaminate(docs, items, limit=limit).first()
+        assert [(s["start"], s["end"]) for s in row["spans"]] == [(0, 25)] and row["_before"] == 5 and row["n_words"] == 13 and row["N_WORDS"] == 6
+
+
+def test_sample_is_bounded(spark):
+    from changeloom.llm.labelled import sample
+
+    docs = spark.range(3000).selectExpr("id % 30 AS doc_id", "cast(id AS string) AS text")
+    labels = spark.range(30).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    rows, (none, some) = sample(docs, labels, "toxic", 5)
+    assert rows.count() == 10 and rows.select("doc_id").distinct().count() == 10 and none + some > 20
+    assert toxicity.train(docs, labels, most_grams=30).base < 9
 
 
 def test_exact_dedup(spark, docs, odd):
@@ -90,17 +106,19 @@ def test_exact_dedup(spark, docs, odd):
     same(exact_dedup.exact_dedup(docs), by_sql(spark, docs, "op6_exact_dedup"), columns)
     assert exact_dedup.exact_dedup(odd).count() == odd.count()
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def test_digest_index_appends_only_what_is_new(spark):
     index = exact_dedup.DigestIndex(spark, "test_index", 4)
     first = frame(spark, [(1, "A"), (2, "a"), (3, "b")])
-    index.append(first)
-    index.append(frame(spark, [(9, "B"), (10, "c")]))
-    index.append(frame(spark, [(9, "B"), (10, "c")]))
-    assert index.rows().count() == 3
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.decide(frame(spark, [(9, "B"), (10, "c"), (2, "a")])).collect()}
-    assert got == {9: (3, False), 10: (10, True), 2: (2, True)}
+    index.append(first, "one")
+    index.append(frame(spark, [(9, "B"), (10, "c")]), "two")
+    index.append(frame(spark, [(9, "B"), (10, "c")]), "two")
+    assert index.rows().count() == 3 and spark.table("test_index").count() == 4
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.decide(frame(spark, [(9, "B"), (10, "c"), (2, "a"), (3, "b")])).collect()}
+    assert got == {9: (9, 2, True), 10: (10, 1, True), 2: (2, 2, True), 3: (9, 2, False)}
+    assert "Exchange" not in index.rows()._jdf.queryExecution().executedPlan().toString()
     plan = frame(spark, [(1, "A")]).sparkSession.table("test_index")._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
 
@@ -153,6 +171,42 @@ def test_substring_dedup(spark, docs, odd):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.report(odd).collect()) == brute
 
 
+def test_substring_nodes():
+    """Nodes at the window's depth against plain counting, where all paths have one hash, and where each has its own."""
+    r = np.random.default_rng(1)
+    ids = r.integers(0, 2, 400).astype(np.int32)
+    first = np.arange(390)
+    want = Counter(tuple(ids[i : i + 5]) for i in first)
+    for path in (np.zeros(390, np.uint64), substring_dedup._sums(ids.astype(np.uint64), 5)[first]):
+        order, begins = substring_dedup.nodes(ids, first, path, 5)
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], 390)
+        assert sorted(order.tolist()) == first.tolist()
+        assert {tuple(ids[order[a] : order[a] + 5]): b - a for a, b in zip(starts, ends, strict=True)} == want
+
+
+def test_substring_groups_get_whole_runs():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randrange(60))).encode() for _ in range(30)]
+    own = substring_dedup.suffixes(texts, 4)
+    for full in (np.zeros(substring_dedup.COUNTERS, bool), np.ones(substring_dedup.COUNTERS, bool)):
+        name = substring_dedup.prefix_of(own, full)
+        by: dict = {}
+        for i in range(len(own.first)):
+            w = tuple(own.ids[own.first[i] : own.first[i] + 4])
+            assert by.setdefault(w, name[i]) == name[i]
+    group = substring_dedup.Group(4)
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(own.first) != 1) | (np.diff(own.text) != 0))))
+    counts = np.diff(np.append(starts, len(own.first)))
+    group.add(substring_dedup.packed_runs(own, starts, counts, np.arange(30, dtype=np.int64), np.zeros(30, np.int64), 4))
+    ids, _, places = group.removed()
+    words, least = [t.split() for t in texts], {}
+    for i, w in enumerate(words):
+        for k in range(len(w) - 3):
+            least.setdefault(tuple(w[k : k + 4]), i)
+    assert sorted(zip(ids.tolist(), places.tolist(), strict=True)) == [(i, k) for i, w in enumerate(words) for k in range(len(w) - 3) if least[tuple(w[k : k + 4])] < i]
+
+
 def brute_fingerprint(text):
     import xxhash
 
