@@ -4,7 +4,7 @@ Words are runs of what isn't white space (space, \\t to \\r). Suffixes are those
 the window's length, at which a tree's deep nodes are sought. A suffix goes to the group that its prefix names: the
 least 5-word sequence of the prefix, by hash, or the whole prefix where that sequence has too many suffixes for a group's memory.
 Suffixes of one prefix meet in one group, so a group has the whole subtree below it. Suffixes that follow each other
-and have the least sequence in common travel as one run of words, which takes about 4 words a suffix instead of 13.
+and have the least sequence in common travel as one run of words, which takes about 3 words a suffix instead of 13.
 
 A group builds its subtrees over word ids: it sorts its suffixes by the path of their words, compares neighbours word by word,
 and so has the nodes at the window's depth; a node with several documents below it is a repeat. Neighbouring
@@ -38,13 +38,13 @@ from changeloom.llm.common import pick, slices, small_batches
 WINDOW = 13
 
 #: Words of the sequence whose least one names a suffix's group, and counters of the suffixes that each has.
-SHORT, COUNTERS = 5, 1 << 16
+SHORT, COUNTERS = 3, 1 << 16
 
 #: A group is planned for so many suffixes, about 60 bytes each with their words and what sorting takes.
 GROUP = 4_000_000
 
 #: Bytes of text whose suffixes are settled and sent together.
-SENT = 8 << 20
+SENT = 16 << 20
 
 #: Bytes of text that are hashed at once.
 PART = 1 << 20
@@ -123,16 +123,15 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def suffixes(texts: list[bytes | None], window: int = WINDOW) -> Suffixes:
-    place_of: dict[bytes, int] = {}
-    numbers, sizes = [], []
+    flat: list[bytes] = []
+    sizes = []
     for t in texts:
-        own = (t or b"").split()
-        for w in set(own).difference(place_of):
-            place_of[w] = len(place_of)
-        numbers.append(np.fromiter(map(place_of.__getitem__, own), np.int32, len(own)))
-        sizes.append(len(own))
-    words, n = list(place_of), np.array(sizes, np.int64)
-    ids = np.concatenate([*numbers, np.empty(0, np.int32)])
+        flat += (t or b"").split()
+        sizes.append(len(flat))
+    words, n = list(dict.fromkeys(flat)), np.diff(np.array(sizes, np.int64), prepend=0)
+    place_of = dict(zip(words, range(len(words)), strict=True))
+    ids = np.fromiter(map(place_of.__getitem__, flat), np.int32, len(flat))
+    del flat, place_of
     text = np.repeat(np.arange(len(n), dtype=np.int32), n)
     place = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     first = np.flatnonzero(place + window <= n[text]) if len(ids) else np.empty(0, np.int64)
@@ -270,16 +269,20 @@ def _whole(data: bytes, kind: type) -> np.ndarray:
 def packed_runs(own: Suffixes, starts: np.ndarray, counts: np.ndarray, id_of: np.ndarray, row_of: np.ndarray, window: int) -> bytes:
     """Runs of suffixes that follow each other (the first of each, and how many), with their words.
 
-    Words are places in a list of the distinct words of the packet, the frequent ones first, so that places are mostly small.
+    Words are places in a list of the packet's repeated words, the frequent ones first, so that places are mostly small; a word
+    that occurs once has the place 0, and these words follow in the order in which they occur.
     """
     n = counts + window - 1
     at = np.repeat(own.first[starts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    used, which, times = np.unique(own.ids[at], return_inverse=True, return_counts=True)
-    by = np.argsort(-times, kind="stable")
-    rank = np.empty(len(by), np.int32)
-    rank[by] = np.arange(len(by), dtype=np.int32)
+    at = own.ids[at]
+    times = np.bincount(at, minlength=len(own.words))
+    used = np.flatnonzero(times > 1)
+    used = used[np.argsort(-times[used], kind="stable")]
+    rank = np.zeros(len(own.words), np.int32)
+    rank[used] = np.arange(1, len(used) + 1, dtype=np.int32)
+    used = np.concatenate((used, at[times[at] == 1]))
     texts, number = np.unique(own.text[starts], return_inverse=True)
-    parts = [b" ".join([own.words[i] for i in used[by].tolist()]), _planes(rank[which]), _planes(counts.astype(np.int32)), _planes(number.astype(np.int32)), _planes(own.place[starts].astype(np.int32)), _planes(id_of[texts]), _planes(row_of[texts])]
+    parts = [b" ".join([own.words[i] for i in used.tolist()]), _planes(rank[at]), _planes(counts.astype(np.int32)), _planes(number.astype(np.int32)), _planes(own.place[starts].astype(np.int32)), _planes(id_of[texts]), _planes(row_of[texts])]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([len(p).to_bytes(8, "little") + p for p in parts]))
 
 
@@ -300,12 +303,14 @@ class Group:
             parts.append(whole[at + 8 : at + 8 + n])
             at += 8 + n
         words = parts[0].split(b" ")
-        for w in words:
-            if w not in self.place_of:
-                self.place_of[w] = len(self.place_of)
+        new, n = [w for w in words if w not in self.place_of], len(self.place_of)
+        self.place_of.update(zip(new, range(n, n + len(new)), strict=True))
         ids = np.fromiter(map(self.place_of.__getitem__, words), np.int32, len(words))
-        number = _whole(parts[3], np.int32)
-        self.held.append([ids[_whole(parts[1], np.int32)], _whole(parts[2], np.int32), _whole(parts[4], np.int32), _whole(parts[5], np.int64)[number], _whole(parts[6], np.int64)[number]])
+        number, at = _whole(parts[3], np.int32), _whole(parts[1], np.int32)
+        alone = np.flatnonzero(at == 0)
+        at -= 1
+        at[alone] = np.arange(len(words) - len(alone), len(words), dtype=np.int32)
+        self.held.append([ids[at], _whole(parts[2], np.int32), _whole(parts[4], np.int32), _whole(parts[5], np.int64)[number], _whole(parts[6], np.int64)[number]])
 
     def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id, row and place of the suffixes that a document with a smaller id has too."""
