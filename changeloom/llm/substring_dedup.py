@@ -27,8 +27,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,36 +65,68 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    out, at = [], 0
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, where it begins, and its bytes."""
+    out, at = [(np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))], 0
     while at < len(text):
         end = at + PART
         while end < len(text) and not _WHITE[text[end]]:
             end += 1
         b = np.frombuffer(text[at:end], np.uint8)
-        at = end
         word = ~_WHITE[b]
         starts = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
-        if not len(starts):
-            continue
-        own = np.flatnonzero(word)
-        sizes = np.diff(np.append(np.searchsorted(own, starts), len(own)))
-        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        powers = np.cumprod(np.full(int(sizes.max()), _BASE, U))
-        h = np.add.reduceat((b[own].astype(U) + U(1)) * powers[place], np.cumsum(sizes) - sizes)
-        out.append(_mixed(h ^ (sizes.astype(U) << U(32))))
-    return np.concatenate(out) if out else np.empty(0, U)
+        if len(starts):
+            own = np.flatnonzero(word)
+            sizes = np.diff(np.append(np.searchsorted(own, starts), len(own)))
+            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            powers = np.cumprod(np.full(int(sizes.max()), _BASE, U))
+            h = np.add.reduceat((b[own].astype(U) + U(1)) * powers[place], np.cumsum(sizes) - sizes)
+            out.append((_mixed(h ^ (sizes.astype(U) << U(32))), starts + at, sizes))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_of(text)[0]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all bytes of the words, word by word."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def numbered(text: bytes, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, the same for equal words, and which word of the text is the first of each number.
+
+    Words of one hash are compared byte by byte with the first of them; if any differs, words are told apart as bytes.
+    """
+    numbers, _ = pd.factorize(hashes.view(np.int64))
+    first = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
+    first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    b, like = np.frombuffer(text, np.uint8), first[numbers]
+    again = np.flatnonzero(like != np.arange(len(numbers)))
+    alike = bool((sizes[again] == sizes[like[again]]).all())
+    for i in range(0, len(again) if alike else 0, PART >> 3):
+        part = again[i : i + (PART >> 3)]
+        alike &= bool((b[_spread(starts[part], sizes[part])] == b[_spread(starts[like[part]], sizes[part])]).all())
+    if not alike:
+        numbers, _ = pd.factorize(np.array([text[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)], object))
+        first = np.zeros(int(numbers.max()) + 1, np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return numbers.astype(np.int32), first
 
 
 @dataclass
 class Suffixes:
     """Those of at least a window's words of some texts, in order.
 
-    ``ids`` are the words of all texts, end to end, as places in ``words``; ``first`` is where each suffix begins.
+    ``ids`` are the words of all texts, end to end, as numbers; ``first`` is where each suffix begins; word k is
+    ``size[k]`` bytes of ``whole`` from ``start[k]``.
     """
 
-    words: list[bytes]
+    whole: bytes
+    start: np.ndarray
+    size: np.ndarray
     ids: np.ndarray
     text: np.ndarray
     place: np.ndarray
@@ -123,24 +155,28 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def suffixes(texts: list[bytes | None], window: int = WINDOW) -> Suffixes:
-    flat: list[bytes] = []
-    sizes = []
-    for t in texts:
-        flat += (t or b"").split()
-        sizes.append(len(flat))
-    words, n = list(dict.fromkeys(flat)), np.diff(np.array(sizes, np.int64), prepend=0)
-    place_of = dict(zip(words, range(len(words)), strict=True))
-    ids = np.fromiter(map(place_of.__getitem__, flat), np.int32, len(flat))
-    del flat, place_of
+    whole = b"\n".join([*(t or b"" for t in texts), b""])
+    hashes, starts, lengths = words_of(whole)
+    ids, known = numbered(whole, hashes, starts, lengths)
+    text, place, first = _full(texts, starts, window)
+    least, path = (_least(_sums(hashes, min(SHORT, window)), window - min(SHORT, window) + 1)[first], _sums(hashes, window)[first]) if len(first) else (hashes[:0], hashes[:0])
+    return Suffixes(whole, starts[known], lengths[known], ids, text[first], place[first], first, least, path)
+
+
+def _full(texts: list[bytes | None], starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text of each word of the texts laid end to end, its place there, and the words where a whole window begins."""
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+    n = np.diff(np.searchsorted(starts, ends), prepend=0)
     text = np.repeat(np.arange(len(n), dtype=np.int32), n)
-    place = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-    first = np.flatnonzero(place + window <= n[text]) if len(ids) else np.empty(0, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))[ids] if len(first) else np.empty(0, U)
-    least = path = np.empty(0, U)
-    if len(first):
-        short = min(SHORT, window)
-        least, path = _least(_sums(hashes, short), window - short + 1)[first], _sums(hashes, window)[first]
-    return Suffixes(words, ids, text[first], place[first], first, least, path)
+    place = (np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    return text, place, np.flatnonzero(place + window <= n[text])
+
+
+def leasts(texts: list[bytes | None], window: int) -> np.ndarray:
+    """What ``suffixes`` gives as ``least``."""
+    hashes, starts, _ = words_of(b"\n".join([t or b"" for t in texts]))
+    first = _full(texts, starts, window)[2]
+    return _least(_sums(hashes, min(SHORT, window)), window - min(SHORT, window) + 1)[first] if len(first) else hashes[:0]
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -183,7 +219,7 @@ def heavy(docs: DataFrame, window: int, group: int, least_groups: int) -> tuple[
         own = np.zeros(COUNTERS, np.int64)
         for whole in batches:
             for batch in slices(whole, 0, SENT):
-                least = suffixes(batch.column(0).cast(pa.binary()).to_pylist(), window).least
+                least = leasts(batch.column(0).cast(pa.binary()).to_pylist(), window)
                 own += np.bincount((least % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         there = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(own[there])], names=["counter", "n"])
@@ -275,14 +311,16 @@ def packed_runs(own: Suffixes, starts: np.ndarray, counts: np.ndarray, id_of: np
     n = counts + window - 1
     at = np.repeat(own.first[starts] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     at = own.ids[at]
-    times = np.bincount(at, minlength=len(own.words))
+    times = np.bincount(at, minlength=len(own.start))
     used = np.flatnonzero(times > 1)
     used = used[np.argsort(-times[used], kind="stable")]
-    rank = np.zeros(len(own.words), np.int32)
+    rank = np.zeros(len(own.start), np.int32)
     rank[used] = np.arange(1, len(used) + 1, dtype=np.int32)
     used = np.concatenate((used, at[times[at] == 1]))
     texts, number = np.unique(own.text[starts], return_inverse=True)
-    parts = [b" ".join([own.words[i] for i in used.tolist()]), _planes(rank[at]), _planes(counts.astype(np.int32)), _planes(number.astype(np.int32)), _planes(own.place[starts].astype(np.int32)), _planes(id_of[texts]), _planes(row_of[texts])]
+    spelt = np.frombuffer(own.whole, np.uint8)[_spread(own.start[used], own.size[used] + 1)]
+    spelt[np.cumsum(own.size[used] + 1) - 1] = 32
+    parts = [spelt.tobytes(), _planes(rank[at]), _planes(counts.astype(np.int32)), _planes(number.astype(np.int32)), _planes(own.place[starts].astype(np.int32)), _planes(id_of[texts]), _planes(row_of[texts])]
     return zstandard.ZstdCompressor(level=1).compress(b"".join([len(p).to_bytes(8, "little") + p for p in parts]))
 
 
@@ -293,7 +331,8 @@ class Group:
     window: int
 
     def __post_init__(self) -> None:
-        self.place_of: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.n_words = 0
         self.held: list[list[np.ndarray]] = []
 
     def add(self, data: bytes) -> None:
@@ -302,25 +341,27 @@ class Group:
             n = int.from_bytes(whole[at : at + 8], "little")
             parts.append(whole[at + 8 : at + 8 + n])
             at += 8 + n
-        words = parts[0].split(b" ")
-        new, n = [w for w in words if w not in self.place_of], len(self.place_of)
-        self.place_of.update(zip(new, range(n, n + len(new)), strict=True))
-        ids = np.fromiter(map(self.place_of.__getitem__, words), np.int32, len(words))
+        n = parts[0].count(b" ")
         number, at = _whole(parts[3], np.int32), _whole(parts[1], np.int32)
         alone = np.flatnonzero(at == 0)
-        at -= 1
-        at[alone] = np.arange(len(words) - len(alone), len(words), dtype=np.int32)
-        self.held.append([ids[at], _whole(parts[2], np.int32), _whole(parts[4], np.int32), _whole(parts[5], np.int64)[number], _whole(parts[6], np.int64)[number]])
+        at += self.n_words - 1
+        at[alone] = np.arange(self.n_words + n - len(alone), self.n_words + n, dtype=np.int32)
+        self.words.append(parts[0])
+        self.n_words += n
+        self.held.append([at, _whole(parts[2], np.int32), _whole(parts[4], np.int32), _whole(parts[5], np.int64)[number], _whole(parts[6], np.int64)[number]])
 
     def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Id, row and place of the suffixes that a document with a smaller id has too."""
-        ids, counts, place, doc, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        self.held = []
+        at, counts, place, doc, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        text = b"".join(self.words)
+        self.held, self.words = [], []
+        numbers, known = numbered(text, *words_of(text))
+        ids = numbers[at]
         n = counts.astype(np.int64)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         long = n + self.window - 1
         first = np.repeat(np.cumsum(long) - long, n) + step
-        salt = _mixed(np.arange(1, len(self.place_of) + 1).astype(U) * U(_BASE))
+        salt = _mixed(np.arange(1, len(known) + 1).astype(U) * U(_BASE))
         order, begins = nodes(ids, first, _sums(salt[ids], self.window)[first], self.window)
         run = np.repeat(np.arange(len(n), dtype=np.int32), n)
         gone = order[repeats(order, begins, doc[run], row[run])]

@@ -185,6 +185,13 @@ def test_substring_nodes():
         assert {tuple(ids[order[a] : order[a] + 5]): b - a for a, b in zip(starts, ends, strict=True)} == want
 
 
+def test_words_of_one_hash_are_told_apart():
+    text = b"aa bb aa cc bb aa"
+    hashes, starts, sizes = substring_dedup.words_of(text)
+    for h in (hashes, np.zeros(6, np.uint64)):
+        assert substring_dedup.numbered(text, h, starts, sizes)[0].tolist() == [0, 1, 0, 2, 1, 0]
+
+
 def test_substring_groups_get_whole_runs():
     r = random.Random(2)
     texts = [" ".join(r.choice("abc") for _ in range(r.randrange(60))).encode() for _ in range(30)]
