@@ -400,20 +400,45 @@ def test_page_text(spark):
     assert page_text.main_text(pages.limit(0)).count() == 0
 
 
-def test_neighbours(spark):
+def test_page_text_against_all_pairs(spark):
+    """Differencing against a plain version that looks at all pages of a host, and at all their lines."""
     r = random.Random(3)
-    rows = [(i, r.choice(["a", "b", "c", f"solo{i}"]), f"/{r.randrange(40)}") for i in range(120)]
-    got = {x["row"]: x["near"] for x in page_text.neighbours(spark.createDataFrame(rows, "row bigint, host string, path string")).collect()}
-    order = sorted((h, p, i) for i, h, p in rows)
+    rows = []
+    for i in range(90):
+        host = r.choice(["a.org", "b.org", "C.org", f"solo{i}.org"])
+        own = [f"<p>{r.choice('uvwxyz')}</p>" for _ in range(r.randrange(6))]
+        rows.append((i, f"http://{host}/{r.randrange(30)}", "<nav>home</nav><div>top</div>" + "".join(own) + (f"<article><p>top</p><p>text {i}</p></article>" if i % 3 == 0 else "") + "<div>end</div>"))
+    rows += [(200 + i, "http://b.org/7", rows[1][2]) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    keyed = pages.selectExpr("*", "xxhash64(page_id, url, html) AS row").collect()
+    parsed = {x["row"]: page_text.lines_of(x["html"].encode()) for x in keyed}
+    place = {x["row"]: (x["url"].split("/")[2].lower(), "/" + x["url"].split("/", 3)[3], x["row"]) for x in keyed}
     want = {}
-    for k, (h, p, i) in enumerate(order):
-        near = [x for x in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None) if x and x[0] == h]
+    for x in keyed:
+        row, (lines, kinds) = x["row"], parsed[x["row"]]
+        other = [y for y in place if place[y][0] == place[row][0] and parsed[y][0] != lines]
+        before, after = max((place[y] for y in other if place[y] < place[row]), default=None), min((place[y] for y in other if place[y] > place[row]), default=None)
+        near = [y for y in (before, after) if y]
+        gone = []
         if near:
-            want[i] = max(near, key=lambda x: len(os.path.commonprefix([p, x[1]])))[2]
-    assert got == want and len({h for h, _, _ in order}) > 3
+            best = max(near, key=lambda y: len(os.path.commonprefix([place[row][1], y[1]])))[2]
+            gone = [i for i in page_text.shared_lines(lines, parsed[best][0]) if kinds[i] != page_text.MAIN]
+        want[x["page_id"]] = ("\n\n".join(page_text.text_of(lines, kinds, gone)), len(gone))
+    got = {x["page_id"]: (x["text"], x["n_shared"]) for x in page_text.main_text(pages).collect()}
+    assert got == want and any(k for _, k in want.values())
+    assert all("top" not in t for i, (t, _) in got.items() if i < 90 and i % 3 and f"solo{i}.org" not in rows[i][1])
 
 
-def test_longest_common_subsequence():
+def test_page_lines():
+    lines = lambda page: page_text.lines_of(page)[0]
+    assert lines(b"<p title=it's>one</p><p class='x' data-y=\"a>b\" it's>two</p>a < b") == ["one", "two", "a < b"]
+    own = page_text.lines_of(b"<article><p class=social>a</p><p id='ad-hoc'>b</p><div class='ad-slot'>c</div></article><div id=ad-hoc>d</div>")
+    assert own[0] == ["a", "b", "c", "d"] and own[1].tolist() == [page_text.MAIN, page_text.MAIN, page_text.OTHER, page_text.PLAIN]
+
+
+@pytest.mark.parametrize("square", [1, 20, 1 << 24])
+def test_longest_common_subsequence(monkeypatch, square):
+    monkeypatch.setattr(page_text, "SQUARE", square)
     r = random.Random(0)
     for _ in range(200):
         a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in range(2))
