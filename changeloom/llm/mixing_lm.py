@@ -6,15 +6,17 @@ bytes, the word so far) at this node of the tree. Their log odds are added with
 a table of the last byte and the odds so far, and the weights move with the text as it is read. The sum of
 the bits' log probabilities is the text's; the bits a byte are that, divided by its bytes.
 
-Training reads all training texts once in Spark. Each task predicts the bits of every text from what it has counted so far,
-moves the weights online, and counts the bits into tables of its own. Tables are packed, shuffled by
-slice and added; weights are averaged. The tables have a fixed number of slots, which bounds what is broadcast.
+Training deals all training texts to shards by their hash, as many as their bytes ask for, and orders each shard by it. A
+learner predicts the bits of every text of its shard from what it has counted so far, moves the weights online, and counts the
+bits. Counts are packed, shuffled by slice and added; weights are averaged in the order of the shards. So neither partitions nor
+lost executors change a score. The tables have a fixed number of slots, which bounds what is broadcast.
 
 The base adds, over words and one end a text, log10((c + 0.1) / (N + 0.1 (V + 1))). Words are known by 64-bit hashes.
 Those with more than one in HOT_WORDS of all, fewer than HOT_WORDS, are broadcast; the others are joined in a shuffle.
 
 Cases: a null or empty text is one end; a null doc_id is learned from; rows that repeat an id are learned from and scored
-each; without training texts all tables are empty and each bit has probability 1/2; further columns are ignored.
+each; without training texts all tables are empty and each bit has probability 1/2; further columns are ignored; an
+empty table gives no rows; in a text of more than 1 MB contexts and weights start anew at each MB, and none of it is left out.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ FOLDS, HOT_WORDS = 10, 1 << 21
 HELD_WORDS = 6_000_000  # that a task holds before it counts them
 SEGMENT = 1 << 20  # bytes of a text after which contexts start anew
 GROUP = 1 << 16  # bytes that are handled as one array
+SHARD = 32 << 20  # bytes of training texts that one learner reads, about
 FIRST_BLOCK = 128  # bytes of a text after which its weights first move; blocks double
 ODDS, STEP = 7.9, 16  # largest log odds of a predictor, and steps in a unit
 RATE = 0.1  # of a text's weights
@@ -241,6 +244,20 @@ class Learner:
         self.slopes = np.full((PREDICTORS, 256), 1e-3)
         self.refining = np.zeros((2, 256 * BUCKETS))
         self.seen = 0.0
+        self.held: list[bytes | None] = []
+        self.size = 0
+
+    def hold(self, texts: list[bytes | None]) -> None:
+        """Reads texts in groups that don't depend on how they arrive."""
+        for t in texts:
+            self.held.append(t)
+            self.size += len(t or b"")
+            if self.size >= SEGMENT:
+                self.finish()
+
+    def finish(self) -> None:
+        self.read(self.held)
+        self.held, self.size = [], 0
 
     def read(self, texts: list[bytes | None]) -> None:
         for cat, _, start, end in groups(texts):
@@ -308,35 +325,61 @@ def train(texts: DataFrame) -> Model:
     shared = texts.sparkSession.sparkContext.broadcast(tree)
     names = ["slice", "data"]
 
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+    place = F.xxhash64("text")
+    dealt = texts.select("text", place.alias("place"), F.pmod(place, F.lit(shards)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "place", "text")
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Learner(shared.value)
+        own, at = None, None
         for whole in batches:
             for batch in slices(whole, 0):
-                own.read(batch.column(0).cast(pa.binary()).to_pylist())
+                shard = batch.column(2).to_numpy()
+                cuts = np.flatnonzero(np.diff(shard)) + 1
+                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+                    if a < b and shard[a] != at:
+                        if own is not None:
+                            yield from made_by(own, at)
+                        own, at = Learner(shared.value), shard[a]
+                    own.hold(batch.column(0).slice(a, b - a).cast(pa.binary()).to_pylist())
+        if own is not None:
+            yield from made_by(own, at)
+
+    def made_by(own: Learner, at: int) -> Iterator[pa.RecordBatch]:
+        own.finish()
+        yield state_of(own, at)
+        yield from packed_counts(own.counts)
+
+    def state_of(own: Learner, at: int) -> pa.RecordBatch:
+        state = np.concatenate(([at, own.seen], (own.model.weights * own.seen).ravel(), own.refining.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([state.tobytes()], pa.binary())], names=names)
+
+    def packed_counts(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         shrink = zstandard.ZstdCompressor(level=1).compress
-        flat = own.counts.reshape(-1, SLICE * 2)
+        flat = counts.reshape(-1, SLICE * 2)
         for i in np.flatnonzero(flat.any(axis=1)):
             planes = flat[i].view(np.uint8).reshape(-1, 4).T.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([shrink(planes)], pa.binary())], names=names)
-        if own.seen:
-            state = np.concatenate(([own.seen], (own.model.weights * own.seen).ravel(), own.refining.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([state.tobytes()], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        states: dict[float, np.ndarray] = {}
         grow = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if i < 0:
                     x = np.frombuffer(data)
+                    states[x[0]] = x[1:]
                 else:
                     x = np.ascontiguousarray(np.frombuffer(grow(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-                total[i] = total[i] + x if i in total else x
+                    total[i] = total[i] + x if i in total else x
+        if states:
+            total[-1] = sum(states[k] for k in sorted(states))
         for i, x in total.items():
             made = x.tobytes() if i < 0 else np.round(odds_of(x.reshape(-1, 2)) * STEP).astype(np.int8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([made], pa.binary())], names=names)
 
-    packed = texts.mapInArrow(learn, "slice bigint, data binary")
+    packed = dealt.mapInArrow(learn, "slice bigint, data binary")
     model = fresh(tree)
     flat = model.odds.reshape(-1, SLICE)
     for row in packed.repartition("slice").mapInArrow(add, "slice bigint, data binary").toLocalIterator():

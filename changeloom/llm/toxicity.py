@@ -29,9 +29,9 @@ from changeloom.llm.common import cut, map_text, pick
 from changeloom.llm.decontaminate import words_of
 from changeloom.llm.labelled import held_out, sample
 
-#: At most so many labelled rows of each label are learned from, and at most so many n-grams of them in all (128 MB): rows of
+#: At most so many labelled rows of each label are learned from, and at most so many n-grams of them in all (72 MB): rows of
 #: larger hashes of their ids are left out beyond that.
-MOST_LABELLED, MOST_GRAMS = 3_000, 1 << 24
+MOST_LABELLED, MOST_GRAMS = 3_000, 12_000_000
 BUCKETS, WIDTH, GRAMS = 1 << 17, 4, (3, 4, 5)
 EPOCHS, STEP_ROWS, RATE, DECAY, STEEPEST = 12, 128, 30.0, 1e-5, 0.05
 
@@ -41,6 +41,9 @@ SCALE = 100.0
 #: Standard errors at which a vector has its full scale, the power of the scale, and the largest one.
 FULL_Z, POWER, LARGEST = 5.0, 3, 4.0
 
+#: Weights go to the driver as half floats, this many times as large.
+HALF = 1024.0
+
 #: A worker keeps the numbers of so many words.
 CACHE = 200_000
 U = np.uint64
@@ -105,7 +108,7 @@ def evidence(have: np.ndarray, n: tuple[float, float]) -> np.ndarray:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float) -> Model:
-    """rows: buckets and weights; prior: log odds of label 1 among all labelled rows."""
+    """rows: buckets and weights, HALF times as large; prior: log odds of label 1 among all labelled rows."""
     if len(set(y.tolist())) < 2:
         return Model(prior, np.zeros(BUCKETS, np.float32))
     have = np.zeros((2, BUCKETS))
@@ -120,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float)
         for i in range(0, len(y), STEP_ROWS):
             part = order[i : i + STEP_ROWS]
             at, weight = (np.concatenate([rows[r][k] for r in part]) for k in (0, 1))
-            weight = weight * scale[at]
+            weight = weight.astype(np.float32) / HALF * scale[at]
             own = np.repeat(np.arange(len(part)), [len(rows[r][0]) for r in part])
             mean = np.stack([np.bincount(own, weight * vectors[at, d], len(part)) for d in range(WIDTH)], axis=1)
             logits = SCALE * mean @ soft + bias
@@ -144,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     def make():
         def bags(texts: list[bytes | None]) -> list[pa.Array]:
             made = [bag(t) for t in texts]
-            return [pa.array([len(a) for a, _ in made], pa.int64()), *(pa.array([x[k].tobytes() for x in made], pa.binary()) for k in (0, 1))]
+            return [pa.array([len(a) for a, _ in made], pa.int64()), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([(w * HALF).astype(np.float16).tobytes() for _, w in made], pa.binary())]
 
         return bags
 
@@ -153,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     sizes = bags_of.select("place", "n").toPandas().sort_values("place")
     last = sizes["place"][sizes["n"].cumsum() <= most_grams].max()
     got = bags_of.filter(F.col("place") <= (int(last) if len(sizes) and last == last else 0)).toPandas().sort_values(["place", "doc_id"], kind="stable")
-    bags = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(got["at"], got["weight"], strict=True)]
+    bags = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float16)) for a, w in zip(got["at"], got["weight"], strict=True)]
     share = np.clip(some / (none + some), 0.01, 0.99) if none + some else 0.5
     return fit(bags, got["y"].to_numpy(np.int64), float(np.log(share / (1 - share))))
 

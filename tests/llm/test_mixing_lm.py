@@ -28,3 +28,38 @@ def test_weights_move_within_an_ordinary_text():
     finally:
         mixing_lm.RATE = rate
     assert online != still
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing_lm, "SHARD", 20_000)
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' and ', id % 11, ' more, '), cast(5 + id % 60 AS int)) AS text")
+    one, two = ({r["doc_id"]: r["score"] for r in mixing_lm.report(docs.repartition(n)).collect()} for n in (2, 7))
+    assert one == two and len(one) == 300
+
+
+def plain_score(model, text):
+    """The model's log10 probability of a short text, bit by bit."""
+    total, symbols = 0.0, [0] * 6 + [*text.lower(), mixing_lm.END]
+    cat = np.array(symbols, np.int16)
+    hashed = mixing_lm.contexts(cat)
+    for at in range(6, len(cat)):
+        before, symbol = symbols[at - 1] & 255, symbols[at]
+        sym = before * 257 + symbol
+        start = int(model.tree.start[sym])
+        for k in range(start, start + int(model.tree.length[sym])):
+            node, sign = int(model.tree.node[k]), float(model.tree.sign[k])
+            odds = sum(float(model.weights[p, node]) * int(model.odds[p, int(h[at]) ^ int(model.tree.offset[k])]) / mixing_lm.STEP for p, h in enumerate(hashed))
+            bucket = int(min(7.99, max(-7.99, odds)) * mixing_lm.BUCKETS / 16 + mixing_lm.BUCKETS / 2)
+            refined = (odds + float(model.refined[before, bucket])) / 2
+            total -= np.log10(1 + np.exp(-sign * refined))
+    return total
+
+
+def test_scores_against_a_plain_version():
+    counts = np.ones((256, 257), np.int64)
+    learner = mixing_lm.Learner(mixing_lm.code(counts))
+    learner.read([b"the cat sat on the mat", b"a dog and a cat", b"", None] * 40)
+    model = learner.model
+    model.odds = np.stack([np.round(mixing_lm.odds_of(c) * mixing_lm.STEP).astype(np.int8) for c in learner.counts])
+    texts = [b"The cat sat", b"", b"zebra \xc3\xa9", b"on the mat and a dog"]
+    assert np.allclose(mixing_lm.log_probabilities(model, texts), [plain_score(model, t) for t in texts], rtol=1e-3)
