@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from changeloom.functions.scalars import basename
+from changeloom.functions.scalars import basename, dirname
 
 # Commit subjects, lockfiles, and files that change with everything.
 FIX = r"(?i)\b(fix(es|ed|ing)?|bug(fix)?|hotfix|regression|incident|outage|crash(es|ed)?|panic(s|ed)?|broken|leak)\b"
@@ -102,3 +102,91 @@ TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec|testdata)/|(_test\.(go|py|dart)|_s
 
 def is_test(path: Column) -> Column:
     return path.rlike(TEST_PATH)
+
+
+def follows_source(path: Column, generated: Column) -> Column:
+    """Generated code and mocks, which change because their source did."""
+    return generated | path.rlike(r"(^|/)mocks?/") | path.contains(".gen.") | path.endswith("_gen.go")
+
+
+#: What each language's extractor takes for a test, and for code of others or built.
+TESTS_OF = {
+    "ts": r"(\.test\.|\.Spec\.|\.spec\.|\.stories\.)[^/]*$|__tests__/|__mocks__/|(^|/)e2e/|^\.storybook/|/test-utils/|/mocks/|(^|/)setupTests[^/]*$|(^|/)tests?/",
+    "java": r"src/test/|src/it/|/testFixtures/|(Test|Tests|IT)\.java$",
+    "py": r"(^|/)test_[^/]*$|_test\.py$|(^|/)conftest\.py$|(^|/)tests?/",
+    "cs": r"(Tests|Test)\.cs$|(^|/)(tests?|Test|[^/]*Tests|[^/]*\.Test)/",
+    "rs": r"(^|/)(tests|benches)/|_tests?\.rs$",
+}
+OTHERS_OF = {
+    "py": r"site-packages/|(^|/)\.?venv/|node_modules/",
+    "cs": r"(^|/)(bin|obj|packages|node_modules)/",
+    "rs": r"(^|/)(target|vendor)/",
+    "ts": r"node_modules/",
+}
+AUXILIARY = r"\.(sql|proto|ya?ml|tpl|graphql|properties|toml|gradle|kts|csproj|sln|props|targets|go)$"
+AUXILIARY_NAMES = ["Dockerfile", "Makefile", "go.mod", "Chart.yaml", "package.json", "pom.xml", "Pipfile", "setup.cfg", "packages.config", "global.json", "nuget.config", "NuGet.config", "rust-toolchain", "CMakeLists.txt", "Gemfile", "Rakefile", "composer.json", "build.sbt", "Podfile"]
+
+
+def extracted(path: Column, lang: Column) -> Column:
+    """Whether an extractor reads a file of its language: no test, nothing of others, nothing built."""
+    out = F.lit(True)
+    for table in (TESTS_OF, OTHERS_OF):
+        for name, pattern in table.items():
+            out = out & ~((lang == name) & path.rlike(pattern))
+    return out
+
+
+def auxiliary(path: Column) -> Column:
+    """Files without declarations that have a record: schemas, manifests, build files. None of tests or of others."""
+    name = basename(path)
+    gone = path.endswith("_test.go") | path.contains("testdata/") | (path.rlike(TESTS_OF["ts"]) & ~path.rlike(r"\.spec\.[^/]*$|(^|/)tests?/"))
+    for pattern in OTHERS_OF.values():
+        gone = gone | path.rlike(pattern)
+    return ~gone & (path.rlike(AUXILIARY) | name.isin(AUXILIARY_NAMES) | name.rlike(r"^requirements.*\.txt$"))
+
+
+def joined(folder: Column, *parts: str | Column) -> Column:
+    """A path in a folder; an empty folder is the root."""
+    tail = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return F.when(folder == "", tail).otherwise(F.concat(folder, F.lit("/"), tail))
+
+
+def test_candidates(path: Column) -> Column:
+    """Where a file's own test usually lives, by its language, the most usual first; none for other languages."""
+    ext = F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    stem = F.substring(path, F.lit(1), F.length(path) - F.length(ext))
+    folder, name = dirname(path), basename(stem)
+    add = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.array().cast("array<string>")
+    has_main = stem.contains("src/main/")
+    tests = F.regexp_replace(stem, r"^(.*)src/main/", "$1src/test/")
+    project = F.regexp_replace(stem, "^src/", "")
+    first, rest = F.substring_index(project, "/", 1), F.regexp_extract(project, r"^[^/]*/(.*)$", 1)
+    dotnet = F.when(project.contains("/"), F.array(*[add(root, first, ".Tests/", rest, "Tests.cs") for root in ("tests/", "test/", "")])).otherwise(none)
+    crate = F.when(stem.contains("src/"), F.array(add(F.regexp_extract(stem, r"^(.*)src/", 1), "tests/", name, ".rs"))).otherwise(none)
+    ruby = F.regexp_replace(stem, r"^(?:lib/|app/|.*?/lib/|(?!.*/lib/).*?/app/)", "")
+    swift = F.regexp_replace(stem, "^Sources/", "")
+    module, inner = F.substring_index(swift, "/", 1), F.regexp_extract(swift, r"^[^/]*/(.*)$", 1)
+    dart, php = F.regexp_replace(stem, "^lib/", ""), F.regexp_replace(F.regexp_replace(stem, "^src/", ""), "^app/", "")
+    return (
+        F.when(ext.isin(".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"), F.array(add(stem, ".test", ext), add(stem, ".spec", ext), joined(folder, "__tests__/", name, ".test", ext)))
+        .when(ext == ".java", F.when(has_main, F.array(*[add(tests, x) for x in ("Test.java", "Tests.java", "IT.java")])).otherwise(none))
+        .when(ext == ".py", F.array(joined(folder, "test_", name, ".py"), joined(folder, name, "_test.py"), joined(folder, "tests/test_", name, ".py"), add("tests/test_", name, ".py")))
+        .when(ext == ".cs", F.concat(F.array(add(stem, "Tests.cs"), add(stem, "Test.cs")), dotnet))
+        .when(ext == ".rs", F.concat(F.array(add(stem, "_tests.rs"), add(stem, "/tests.rs")), crate))
+        .when(ext.isin(".kt", ".scala"), F.when(has_main, F.array(*[add(tests, x, ext) for x in ("Test", "Tests", "Spec", "Suite")])).otherwise(none))
+        .when(ext == ".rb", F.array(add("spec/", ruby, "_spec.rb"), add("test/", ruby, "_test.rb"), add(stem, "_spec.rb"), add(stem, "_test.rb")))
+        .when((ext == ".swift") & stem.startswith("Sources/") & swift.contains("/"), F.array(*[add("Tests/", module, "Tests/", inner, x) for x in ("Tests.swift", "Test.swift")]))
+        .when(ext == ".swift", F.array(add(stem, "Tests.swift")))
+        .when(ext == ".dart", F.array(add("test/", dart, "_test.dart"), add("test/", name, "_test.dart"), add(stem, "_test.dart")))
+        .when(ext == ".php", F.array(add("tests/", php, "Test.php"), add("tests/Unit/", php, "Test.php"), add(stem, "Test.php")))
+        .when(ext.isin(".ps1", ".psm1"), F.array(add(stem, ".Tests.ps1"), joined(folder, "tests/", name, ".Tests.ps1"), add("tests/", name, ".Tests.ps1")))
+        .when(ext.isin(".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp"), F.array(add(stem, "_test", ext), add(stem, "_unittest", ext), joined(folder, "test/", name, "_test", ext), add("tests/", name, "_test", ext), add("test/", name, "_test", ext)))
+        .otherwise(none)
+    )
+
+
+def test_subject(path: Column) -> Column:
+    """The file that a test file tests, by its name; empty for other files."""
+    go, script = r"^(.*)_test\.go$", r"^(.*)\.(?:test|spec)(\.[jt]sx?)$"
+    return F.when(path.rlike(go), F.regexp_replace(path, go, "$1.go")).when(path.rlike(script), F.regexp_replace(path, script, "$1$2")).otherwise("")

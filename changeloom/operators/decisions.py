@@ -128,7 +128,7 @@ def carry_forward(fresh: DataFrame, old: DataFrame, key: list[str]) -> DataFrame
 
 def critic(issues: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
     """Issues but those that a verdict calls invalid; a missing or malformed verdict keeps its issue."""
-    return issues.join(verdicts.select(*key, "verdict"), key, "left").filter(F.coalesce(F.col("verdict") != "invalid", F.lit(True))).drop("verdict")
+    return issues.join(verdicts.filter("verdict = 'invalid'").select(*key), key, "left_anti")
 
 
 def decode_decision(answer: Column) -> Column:
@@ -152,3 +152,46 @@ def decode_issues(issues: Column) -> Column:
     seen = F.filter(issues, lambda x: ~F.coalesce(x["unseen"], F.lit(False)))
     rest = F.filter(issues, lambda x: F.coalesce(x["unseen"], F.lit(False)))
     return F.struct(F.transform(seen, one).alias("issues"), F.transform(rest, lambda x: x["title"]).alias("checks"))
+
+
+def two_models(rows: DataFrame, accept: dict[str, float]) -> DataFrame:
+    """rows with bucket, confidence and source: what the first model says where it is sure enough, else the second.
+
+    rows(choice, probabilities: map, first_confidence, changes_behavior?, cut_off, second_bucket?, second_confidence?). The
+    first is deferred for an unknown bucket, for less than the bucket's acceptance, for "none" while behavior may change, and for
+    a text that was cut unless a person gets it; without an answer of the second, a person decides.
+    """
+    choice = F.col("choice")
+    p = F.coalesce(F.nullif(F.try_element_at("probabilities", choice), F.lit(0.0)), "first_confidence", F.lit(0.0))
+    why = (
+        F.when(choice.isNull() | ~choice.isin(_NAMES), "invalid answer")
+        .when(p < lookup(accept, choice, 0.0), "not sure enough")
+        .when((choice == "none") & (F.coalesce("changes_behavior", F.lit(0.0)) > 1 - accept.get("none", 0.0)), "behavior may change")
+        .when(F.col("cut_off") & (choice != "human"), "text was cut")
+    )
+    sure = why.isNull()
+    return rows.withColumns({
+        "bucket": F.when(sure, choice).otherwise(F.coalesce("second_bucket", F.lit("human"))),
+        "confidence": F.when(sure, p).otherwise(F.coalesce("second_confidence", F.lit(0.0))),
+        "source": F.when(sure, "first").when(F.col("second_bucket").isNotNull(), "second").otherwise("none"),
+        "deferred": why,
+    })
+
+
+def rescore(units: DataFrame) -> DataFrame:
+    """units of older runs, which lack a score: prior, pin and floor are made from the stored bucket, a failed summary pins to
+    a person, and a reviewed unit gets what its review gives; scored units and those without a bucket stay.
+
+    units(prior?, base?, pin?, floor?, attention, clean, bucket, escalated: array, reviewed, review_failed, severities, and what
+    score_units takes).
+    """
+    old = F.col("prior").isNull() & F.col("bucket").isNotNull()
+    keep = ["prior", "base", "pin", "floor", "attention", "clean"]
+    named = units.withColumn("_old", old).withColumns({f"_{c}": F.col(c) for c in keep}).drop(*keep)
+    made = score_units(named)
+    failed = F.exists("escalated", lambda x: x.startswith("summarizer:") | x.startswith("summary failed:"))
+    made = made.withColumn("pin", F.when(failed, "human").otherwise(F.col("pin")))
+    seen = after_review(made.withColumn("_first_pin", F.col("pin")))
+    unseen = {"attention": F.lit(0), "clean": F.lit(0.0), "pin": F.col("_first_pin")}
+    seen = seen.withColumns({c: F.when(F.col("reviewed"), F.col(c)).otherwise(v) for c, v in unseen.items()})
+    return seen.withColumns({c: F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_{c}")) for c in keep}).select(*units.columns)

@@ -14,7 +14,9 @@ def _cut(df: DataFrame) -> DataFrame:
     """Computes df and writes it to the checkpoint folder, so that a loop's plan doesn't grow with its rounds."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -81,16 +83,14 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None) -> DataF
 
     Semi-naive: a round joins only what the last one found, for all starts at once.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct()
-    seen = starts.select("sid", "node").distinct().withColumn("hop", F.lit(0))
-    edge, hop = seen, 0
+    back = _cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
+    edge = seen = _cut(starts.select("sid", "node").distinct().withColumn("hop", F.lit(0)))
+    hop = 0
     while hops is None or hop < hops:
         hop += 1
-        found = edge.join(back, "node").select("sid", F.col("_next").alias("node")).distinct().join(seen.select("sid", "node"), ["sid", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        if hops is None:
-            found = _cut(found)
-            if found.isEmpty():
-                break
+        found = _cut(edge.join(back, "node").select("sid", F.col("_next").alias("node")).distinct().join(seen.select("sid", "node"), ["sid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if hops is None and found.isEmpty():
+            break
         edge, seen = found, seen.unionByName(found)
         if hops is None:
             seen = _cut(seen)
@@ -106,7 +106,7 @@ def dependents(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int
 
 def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:
     """(node, caller): who calls a node, seen through transparent nodes(node), which stand for their own callers, in
-    chains of any length: a round sees one further, and ends when no pair is new."""
+    chains of any length: a round sees one further, and ends when no pair is new. A node on a cycle isn't its own caller."""
     clear = transparent.select("node").distinct()
     edge = edges.select(F.col("dst").alias("node"), F.col("src").alias("caller")).distinct()
     real, through = edge.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti"), edge.join(clear.withColumnRenamed("node", "caller"), "caller", "left_semi")
@@ -118,18 +118,22 @@ def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:
         if through.isEmpty():
             break
         seen = _cut(seen.unionByName(through))
-    return real.select("node", "caller").distinct()
+    return real.select("node", "caller").filter("node <> caller").distinct()
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, hops: int, decay: float) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, hops: int, decay: float, silent: DataFrame | None = None) -> DataFrame:
     """(node, tag, score, hop): tags of seeds(node, tag, score) carried to those that lead to them, at most so many hops;
-    the fewest hops count, and a score falls to score * (1 - decay * hop), rounded."""
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct()
+    the fewest hops count, and a score falls to score * (1 - decay * hop), rounded. silent(node): nodes that pass tags on but
+    get none themselves. A round goes on from what no round before has reached."""
+    back = _cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
     level = seeds.select("node", "tag", F.col("score").alias("_first"), F.lit(0).alias("hop"))
     every = level
     for hop in range(1, hops + 1):
-        level = level.join(back, "node").select(F.col("_next").alias("node"), "tag", "_first", F.lit(hop).alias("hop")).distinct()
+        level = level.join(back, "node").select(F.col("_next").alias("node"), "tag", "_first", F.lit(hop).alias("hop"))
+        level = _cut(level.groupBy("node", "tag", "hop").agg(F.max("_first").alias("_first")).join(every.select("node", "tag").distinct(), ["node", "tag"], "left_anti").select("node", "tag", "_first", "hop"))
         every = every.unionByName(level)
+    if silent is not None:
+        every = every.join(silent.select("node").distinct(), "node", "left_anti")
     best = every.groupBy("node", "tag").agg(F.min(F.struct("hop", (-F.col("_first")).alias("_minus"))).alias("_b"))
     score = F.floor(-F.col("_b._minus") * (1 - F.lit(decay) * F.col("_b.hop")) + 0.5).cast("int")
     return best.select("node", "tag", score.alias("score"), F.col("_b.hop").alias("hop"))

@@ -65,3 +65,26 @@ def rollback_score(tags: DataFrame, subject: list[str], default: int = 10, bonus
     strongest = F.max("score")
     more = F.greatest(F.lit(0), F.count_if(F.col("score") >= least) - (strongest >= least).cast("int"))
     return tags.groupBy(*subject).agg(F.least(F.lit(100), F.greatest(F.lit(default), strongest) + bonus * more).cast("int").alias("rollback"))
+
+
+def sorted_tags(tags: DataFrame, subject: list[str]) -> DataFrame:
+    """(subject, tags): array<struct<tag, score>> of the highest score of each tag, the highest first, then by name."""
+    best = tags.groupBy(*subject, "tag").agg(F.max("score").alias("score"))
+    listed = best.groupBy(*subject).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "tag", "score"))).alias("t"))
+    return listed.select(*subject, F.transform("t", lambda x: F.struct(x["tag"].alias("tag"), x["score"].alias("score"))).alias("tags"))
+
+
+def file_tags(tags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(repo, file, tag, score, floor): tags and floors of all of a file's symbols, emitted or not; caps aren't passed on.
+
+    tags(key, tag, score, floor); nodes(key, repo, file, internal): internal ones and those without a file don't count.
+    """
+    own = nodes.filter(~F.col("internal") & (F.col("file") != "")).select("key", "repo", "file")
+    return tags.join(own, "key").groupBy("repo", "file", "tag").agg(F.max("score").alias("score"), F.max("floor").alias("floor"))
+
+
+def emitted(symbols: DataFrame, least_callers: int = 2, least_score: int = 60, exported: bool = False) -> DataFrame:
+    """The symbols(kind, exported, caller_files, top_score, virtual_caller) that get a record of their own."""
+    some = (F.coalesce("caller_files", F.lit(0)) >= least_callers) | (F.coalesce("top_score", F.lit(0)) >= least_score)
+    some = some | (F.col("kind") == "api-op") | F.coalesce("virtual_caller", F.lit(False))
+    return symbols.filter(some | F.col("exported") if exported else some)

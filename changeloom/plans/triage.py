@@ -6,38 +6,62 @@ person. Many change sets are triaged in one job.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import patterns
-from changeloom.operators import decisions
+from changeloom.operators import change, decisions
 from changeloom.plans.lookup import fallback_lookup
 from changeloom.sources.diffs import parse_diff, units
 
 
-def presort(rows: DataFrame) -> DataFrame:
-    """units with rule: what a rule decides before any model, or null. The order of rules is the order of precedence."""
+#: A policy's patterns: what always goes to a person, and what is generated.
+POLICY = {"force_human": ["**/migrations/**"], "generated": ["vendor/", "node_modules/", "*.pb.go", "*.gen.go", *patterns.LOCKFILES]}
+
+
+def presort(rows: DataFrame, policy: dict | None = None) -> DataFrame:
+    """units with rule: what a rule decides before any model (bucket, change_kind, reason), or null. The order of rules is the
+    order of precedence.
+
+    rows(file, symbol, status, lines, and if known: binary, attribute: whether .gitattributes mark the file as generated, head: its
+    first characters, real: whether its diff without white space has changes, n_hunks).
+    """
+    rules, file = policy or POLICY, F.col("file")
     changed = F.transform(F.filter("lines", lambda x: x["op"] != " "), lambda x: F.concat(x["op"], x["text"]))
-    value = lambda bucket, kind: F.struct(F.lit(bucket).alias("bucket"), F.lit(kind).alias("change_kind"))
-    file = F.col("file")
-    rules = [
-        (file.rlike(patterns.map_glob("**/migrations/**")), value("human", "behavior")),
-        (patterns.skipped(file), value("none", "generated")),
-        ((F.col("symbol") == "imports") & patterns.only_lines(changed, patterns.IMPORT_LINE, patterns.RUNS_CODE), value("none", "format")),
-        ((F.col("symbol") == "") & patterns.only_lines(changed, patterns.PACKAGE_LINE), value("none", "format")),
-        (patterns.is_docs(file), value("skim", "docs")),
+    value = lambda bucket, kind, reason: F.struct(F.lit(bucket).alias("bucket"), F.lit(kind).alias("change_kind"), F.lit(reason).alias("reason"))
+    has = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(default)
+    any_of = lambda globs: reduce(or_, [patterns.policy_glob(g)(file) for g in globs], F.lit(False))
+    lines = has("n_hunks", 1) > 0
+    go = file.endswith(".go")
+    cascade = [
+        (any_of(rules["force_human"]), value("human", "config", "policy: always a person")),
+        (has("binary", False), value("human", "binary", "binary file")),
+        (any_of(rules["generated"]), value("none", "generated", "policy: generated")),
+        (has("attribute", False), value("none", "generated", "attributes: generated")),
+        ((F.col("status") != "deleted") & patterns.generated_header(has("head", "")), value("none", "generated", "header: generated")),
+        ((F.col("status") == "renamed") & ~lines, value("none", "rename", "renamed as it was")),
+        (lines & ~has("real", True), value("none", "format", "white space alone")),
+        (go & (F.col("symbol") == "imports") & patterns.only_lines(changed, patterns.IMPORT_LINE, patterns.RUNS_CODE), value("none", "format", "imports alone")),
+        (go & (F.col("symbol") == "") & patterns.only_lines(changed, patterns.PACKAGE_LINE), value("none", "format", "package clause alone")),
+        (patterns.is_docs(file), value("skim", "docs", "documentation")),
     ]
-    return rows.withColumn("rule", patterns.cascade(rules))
+    return rows.withColumn("rule", patterns.cascade(cascade))
 
 
-def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced") -> DataFrame:
-    """(change_id, id, file, impact, prior, attention, total, bucket, ord) in the order in which units are looked at.
+def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None) -> DataFrame:
+    """(change_id, id, file, impact, likelihood, prior, attention, total, bucket, ord) in the order in which units are looked at.
 
     diffs(change_id, text); declarations(change_id, path, name, start, end, ord); answers(change_id, id, bucket,
-    change_kind, confidence); issues(change_id, id, severity), all of reviewed units.
+    change_kind, confidence); issues(change_id, id, severity), all of reviewed units; measures(change_id, path, and what
+    change_likelihood takes of a file: history, complexity, experience, partners, tests), without which only the change
+    itself is scored: its size and how far it is spread.
     """
     files, lines = parse_diff(diffs)
-    made = presort(units(files, lines, declarations))
+    own = files.select("change_id", F.col("path").alias("file"), "binary")
+    made = presort(units(files, lines, declarations).join(own, ["change_id", "file"]), policy)
     made = made.withColumn("chars", F.aggregate("lines", F.lit(0), lambda a, x: a + F.octet_length(x["text"]) + 2)).withColumn("qid", F.xxhash64("change_id", "id"))
     looked = fallback_lookup(made.select("qid", F.lit(repo).alias("repo"), F.col("file").alias("path"), F.nullif("symbol", F.lit("")).alias("sym"), F.col("line").alias("lo"), F.col("line").alias("hi"), (F.col("status") == "added").alias("new_file")), records, rules)
     known = made.join(looked.select("qid", F.when(F.col("matched") != "none", F.col("impact")).alias("impact")), "qid")
@@ -50,8 +74,8 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
         "source": F.when(F.col("rule").isNotNull(), "rule").when(F.col("_b").isNull(), "none").otherwise("model"),
         "confidence": F.when(F.col("rule").isNotNull(), 1.0).otherwise(F.coalesce("_c", F.lit(0.0))),
         "risk_signals": F.array().cast("array<string>"),
-        "likelihood": F.lit(None).cast("int"),
     })
+    x = likelihoods(x, files, measures)
     scored = decisions.score_units(x)
     found = issues.groupBy("change_id", "id").agg(F.collect_list("severity").alias("severities"))
     reviewed = scored.join(found, ["change_id", "id"], "left").withColumns({"severities": F.coalesce("severities", F.array().cast("array<string>")), "reviewed": F.lit(True), "review_failed": F.lit(False)})
@@ -59,4 +83,18 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
     under = decisions.budgets(diffs.sparkSession).filter(F.col("budget") == budget)
     placed = decisions.place(after.drop("bucket"), under)
     w = Window.partitionBy("change_id").orderBy(*decisions.bucket_order(placed, "id"))
-    return placed.select("change_id", "id", "file", "impact", "prior", "attention", "total", "bucket", F.row_number().over(w).alias("ord"))
+    return placed.select("change_id", "id", "file", "impact", "likelihood", "prior", "attention", "total", "bucket", F.row_number().over(w).alias("ord"))
+
+
+#: What change_likelihood takes of a file, with its type.
+MEASURES = {"generated": "boolean", "recent_fixes": "double", "reverts": "bigint", "recent": "double", "authors": "bigint", "dir_fixes": "double", "cyclo": "int", "nest": "int", "delta": "int", "file_commits": "bigint", "repo_commits": "bigint", "n_missing": "int", "test_gap": "boolean", "fix_pr": "boolean"}
+
+
+def likelihoods(x: DataFrame, files: DataFrame, measures: DataFrame | None) -> DataFrame:
+    """x(change_id, file, added, removed, source, bucket) with the likelihood of each unit."""
+    known = [] if measures is None else measures.columns
+    of_file = files.select("change_id", F.col("path").alias("file")).distinct() if measures is None else measures.withColumnRenamed("path", "file")
+    of_file = of_file.select("change_id", "file", *[(F.col(c) if c in known else F.lit(None).cast(t)).alias(c) for c, t in MEASURES.items()])
+    met = x.join(of_file, ["change_id", "file"], "left").join(change.spread(files), "change_id", "left")
+    met = met.withColumns({"path": F.col("file"), "changed": F.col("added") + F.col("removed"), "skipped": (F.col("source") == "rule") & (F.col("bucket") == "none"), "generated": F.coalesce("generated", F.lit(False))})
+    return change.change_likelihood(met).select(*x.columns, "likelihood", "likelihood_level", "factors")

@@ -148,14 +148,23 @@ def fallback_lookup_levels(spark, sf):
     return joins.fallback(c.select("qid"), "qid", levels).select("qid", "matched", "value")
 
 
-@query()
+_TURNS = "SELECT conv_id, list({'n': length(text), 'used': 0::BIGINT, 'k': 0, 'out': ''} ORDER BY turn) AS l, {'n': 0::BIGINT, 'used': 0::BIGINT, 'k': 0, 'out': ''} AS nil, string_agg(turn, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id"
+
+
+def _turns(spark, sf):
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").alias("n")))).alias("t"))
+    return t.withColumn("sizes", F.transform("t", lambda x: x["n"]))
+
+
+@query(f"""WITH t AS ({_TURNS}) SELECT conv_id, turns,
+list_reduce(l, lambda a, x: {{'n': x.n, 'used': a.used + CASE WHEN a.used + x.n <= 400 THEN x.n ELSE 0 END, 'k': 0, 'out': a.out || CASE WHEN a.used + x.n <= 400 THEN 'y' ELSE 'n' END}}, nil).out AS taken FROM t""")
 def greedy_budget_fill(spark, sf):
     """Turns of a conversation that fit into 400 characters, taken in order; one too long is skipped."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").alias("n")))).alias("t"))
-    return turns.select("conv_id", F.transform("t", lambda x: x["turn"]).alias("turns"), greedy_fill(F.transform("t", lambda x: x["n"]), 400).alias("taken"))
+    taken = F.array_join(F.transform(greedy_fill(F.col("sizes"), 400), lambda x: F.when(x, "y").otherwise("n")), "")
+    return _turns(spark, sf).select("conv_id", F.array_join(F.transform("t", lambda x: x["turn"].cast("string")), ",").alias("turns"), taken.alias("taken"))
 
 
-@query()
+@query(f"""WITH t AS ({_TURNS}) SELECT conv_id,
+substr(list_reduce(l, lambda a, x: {{'n': x.n, 'used': CASE WHEN a.used > 0 AND a.used + x.n > 400 THEN 0 ELSE a.used END + x.n, 'k': a.k + CASE WHEN a.used > 0 AND a.used + x.n > 400 THEN 1 ELSE 0 END, 'out': a.out || ',' || (a.k + CASE WHEN a.used > 0 AND a.used + x.n > 400 THEN 1 ELSE 0 END)}}, nil).out, 2) AS batch FROM t""")
 def batch_packing(spark, sf):
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").alias("n")))).alias("t"))
-    return turns.select("conv_id", pack(F.transform("t", lambda x: x["n"]), 400).alias("batch"))
+    return _turns(spark, sf).select("conv_id", F.array_join(pack(F.col("sizes"), 400).cast("array<string>"), ",").alias("batch"))

@@ -21,7 +21,7 @@ def read_log(spark: SparkSession, path: str, repo: Column | None = None) -> Data
 def parse_log(rows: DataFrame, text: str) -> DataFrame:
     """(hash, ts, email, subject, seq, files) of records; short ones are dropped, emails are lower-cased."""
     head = F.split(F.element_at(F.split(text, "\n"), 1), FIELD)
-    body = F.slice(F.split(F.col(text), "\n"), 2, 1_000_000)
+    body = F.filter(F.split(F.col(text), "\n"), lambda _, i: i > 0)
     kept = F.filter(F.transform(body, lambda x: F.split(x, "\t")), lambda x: F.size(x) >= 2)
     files = F.transform(kept, lambda x: F.struct(F.substring(x[0], 1, 1).alias("status"), F.element_at(x, -1).alias("path")))
     good = rows.filter(F.size(head) == 4)
