@@ -100,7 +100,7 @@ def explained(measures: dict[str, Column], table: dict[str, tuple[float, float,
     made = []
     for place, name in enumerate(n for n in table if n in measures):
         value = F.coalesce(measures[name].cast("double"), F.lit(0.0))
-        shown = F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
+        shown = F.regexp_replace(F.format_string("%.1f", F.bround(value, 1)), r"\.0$", "")
         made.append(F.struct((-points(value, *table[name])).alias("minus"), F.lit(place).alias("place"), F.lit(name).alias("name"), points(value, *table[name]).alias("points"), F.format_string(says.get(name, f"{name}: %s"), shown).alias("why")))
     kept = F.array_sort(F.filter(F.array(*made), lambda x: x["points"] >= 0.5))
     return F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["points"].alias("points"), x["why"].alias("why")))

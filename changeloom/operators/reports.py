@@ -118,7 +118,7 @@ def markdown(units: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
 
 
 def eval_lines(rates: DataFrame) -> DataFrame:
-    """rates(case, units, exact, misses, under, over) with ``text``: a line of shares for each case."""
-    share = lambda c: F.format_string("%d (%.1f%%)", F.col(c), F.coalesce(F.try_divide(100.0 * F.col(c), F.col("units")), F.lit(0.0)))
+    """rates(case, units, exact, misses, under, over) with ``text``: a line of shares for each case, halves rounded to even."""
+    share = lambda c: F.format_string("%d (%.1f%%)", F.col(c), F.bround(F.coalesce(F.try_divide(100.0 * F.col(c), F.col("units")), F.lit(0.0)), 1))
     text = F.format_string("%s: %d units, exact %s, misses %s, under %s, over %s", F.col("case"), F.col("units"), *[share(c) for c in ("exact", "misses", "under", "over")])
     return rates.withColumn("text", text)
