@@ -117,15 +117,17 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[list[bytes |
     return df.mapInArrow(run, schema)
 
 
-def join_sizes(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+def join_sizes(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, most: int | None = None) -> DataFrame:
     """Left join of rows with groups (one row a key, with its number of rows), where a few keys may hold most rows.
 
     Keys with more than one in HOT_SHARE of all rows are fewer than HOT_SHARE, so their groups are broadcast. Rows of
-    other keys meet their group in a shuffle, for which rows already served are dealt by ``spread`` instead.
+    other keys meet their group in a shuffle, for which rows already served are dealt by ``spread`` instead. ``most``: the sum
+    of the sizes or more, if it is known.
     """
     values = [c for c in groups.columns if c != key]
     total = groups.agg(F.sum(size).alias("_all"))
-    hot = groups.join(F.broadcast(total), F.col(size) * HOT_SHARE > F.col("_all")).select(F.col(key), F.struct(*values).alias("_hot"))
+    large = groups.join(F.broadcast(total), F.col(size) * HOT_SHARE > F.col("_all")) if most is None else groups.filter(F.col(size) * HOT_SHARE > most)
+    hot = large.select(F.col(key), F.struct(*values).alias("_hot"))
     cold = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
     first = rows.join(F.broadcast(hot), key, "left")
     dealt = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.col(spread)))

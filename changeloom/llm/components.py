@@ -22,9 +22,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"), F.count("*").alias("size"))
-        large = join_sizes(both.filter("b > a"), least, "a", "size", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_sizes(both.filter("b > a"), least, "a", "size", "b", 2 * mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
-        small = join_sizes(large, least, "a", "size", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = join_sizes(large, least, "a", "size", "b", mark[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.*").filter("a <> b").distinct())
         if (now := _mark(edges)) == mark:
             break

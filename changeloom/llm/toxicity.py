@@ -29,9 +29,9 @@ from changeloom.llm.common import cut, map_text, pick
 from changeloom.llm.decontaminate import words_of
 from changeloom.llm.labelled import held_out, sample
 
-#: At most so many labelled rows of each label are learned from, and at most so many n-grams of them in all (72 MB): rows of
+#: At most so many labelled rows of each label are learned from, and at most so many n-grams of them in all (48 MB): rows of
 #: larger hashes of their ids are left out beyond that.
-MOST_LABELLED, MOST_GRAMS = 3_000, 12_000_000
+MOST_LABELLED, MOST_GRAMS = 3_000, 8_000_000
 BUCKETS, WIDTH, GRAMS = 1 << 17, 4, (3, 4, 5)
 EPOCHS, STEP_ROWS, RATE, DECAY, STEEPEST = 12, 128, 30.0, 1e-5, 0.05
 
@@ -155,10 +155,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     bags_of = cut(map_text(rows, text, make, fields, drop=True).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("place"), "y", "n", "at", "weight"))
     sizes = bags_of.select("place", "n").toPandas().sort_values("place")
     last = sizes["place"][sizes["n"].cumsum() <= most_grams].max()
-    got = bags_of.filter(F.col("place") <= (int(last) if len(sizes) and last == last else 0)).toPandas().sort_values(["place", "doc_id"], kind="stable")
-    bags = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float16)) for a, w in zip(got["at"], got["weight"], strict=True)]
+    got = bags_of.filter(F.col("place") <= (int(last) if len(sizes) and last == last else 0)).select("place", "y", "at", "weight").toArrow().combine_chunks()
+    order = np.argsort(got["place"].to_numpy(), kind="stable")
+    both = [_parts(got[c].combine_chunks(), kind) for c, kind in (("at", np.int32), ("weight", np.float16))]
+    bags, y = [(both[0][i], both[1][i]) for i in order], got["y"].to_numpy()[order].astype(np.int64)
     share = np.clip(some / (none + some), 0.01, 0.99) if none + some else 0.5
-    return fit(bags, got["y"].to_numpy(np.int64), float(np.log(share / (1 - share))))
+    model = fit(bags, y, float(np.log(share / (1 - share))))
+    del got, both, bags
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _parts(packed: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers in each row of a binary column, without a copy."""
+    arrays = packed.chunks if isinstance(packed, pa.ChunkedArray) else [packed]
+    out: list[np.ndarray] = []
+    for a in arrays:
+        ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] // np.dtype(kind).itemsize
+        data = np.frombuffer(a.buffers()[2] or b"", kind)
+        out += [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+    return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
