@@ -146,6 +146,19 @@ def ranked(rows: DataFrame, part: str) -> DataFrame:
     return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
 
+def gaps(shares: list[tuple[str, str, int]], sources: list[str], zero: list[int]) -> np.ndarray:
+    """The sums over terms of |p - q| for each two sources (above the diagonal), of shares(term, source, p); zero: the others."""
+    number = {s: i for i, s in enumerate(sources)}
+    terms = {t: i for i, t in enumerate(dict.fromkeys(t for t, _, _ in shares))}
+    p = np.repeat(np.array([zero], np.int64), len(terms), axis=0)
+    for term, source, own in shares:
+        p[terms[term], number[source]] = own
+    total = np.zeros((len(sources), len(sources)), np.int64)
+    for x in range(len(sources)):
+        total[x, x + 1 :] = np.abs(p[:, x + 1 :] - p[:, x : x + 1]).sum(axis=0)
+    return total
+
+
 def distances(shares: DataFrame, groups: DataFrame, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(lang, a, b, value), a < b: the sum of |p - q| over all kept terms for each two groups of a language.
 
@@ -162,56 +175,34 @@ def distances(shares: DataFrame, groups: DataFrame, block: int = BLOCK, tile: in
     rows = placed.select("lang", "block", F.least("own", "t").alias("i"), F.greatest("own", "t").alias("j"), "source", "term", "p", "own")
     key = ["lang", "block", "i", "j"]
 
+    def given(sums: dict) -> pa.RecordBatch:
+        flat = [(lang, *pair, v) for lang, own in sums.items() for pair, v in own.items()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate(kinds)], names=["lang", "a", "b", "value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int, int], dict[tuple[str, str], int]] = {}
-        at, names, zero, tile_of, held = None, [], None, None, []
-
-        def added(ready: list[tuple[str, str, int]]) -> None:
-            number = {s: i for i, s in enumerate(names)}
-            terms = {t: i for i, t in enumerate(dict.fromkeys(t for t, _, _ in ready))}
-            p = np.repeat(zero[None], len(terms), axis=0)
-            p[[terms[t] for t, _, _ in ready], [number[s] for _, s, _ in ready]] = [v for _, _, v in ready]
-            for x in range(len(names)):
-                total[x, x + 1 :] += np.abs(p[:, x + 1 :] - p[:, x : x + 1]).sum(axis=0)
-
-        def close() -> None:
-            if at is None:
-                return
-            if held:
-                added(held)
-            own = sums.setdefault((at[0], *at[2:]), {})
-            for x in range(len(names)):
-                for y in range(x + 1, len(names)):
-                    if at[2] == at[3] or tile_of[x] != tile_of[y]:
-                        own[names[x], names[y]] = own.get((names[x], names[y]), 0) + int(total[x, y])
-
-        def given(done: dict) -> pa.RecordBatch:
-            flat = [(lang, a, b, v) for (lang, _, _), own in done.items() for (a, b), v in own.items()]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], kind) for i, kind in enumerate(kinds)], names=["lang", "a", "b", "value"])
-
-        for batch in batches:
-            for *k, source, term, p, own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != (k := tuple(k)):
-                    close()
-                    if len(sums) > 64:  # one task may have many small languages
-                        yield given(sums)
-                        sums = {}
-                    at, names, zero, tile_of, held = k, [], [], [], []
+        sums: dict[str, dict[tuple[str, str], int]] = {}
+        entries = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for (lang, _, i, j), own in groupby(entries, lambda row: row[:4]):
+            if lang not in sums and len(sums) >= 64:  # a task may have many small languages
+                yield given(sums)
+                sums = {}
+            names, zero, tile_of, held, total = [], [], [], [], 0
+            for *_, source, term, p, t in own:
                 if term is None:
                     names.append(source)
                     zero.append(p)
-                    tile_of.append(own)
+                    tile_of.append(t)
                     continue
-                if isinstance(zero, list):
-                    zero, total = np.array(zero, np.int64), np.zeros((len(names), len(names)), np.int64)
                 if len(held) * len(names) >= CELLS and held[-1][0] != term:
-                    added(held)
-                    held = []
+                    total, held = total + gaps(held, names, zero), []
                 held.append((term, source, p))
-            if isinstance(zero, list):
-                total = np.zeros((len(names), len(names)), np.int64)
-        close()
+            total = total + gaps(held, names, zero)
+            mine = sums.setdefault(lang, {})
+            for x, y in zip(*np.triu_indices(len(names), 1), strict=True):
+                if i == j or tile_of[x] != tile_of[y]:
+                    pair = (names[x], names[y])
+                    mine[pair] = mine.get(pair, 0) + int(total[x, y])
         yield given(sums)
 
     dealt = rows.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("term"), "source")
@@ -219,7 +210,7 @@ def distances(shares: DataFrame, groups: DataFrame, block: int = BLOCK, tile: in
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank: distances to the other sources (part 'pair'), and the terms that a source has
     more of than its language (part 'term', ranks to ``top``)."""
     rows = pick(docs, lang, source, text).toDF("lang", "source", "text").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
@@ -235,6 +226,6 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     shares = cut(met.select("lang", "source", "term", "terms", "sources", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q")))
     more = ranked(shares.filter("p > q").select("lang", "source", F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value")), "term").filter(F.col("rank") <= top)
     zero = share(F.lit(0), F.col("total"), F.col("terms"))
-    apart = distances(shares, groups.select("lang", "source", "terms", "sources", zero.alias("zero")))
+    apart = distances(shares, groups.select("lang", "source", "terms", "sources", zero.alias("zero")), block, tile)
     both = apart.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("s"), "value")
     return ranked(both.select("lang", "s.source", "s.item", "value"), "pair").unionByName(more)
