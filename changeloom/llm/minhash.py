@@ -5,12 +5,11 @@ the full sets. A set's hashes are its one permutation: the highest bits name a b
 empty bin takes the value of a full one, in an order of bins that is its own and fixed (optimal densification). A sketch has
 a byte a bin; BANDS groups of ROWS bins each name a bucket. At 0.8 a pair shares no bucket once in 16,000 times.
 
-Pairs are bounded by stars. Each text is first tested with one text: the least of a bucket, the one that it shares most
-buckets with. Components give labels. In a bucket of several labels the largest label's texts and others' are dealt to
-blocks, and each text of another label visits all blocks; there whole sketches are compared, and only texts of another label
-that agree in enough bins are candidates: first the best of each label, then, with new labels, all that are left. A pair is
-looked at in the first bucket that it shares. So no bucket meets in one task, pairs within a label cost nothing, and a
-link between labels is only missed if its sketches differ by over four standard deviations.
+Pairs are bounded by stars. Each text is first tested with a few texts only: of the least ones of its buckets those that it
+shares most buckets with. What that links has one label. In a bucket of several labels the texts are dealt to blocks by their
+hashes, and each text that isn't of the bucket's largest label visits all its blocks with its full set; a block's sets are
+inverted once, so a visit counts its shared shingles with all of them, and gives one link a label at most. So no bucket meets
+in one task, texts of one label aren't compared, no pair leaves its task unless it is a link, and no link between labels is lost.
 
 Cases: texts of the same shingles are one node; a text of one to three words is one shingle; texts without words, and null
 texts, have an empty set, link with nothing and are their own component; a null doc_id is never the smallest of a
@@ -40,11 +39,11 @@ WORDS = 4
 #: Bins of a sketch (a power of two), bins of a band, bands.
 BINS, ROWS, BANDS = 512, 6, 32
 
-#: Candidates agree in so many bins: 0.8 of them less four and a half standard deviations.
-AGREE = int(BINS * 0.8 - 4.5 * (BINS * 0.8 * 0.2) ** 0.5)
+#: The texts that each text is tested with first.
+STARS = 3
 
-#: A bucket of more texts is dealt to several blocks.
-BLOCK = 2048
+#: Shingles of a block, about.
+BLOCK = 1 << 19
 
 U = np.uint64
 
@@ -118,83 +117,90 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return join_sizes(lists, several, "key", "size", "node").filter("center IS NOT NULL")
 
 
-def stars(met: DataFrame) -> DataFrame:
-    """(a, b): each node and the centre that it shares most buckets with."""
+def stars(met: DataFrame, most: int = STARS) -> DataFrame:
+    """(a, b): each node and the centres, below it, that it shares most buckets with."""
     votes = met.filter("node <> center").groupBy("node", "center").count()
-    return votes.groupBy(F.col("node").alias("a")).agg(F.max_by("center", F.struct("count", -F.col("center"))).alias("b"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "center"))), 1, most)
+    return votes.groupBy(F.col("node").alias("a")).agg(best.alias("best")).select("a", F.explode("best.center").alias("b"))
 
 
-def dealt(met: DataFrame, labels: DataFrame, sketches: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(key, block, own, minor, node, label, n, sketch) for buckets of several labels.
+def labelled(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(node, label): for each node with a link to a smaller one, one that so many doubled steps down those links reach."""
+    up = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
+    for _ in range(jumps):
+        further = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        sizes = up.groupBy("label").agg(F.count("*").alias("size")).join(further, "label", "left")
+        up = cut(join_sizes(up, sizes, "label", "size", "node").select("node", F.coalesce("next", "label").alias("label")))
+    return up
 
-    Each node is in one block of its bucket; nodes of all but the bucket's largest label (minor) visit each block besides.
-    """
-    marked = met.join(labels, met["node"] == labels["node"], "left").select("key", met["node"], F.coalesce("root", met["node"]).alias("label"))
-    parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
-    rest = join_sizes(marked, cut(mixed.select("key", "major", "size")), "key", "size", "node").filter("major IS NOT NULL")
-    blocks = F.ceil(F.col("size") / block)
-    minor = F.col("label") != F.col("major")
-    home = F.struct(F.pmod(F.xxhash64("node"), blocks).alias("block"), F.lit(True).alias("own"))
-    visits = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(False).alias("own")))
-    places = F.concat(F.array(home), F.when(minor, visits).otherwise(F.array().cast("array<struct<block: bigint, own: boolean>>")))
-    with_sketch = rest.withColumn("minor", minor).withColumn("places", places).join(sketches, "node")
-    return with_sketch.select("key", F.explode("places").alias("p"), "minor", "node", "label", "n", "sketch").select("key", "p.block", "p.own", "minor", "node", "label", "n", "sketch")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Equally long binary values as rows of bytes."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
 
+def dealt(met: DataFrame, labels: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, block, home, minor, node, label, own) for buckets of several labels.
 
-def met_in_blocks(rows: DataFrame, best: bool, agree: int = AGREE) -> DataFrame:
-    """(a, b): nodes of rows (see ``dealt``) whose labels differ, whose sizes allow a link and whose sketches agree enough; each
-    pair in the first bucket that it shares. ``best``: of each label only the one that agrees most with the visiting node."""
+    Each node is at home in one block of its bucket; nodes of all but the bucket's largest label (minor) visit each block.
+    """
+    sized = met.join(sets.select("node", F.size("own").alias("n")), "node")
+    marked = sized.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    parts = marked.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("size"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    rest = join_sizes(marked, cut(mixed.select("key", "major", "size", "all")), "key", "size", "node").filter("major IS NOT NULL")
+    blocks = F.ceil(F.col("all") / block)
+    minor = F.col("label") != F.col("major")
+    visits = F.when(minor, F.sequence(F.lit(0).cast("bigint"), blocks - 1)).otherwise(F.array().cast("array<bigint>"))
+    places = F.concat(F.array(-1 - F.pmod(F.xxhash64("node"), blocks)), visits)  # the block at home counts from -1 down
+    placed = rest.select("key", "node", "label", minor.alias("minor"), F.explode(places).alias("p")).join(sets, "node")
+    home = F.col("p") < 0
+    return placed.select("key", F.when(home, -1 - F.col("p")).otherwise(F.col("p")).alias("block"), home.alias("home"), "minor", "node", "label", "own")
+
+
+class Block:
+    """The sets at home in a block, inverted: the shingles in order, each with the number of its set."""
+
+    def __init__(self, parts: list[dict]):
+        self.minor, self.node, self.label, self.n = (np.concatenate([p[c] for p in parts]) for c in ("minor", "node", "label", "n"))
+        flat = np.concatenate([p["own"] for p in parts])
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.number = flat[order], np.repeat(np.arange(len(self.n)), self.n)[order]
+
+    def links(self, node: int, label: int, own: np.ndarray) -> np.ndarray:
+        """Of each other label one set that is similar enough; of two visitors the smaller one asks."""
+        low, high = np.searchsorted(self.shingles, own), np.searchsorted(self.shingles, own, side="right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(self.number[at], minlength=len(self.n))
+        near = (5 * both >= 4 * (self.n + len(own) - both)) & (self.label != label) & (~self.minor | (self.node > node))
+        found = np.flatnonzero(near)
+        return self.node[found[np.unique(self.label[found], return_index=True)[1]]]
+
+
+def linked_in_blocks(rows: DataFrame) -> DataFrame:
+    """(a, b): links between labels of rows (see ``dealt``); a label that a node is linked with is met once a block at least."""
     small_batches(rows.sparkSession)
-    names = ["minor", "node", "label", "n"]
-
-    def compared(band: int, own: dict, visit: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(visit["node"])):
-            node, n = visit["node"][i], visit["n"][i]
-            low, high = np.minimum(own["n"], n), np.maximum(own["n"], n)
-            at = np.flatnonzero((own["label"] != visit["label"][i]) & (5 * low >= 4 * high) & (~own["minor"] | (own["node"] > node)))
-            if not len(at):
-                continue
-            equal = own["sketch"][at] == visit["sketch"][i]
-            many = np.count_nonzero(equal, axis=1)
-            ok = many >= agree
-            if band:
-                ok &= ~equal[:, : ROWS * band].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
-            at, many = at[ok], many[ok]
-            if best and len(at) > 1:
-                by = np.lexsort((-many, own["label"][at]))
-                at = at[by][np.concatenate(([True], np.diff(own["label"][at][by]) != 0))]
-            if len(at):
-                yield np.minimum(node, own["node"][at]), np.maximum(node, own["node"][at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, owned = None, []
+        at, home, block = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, block, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rest = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
-            rest["sketch"] = _matrix(batch.column(batch.schema.get_field_index("sketch")))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (own[1:] != own[:-1])) + 1
+            key, number, here, minor, node, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            n = batch.column(6).value_lengths().to_numpy()
+            own, ends = batch.column(6).flatten().to_numpy(), np.cumsum(n)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (here[1:] != here[:-1])) + 1
+            found = []
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                part = {c: v[s:e] for c, v in rest.items()}
-                if at != (key[s], block[s]):
-                    at, owned = (key[s], block[s]), []
-                if own[s]:
-                    owned.append(part)
-                elif owned:
-                    owned = [{c: np.concatenate([o[c] for o in owned]) for c in part}] if len(owned) > 1 else owned
-                    found = [*compared(int(key[s]) & (BANDS - 1), owned[0], part)]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
-
-    ordered = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("own"))
+                if at != (key[s], number[s]):
+                    at, home, block = (key[s], number[s]), [], None
+                if here[s]:
+                    home.append({"minor": minor[s:e], "node": node[s:e], "label": label[s:e], "n": n[s:e], "own": own[ends[s] - n[s] : ends[e - 1]]})
+                elif home:
+                    block = block or Block(home)
+                    for i in range(s, e):
+                        found += [(node[i], other) for other in block.links(node[i], label[i], own[ends[i] - n[i] : ends[i]])]
+            if found:
+                pairs = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])
+
+    ordered = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("home"))
     return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -202,16 +208,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """A row a document: doc_id, n_shingles, component_id (the smallest doc_id of its component), kept."""
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     prints = cut(sketched(rows, "text").withColumn("doc_id", F.col("doc_id").cast("bigint")))
-    made = prints.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    made = prints.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.first("sketch").alias("sketch"))
     nodes = cut(made.withColumn("node", F.monotonically_increasing_id()))
     met = cut(shared_buckets(nodes))
     sets = cut(_sets(rows, nodes.join(met.select("node").distinct(), "node", "left_semi")))
-    sketches = nodes.select("node", "n", "sketch")
-    links = cut(verified(stars(met), sets))
-    for best in (True, False):
-        found = met_in_blocks(dealt(met.select("key", "node"), components(links), sketches, block), best)
-        links = cut(links.unionByName(verified(cut(found.distinct()), sets)).distinct())
-    return _named(prints, nodes, components(links))
+    first = cut(verified(stars(met), sets))
+    more = linked_in_blocks(dealt(met.select("key", "node"), labelled(first), sets, block))
+    return _named(prints, nodes.drop("sketch"), components(first.unionByName(more)))
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
