@@ -96,12 +96,40 @@ def only_lines(changed: Column, pattern: str, but: str | None = None) -> Column:
     return out if but is None else out & ~F.exists(changed, lambda x: x.rlike(but))
 
 
-#: Directories and names of tests in the usual languages.
-TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec|testdata)/|(_test\.(go|py|dart)|_spec\.rb|(^|/)test_[^/]*\.py|\.(test|spec)\.[jt]sx?|(Test|Tests|Spec|IT)\.(java|kt|scala|cs|swift|php))$"
+#: What is a test whatever its language, and folders of tests in most languages.
+TEST_ANYWHERE = r"_test\.go$|\.(test|spec)\.[^/]*$|__tests__/|(^|/)testdata/"
+TEST_FOLDER = r"(^|/)(test|tests|spec|specs|__tests__|testing|Tests|androidTest|integration_test)/"
+
+#: Extensions as they are, and the tests among them.
+TESTS_AS_NAMED = {
+    r"\.java$": r"src/test/|(Test|Tests|IT)\.java$",
+    r"\.py$": r"(^|/)test_[^/]*$|_test\.py$|(^|/)conftest\.py$|(^|/)tests/",
+    r"\.cs$": r"(Tests|Test)\.cs$|\.Tests/|(^|/)tests?/",
+    r"\.rs$": r"(^|/)tests\.rs$|_tests?\.rs$|(^|/)(tests|benches)/",
+}
+
+#: Extensions in either case, whose tests are in TEST_FOLDER or named like this.
+TESTS_BY_NAME = {
+    r"\.(sh|bash)$": r"(_test\.sh|_test\.bash|\.test\.sh)$|(^|/)test_[^/]*$",
+    r"\.(ps1|psm1)$": r"(?i)\.tests?\.ps1$",
+    r"\.(c|cc|cpp|cxx|c\+\+|h|hh|hpp|hxx|h\+\+|ipp|tpp)$": r"(_test|_unittest|_tests|Test|Tests)\.[^./]*$|(^|/)test_[^/]*$",
+    r"\.php$": r"Test\.php$",
+    r"\.(scala|sc)$": r"src/test/|(Spec|Test|Suite|Tests)\.scala$",
+    r"\.kt$": r"src/test/|(Test|Tests|Spec)\.kt$",
+    r"\.(rb|rake)$": r"(_spec|_test)\.rb$|(^|/)test_[^/]*$",
+    r"\.swift$": r"(Tests|Test)\.swift$",
+    r"\.dart$": r"_test\.dart$",
+}
 
 
 def is_test(path: Column) -> Column:
-    return path.rlike(TEST_PATH)
+    """Whether a file is a test, by its place and name in its language; Go's are only the files that its tools take for tests."""
+    out = path.rlike(TEST_ANYWHERE)
+    for ext, tests in TESTS_AS_NAMED.items():
+        out = out | (path.rlike(ext) & path.rlike(tests))
+    for ext, tests in TESTS_BY_NAME.items():
+        out = out | (F.lower(path).rlike(ext) & (path.rlike(TEST_FOLDER) | path.rlike(tests)))
+    return out
 
 
 def follows_source(path: Column, generated: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import points, prior_base, tally, total, whole
-from changeloom.operators.graph import _cut
+from changeloom.session import cut
 
 # Fixed values of the scoring.
 BUDGETS = {"most": (0.0, 30, 10), "more": (0.15, 35, 12), "balanced": (0.3, 40, 15), "less": (0.45, 45, 18), "least": (0.6, 50, 20)}
@@ -113,7 +113,7 @@ def bucket_order(units: DataFrame, order: str = "ord") -> list[Column]:
 def places(units: DataFrame, order: list[Column], out: str = "place") -> DataFrame:
     """units with the place of each in an order of all, from 1. Rows are range-dealt and numbered in their parts; the
     sizes of the parts before (a row a part) are added."""
-    dealt = _cut(units.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    dealt = cut(units.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

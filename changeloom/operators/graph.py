@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import damped
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Computes df and writes it to the checkpoint folder, so that a loop's plan doesn't grow with its rounds."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from changeloom.session import cut
 
 
 def accumulate_edges(refs: DataFrame, src: str = "src", dst: str = "dst", kind: str | None = None, order: str | None = None) -> DataFrame:
@@ -64,11 +53,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, d: float = 0.85, rounds: int =
     without edges, and how far the ranks have moved. It stops below tol, or after ``fixed`` rounds.
     """
     tele = teleport(nodes if "share" in nodes.columns else nodes.withColumn("share", F.lit(None).cast("double")))
-    flow = _cut(shares(edges))
+    flow = cut(shares(edges))
     sources = flow.select(F.col("src").alias("id")).distinct().withColumn("_flows", F.lit(True))
     state = tele.join(sources, "id", "left").select("id", "tele", F.coalesce("_flows", F.lit(False)).alias("flows"), F.col("tele").alias("pr"), F.lit(1.0).alias("last"))
     for i in range(fixed or rounds):
-        state = _cut(state)
+        state = cut(state)
         lost, moved = state.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("pr"))), F.lit(0.0)), F.sum(F.abs(F.col("pr") - F.col("last")))).first()
         if fixed is None and i and moved < tol:
             break
@@ -83,17 +72,17 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None) -> DataF
 
     Semi-naive: a round joins only what the last one found, for all starts at once.
     """
-    back = _cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
-    edge = seen = _cut(starts.select("sid", "node").distinct().withColumn("hop", F.lit(0)))
+    back = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
+    edge = seen = cut(starts.select("sid", "node").distinct().withColumn("hop", F.lit(0)))
     hop = 0
     while hops is None or hop < hops:
         hop += 1
-        found = _cut(edge.join(back, "node").select("sid", F.col("_next").alias("node")).distinct().join(seen.select("sid", "node"), ["sid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        found = cut(edge.join(back, "node").select("sid", F.col("_next").alias("node")).distinct().join(seen.select("sid", "node"), ["sid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         if hops is None and found.isEmpty():
             break
         edge, seen = found, seen.unionByName(found)
         if hops is None:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
@@ -113,11 +102,11 @@ def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:
     seen = through
     while True:
         next_ = through.select("node", F.col("caller").alias("_via")).join(edge.select(F.col("node").alias("_via"), "caller"), "_via").select("node", "caller").distinct()
-        real = _cut(real.unionByName(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti")).distinct())
-        through = _cut(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_semi").join(seen, ["node", "caller"], "left_anti"))
+        real = cut(real.unionByName(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_anti")).distinct())
+        through = cut(next_.join(clear.withColumnRenamed("node", "caller"), "caller", "left_semi").join(seen, ["node", "caller"], "left_anti"))
         if through.isEmpty():
             break
-        seen = _cut(seen.unionByName(through))
+        seen = cut(seen.unionByName(through))
     return real.select("node", "caller").filter("node <> caller").distinct()
 
 
@@ -125,12 +114,12 @@ def propagate(seeds: DataFrame, edges: DataFrame, hops: int, decay: float, silen
     """(node, tag, score, hop): tags of seeds(node, tag, score) carried to those that lead to them, at most so many hops;
     the fewest hops count, and a score falls to score * (1 - decay * hop), rounded. silent(node): nodes that pass tags on but
     get none themselves. A round goes on from what no round before has reached."""
-    back = _cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
+    back = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
     level = seeds.select("node", "tag", F.col("score").alias("_first"), F.lit(0).alias("hop"))
     every = level
     for hop in range(1, hops + 1):
         level = level.join(back, "node").select(F.col("_next").alias("node"), "tag", "_first", F.lit(hop).alias("hop"))
-        level = _cut(level.groupBy("node", "tag", "hop").agg(F.max("_first").alias("_first")).join(every.select("node", "tag").distinct(), ["node", "tag"], "left_anti").select("node", "tag", "_first", "hop"))
+        level = cut(level.groupBy("node", "tag", "hop").agg(F.max("_first").alias("_first")).join(every.select("node", "tag").distinct(), ["node", "tag"], "left_anti").select("node", "tag", "_first", "hop"))
         every = every.unionByName(level)
     if silent is not None:
         every = every.join(silent.select("node").distinct(), "node", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.patterns import commit_kind, no_partner, skipped
 from changeloom.functions.scalars import age_days, half_life
+from changeloom.session import cut
 
 #: Fixed values of the history: days, half life in days, files above which a change is bulk.
 DAYS, HALF_LIFE, BULK = 365, 180, 40
@@ -90,3 +91,56 @@ def merge_history(fresh: DataFrame, old: DataFrame, since: Column, most: int | N
 def add_unknown(df: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
     """What isn't known yet, added to it."""
     return known.unionByName(df.join(known, on, "left_anti").select(*known.columns))
+
+
+def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
+    """(repo, hash): all of commits(repo, hash, parents) that are reached from starts(repo, hash), themselves included.
+
+    Steps of 1, 2, 4, ... first parents are made once by pointer doubling; with them a whole line of history is reached in as many
+    joins as its length has bits. Then the other parents of what was reached start lines of their own, until none is new: as
+    many rounds as branches are merged into branches, not as many as there are commits. Unknown parents end a line.
+    """
+    jumps = [cut(commits.filter(F.size("parents") > 0).select("repo", "hash", F.col("parents")[0].alias("to")))]
+    while True:
+        last = jumps[-1]
+        twice = cut(last.join(last.select("repo", F.col("hash").alias("to"), F.col("to").alias("further")), ["repo", "to"]).select("repo", "hash", F.col("further").alias("to")))
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    merged = commits.filter(F.size("parents") > 1).select("repo", "hash", F.explode(F.slice("parents", F.lit(2), F.size("parents"))).alias("to")).distinct()
+    there = commits.select("repo", "hash").distinct()
+    reached, fresh = None, cut(starts.select("repo", "hash").distinct().join(there, ["repo", "hash"], "left_semi"))
+    while not fresh.isEmpty():
+        line = fresh
+        for jump in jumps:
+            line = cut(line.unionByName(line.join(jump, ["repo", "hash"]).select("repo", F.col("to").alias("hash"))).distinct())
+        line = line.join(there, ["repo", "hash"], "left_semi")
+        new = line if reached is None else line.join(reached, ["repo", "hash"], "left_anti")
+        new = cut(new)
+        reached = new if reached is None else cut(reached.unionByName(new))
+        beside = new.join(merged, ["repo", "hash"]).select("repo", F.col("to").alias("hash")).distinct()
+        fresh = cut(beside.join(there, ["repo", "hash"], "left_semi").join(reached, ["repo", "hash"], "left_anti"))
+    return fresh if reached is None else reached
+
+
+def is_ancestor(commits: DataFrame, marks: DataFrame) -> DataFrame:
+    """marks(repo, old, new), one a repo, with ancestor: whether old is new or one of its ancestors."""
+    reached = ancestors(commits, marks.select("repo", F.col("new").alias("hash"))).withColumn("ancestor", F.lit(True))
+    return marks.join(reached.withColumnRenamed("hash", "old"), ["repo", "old"], "left").withColumn("ancestor", F.coalesce("ancestor", F.lit(False)))
+
+
+def advance(known: DataFrame, heads: DataFrame, log: DataFrame) -> DataFrame:
+    """What a newly read log adds to a history: its rows with mode ('append' or 'rebuild') and head, the repo's first row.
+
+    known(repo, hash, parents) is the history so far, heads(repo, old) its high-water marks, log(repo, seq, hash, parents, ...)
+    what was read, the newest commit first. Where the mark is an ancestor of the new head, commits that aren't known are added;
+    where it isn't (history was rewritten), or there is none, the log replaces all that was known.
+    """
+    tips = log.groupBy("repo").agg(F.min_by("hash", "seq").alias("head"))
+    both = known.select("repo", "hash", "parents").unionByName(log.select("repo", "hash", "parents")).dropDuplicates(["repo", "hash"])
+    marks = heads.join(tips, "repo").select("repo", "old", F.col("head").alias("new"))
+    held = is_ancestor(both, marks).filter("ancestor").select("repo", F.lit("append").alias("mode"))
+    decided = tips.join(held, "repo", "left").withColumn("mode", F.coalesce("mode", F.lit("rebuild")))
+    had = known.select("repo", "hash").distinct().withColumn("_had", F.lit(True))
+    rows = log.join(decided, "repo").join(had, ["repo", "hash"], "left")
+    return rows.filter("_had IS NULL OR mode = 'rebuild'").dropDuplicates(["repo", "hash"]).select(*log.columns, "mode", "head")

@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.session import cut
 
-def percentile_below(df: DataFrame, value: str, out: str = "percentile", by: list[str] | None = None, include: Column | None = None, digits: int = 12) -> DataFrame:
-    """100 times the share of the population (the rows of ``include``) with a smaller value.
 
-    Values are compared at so many significant digits, so that sums in another order don't part ties. Counts below a
-    value come from one aggregate per distinct value and a join, not from one window over all rows.
+def percentile_below(df: DataFrame, value: str, out: str = "percentile", by: list[str] | None = None, include: Column | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """100 times the share of the population (the rows of ``include``) with a value below v by more than tolerance * |v|.
+
+    The tolerance keeps sums of the same numbers in another order from parting ties. Each distinct value is two events on one
+    line: its rows count from the value on, and its own question stands at its threshold, before values there. One
+    running count over the line answers all questions: a range shuffle and one number a task, or a window a group.
     """
     by = by or []
-    keep = F.lit(True) if include is None else include
-    v = F.col(value).cast("double")
-    size = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(v))))
-    near = F.when(v == 0, F.lit(0.0)).otherwise(F.round(v * size) / size)
-    rows = df.withColumn("_near", near).withColumn("_in", keep)
-    counts = rows.filter("_in").groupBy(*by, "_near").agg(F.count("*").alias("_n"))
+    keep = F.lit(True) if include is None else F.coalesce(include, F.lit(False))
+    rows = df.withColumn("_v", F.when(keep, F.col(value).cast("double")))
+    counts = rows.filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    event = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    events = F.array(F.struct(event(F.col("_v"), 1).alias("_at"), F.col("_n").alias("_c")), F.struct(event(F.when(F.col("_v") < 0, F.col("_v") * (1 + tolerance)).otherwise(F.col("_v") * (1 - tolerance)), 0).alias("_at"), F.lit(0).cast("bigint").alias("_c")))
+    line = counts.select(*by, "_v", F.explode(events).alias("_e")).select(*by, "_v", "_e.*")
     if by:
-        w = Window.partitionBy(*by).orderBy("_near").rowsBetween(Window.unboundedPreceding, -1)
-        below = counts.select(*by, "_near", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_below"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+        w = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        summed = line.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy(*by)))
     else:
-        below = running_total(counts, "_near", "_n", "_below").crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))
-    met = rows.join(below, [*by, "_near"], "left")
-    share = F.when(F.col("_in"), 100.0 * F.col("_below") / F.col("_all"))
-    return met.withColumn(out, share).select(*df.columns, out)
+        summed = running_total(line, "_at", "_c", "_below").crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all"))))
+    below = summed.filter("_at.kind = 0").select(*by, "_v", "_below", "_all")
+    met = rows.join(below, [*by, "_v"], "left")
+    return met.withColumn(out, 100.0 * F.col("_below") / F.col("_all")).select(*df.columns, out)
 
 
 def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """The sum of ``value`` over rows with a smaller ``order``, without one task for all rows: rows are range-dealt, sums
-    of the parts are added up (a row a part), then each part adds its own."""
-    dealt = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    of the parts are added up (a row a part), then each part adds its own. What was dealt is written once, so that both
+    readings see the same bounds."""
+    dealt = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(order).alias("_from"))
     before = parts.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

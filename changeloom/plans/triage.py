@@ -51,17 +51,28 @@ def presort(rows: DataFrame, policy: dict | None = None) -> DataFrame:
     return rows.withColumn("rule", patterns.cascade(cascade))
 
 
-def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None) -> DataFrame:
+def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None, marked: DataFrame | None = None, heads: DataFrame | None = None, real: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(change_id, id, file, impact, likelihood, prior, attention, total, bucket, ord) in the order in which units are looked at.
 
     diffs(change_id, text); declarations(change_id, path, name, start, end, ord); answers(change_id, id, bucket,
     change_kind, confidence); issues(change_id, id, severity), all of reviewed units; measures(change_id, path, and what
     change_likelihood takes of a file: history, complexity, experience, partners, tests), without which only the change
     itself is scored: its size and how far it is spread.
+
+    What rules look at besides the diff: marked(change_id, path), files that attributes mark as generated; heads(change_id, path,
+    head), the first characters of files; real(change_id, path), files that still change when white space doesn't count
+    (``sources.trees``). Without a table its rule doesn't fire.
     """
     files, lines = parse_diff(diffs)
-    own = files.select("change_id", F.col("path").alias("file"), "binary")
-    made = presort(units(files, lines, declarations).join(own, ["change_id", "file"]), policy)
+    own = files.select("change_id", "file_ord", "binary")
+    made = units(files, lines, declarations, most).join(own, ["change_id", "file_ord"])
+    for table, column in ((marked, "attribute"), (real, "real")):
+        if table is not None:
+            flag = table.select("change_id", F.col("path").alias("file")).distinct().withColumn(column, F.lit(True))
+            made = made.join(flag, ["change_id", "file"], "left").withColumn(column, F.coalesce(column, F.lit(False)))
+    if heads is not None:
+        made = made.join(heads.select("change_id", F.col("path").alias("file"), "head"), ["change_id", "file"], "left")
+    made = presort(made, policy)
     made = made.withColumn("chars", F.aggregate("lines", F.lit(0), lambda a, x: a + F.octet_length(x["text"]) + 2)).withColumn("qid", F.xxhash64("change_id", "id"))
     looked = fallback_lookup(made.select("qid", F.lit(repo).alias("repo"), F.col("file").alias("path"), F.nullif("symbol", F.lit("")).alias("sym"), F.col("line").alias("lo"), F.col("line").alias("hi"), (F.col("status") == "added").alias("new_file")), records, rules)
     known = made.join(looked.select("qid", F.when(F.col("matched") != "none", F.col("impact")).alias("impact")), "qid")

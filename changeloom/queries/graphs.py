@@ -122,3 +122,14 @@ def percentile_below_global(spark, sf):
 def percentile_below_by_group(spark, sf):
     rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     return percentile_below(rows, "c_acctbal", by=["c_nationkey"]).select("c_custkey", "percentile")
+
+
+_PLACED = "p_retailprice * (1e0 + (p_partkey % 7 - 3) * 0.4e-9)"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, {_PLACED} AS v FROM part), c AS (SELECT v, count(*) AS n FROM v GROUP BY v), s AS (SELECT v, sum(n) OVER (ORDER BY v) AS upto FROM c)
+SELECT p_partkey, 100e0 * coalesce((SELECT max(upto) FROM s WHERE s.v < x.v * (1e0 - 1e-9)), 0) / (SELECT count(*) FROM v) AS percentile FROM v x""")
+def percentile_at_tolerance(spark, sf):
+    """Prices moved by up to 1.2e-9 of themselves: only some of what lies between counts as below."""
+    rows = table(spark, sf, "part").select("p_partkey", F.expr(_PLACED.replace("e0", "D").replace("0.4e-9", "0.4e-9D")).alias("v"))
+    return percentile_below(rows, "v").select("p_partkey", "percentile")

@@ -62,16 +62,21 @@ def parse_diff(diffs: DataFrame, normalise_empty: bool = True) -> tuple[DataFram
     return files, lines
 
 
-def units(files: DataFrame, lines: DataFrame, declarations: DataFrame) -> DataFrame:
+def units(files: DataFrame, lines: DataFrame, declarations: DataFrame, most: int | None = None) -> DataFrame:
     """A row for each file's declaration that changes: change_id, id, file, symbol, status, added, removed, first line, hunks.
 
     declarations(change_id, path, name, start, end, ord) are of the new side. A line belongs to the shortest that holds
-    its new number; lines outside any stay with the run they stand in; runs without changes are dropped.
+    its new number; lines outside any stay with the run they stand in; runs without changes are dropped. A file without hunks
+    (renamed as it was, binary) is one unit without lines. An added file is one unit, unless its diff has more than
+    ``most`` characters; a deleted one has no declarations.
     """
-    named = lines.join(files.select("change_id", "file_ord", F.col("path").alias("file"), "status"), ["change_id", "file_ord"])
     key = ["change_id", "file_ord", "hunk_ord", "line_ord"]
+    size = lines.groupBy("change_id", "file_ord").agg(F.sum(F.char_length("text") + 2).alias("_chars"))
+    large = F.lit(False) if most is None else F.coalesce(F.col("_chars") > most, F.lit(False))
+    told = files.join(size, ["change_id", "file_ord"], "left").withColumn("_split", (F.col("status") != "deleted") & ((F.col("status") != "added") | large))
+    named = lines.join(told.select("change_id", "file_ord", F.col("path").alias("file"), "status", "_split"), ["change_id", "file_ord"])
     d = declarations.select("change_id", F.col("path").alias("file"), "name", "start", "end", "ord")
-    held = named.select(*key, "file", "new_no").join(d, ["change_id", "file"]).filter((F.col("start") <= F.col("new_no")) & (F.col("new_no") <= F.col("end")))
+    held = named.filter("_split").select(*key, "file", "new_no").join(d, ["change_id", "file"]).filter((F.col("start") <= F.col("new_no")) & (F.col("new_no") <= F.col("end")))
     best = held.groupBy(*key).agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "ord")).alias("symbol"))
     run = islands(named.join(best, key, "left"), ["change_id", "file_ord", "hunk_ord"], [F.col("line_ord")], "symbol")
     parts = run.groupBy("change_id", "file_ord", "file", "status", "hunk_ord", "island").agg(
@@ -83,7 +88,9 @@ def units(files: DataFrame, lines: DataFrame, declarations: DataFrame) -> DataFr
     ).filter("added + removed > 0")
     symbol = F.coalesce("symbol", F.lit(""))
     id_ = F.when(symbol == "", F.col("file")).otherwise(F.concat_ws(":", "file", symbol))
-    return parts.groupBy("change_id", "file_ord", "file", "status", symbol.alias("symbol"), id_.alias("id")).agg(
+    with_lines = parts.groupBy("change_id", "file_ord", "file", "status", symbol.alias("symbol"), id_.alias("id")).agg(
         F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("line").alias("line"), F.count("*").alias("n_hunks"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hunk_ord", "island", "lines"))), lambda x: x["lines"])).alias("lines"),
     )
+    bare = files.filter("n_hunks = 0").select("change_id", "file_ord", F.col("path").alias("file"), "status", F.lit("").alias("symbol"), F.col("path").alias("id"))
+    return with_lines.unionByName(bare.select("*", *[F.lit(0).cast(with_lines.schema[c].dataType).alias(c) for c in ("added", "removed", "n_hunks")]), allowMissingColumns=True).withColumn("lines", F.coalesce("lines", F.array().cast(with_lines.schema["lines"].dataType)))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from changeloom.operators.history import advance
 
 
 def new_commits(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -21,6 +24,33 @@ def append_history(stream: DataFrame, path: str, checkpoint: str) -> DataStreamW
     return new_commits(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("repo")
 
 
+def stored(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The history that ``follow_history`` keeps at path: its commits, and (repo, old) the high-water mark of each repo.
+
+    A folder a batch; of each repo, batches from its last rebuild on count. ``before``: as it was before that batch."""
+    kept = StructType([*schema.fields, StructField("mode", StringType()), StructField("head", StringType()), StructField("batch", IntegerType())])
+    spark.createDataFrame([], kept).write.partitionBy("batch").mode("ignore").parquet(path)
+    rows = spark.read.schema(kept).parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    since = rows.filter("mode = 'rebuild'").groupBy("repo").agg(F.max("batch").alias("_since"))
+    live = rows.join(since, "repo").filter("batch >= _since")
+    return live.select(*schema.names), live.groupBy("repo").agg(F.max_by("head", "batch").alias("old"))
+
+
+def follow_history(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Keeps histories up to date from logs(repo, seq, hash, parents, ...): see ``operators.history.advance``.
+
+    A batch is decided against the batches before it and replaces its own folder, so one that is run again after a failure leaves
+    the same history; readers see a batch's commits with its mark, in one write.
+    """
+
+    def keep(log: DataFrame, number: int) -> None:
+        known, heads = stored(log.sparkSession, path, log.schema, number)
+        advance(known, heads, log).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
 def activity(stream: DataFrame, ts: str, keys: list[str], width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Counts by key and window of event time; what is later than the delay is dropped."""
     return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).groupBy(F.window("_ts", width), *keys).count()

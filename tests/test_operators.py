@@ -156,7 +156,7 @@ def test_diffs(spark):
     assert lines.filter("file_ord = 3").agg(F.min("old_no"), F.min("new_no")).first()[0:2] == (1, 1)
     decls = spark.createDataFrame([("c1", "sync.go", "a", 5, 13, 0), ("c1", "sync.go", "b", 14, 30, 1)], "change_id string, path string, name string, start int, end int, ord int")
     made = {r["id"]: (r["added"], r["removed"]) for r in units(files, lines, decls).collect()}
-    assert made == {"go.sum": (1, 1), "m/001.sql": (2, 0), "sync.go:a": (2, 1), "sync.go:b": (1, 0)}
+    assert made == {"b.go": (0, 0), "x.png": (0, 0), "go.sum": (1, 1), "m/001.sql": (2, 0), "sync.go:a": (2, 1), "sync.go:b": (1, 0)}
 
 
 def test_triage(spark):
