@@ -120,11 +120,10 @@ def budget_whatif(spark, sf):
 
 
 @query(f"""WITH {_UNITS}
-SELECT id, row_number() OVER (ORDER BY list_position(['none', 'skim', 'human'], bucket) DESC, total DESC, coalesce(impact, 50) * likelihood DESC, id) AS place FROM placed WHERE budget = 'balanced'
-QUALIFY place <= 100""")
+SELECT id, row_number() OVER (ORDER BY list_position(['none', 'skim', 'human'], bucket) DESC, total DESC, coalesce(impact, 50) * likelihood DESC, id) AS place FROM placed WHERE budget = 'balanced'""")
 def bucket_order(spark, sf):
-    """A report of the first hundred units under the balanced budget."""
-    return bucket_order_all(spark, sf).filter("place <= 100")
+    """The place of every unit under the balanced budget."""
+    return bucket_order_all(spark, sf)
 
 
 @query(f"""WITH {_UNITS}

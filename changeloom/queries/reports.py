@@ -51,11 +51,11 @@ def related_capped(spark, sf):
     return reports.related(c, ["c_nationkey"], most=4).select("c_custkey", F.concat_ws(",", F.col("related").cast("array<string>")).alias("related"))
 
 
-@query(f"""WITH {_UNITS}, l AS (SELECT bucket, list_position(['human', 'skim', 'none'], bucket) AS k, count(*) AS n, string_agg('- `' || id || '` (' || total || ') ' || change_kind, chr(10) ORDER BY id) AS body FROM placed WHERE budget = 'balanced' AND id % 20 = 3 GROUP BY bucket)
-SELECT 1 AS change, string_agg('## ' || ['Needs a person', 'Skim', 'No review'][k] || ' (' || n || ')' || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY k) AS report FROM l""")
+@query(f"""WITH {_UNITS}, l AS (SELECT id // 200 AS change, bucket, list_position(['human', 'skim', 'none'], bucket) AS k, count(*) AS n, string_agg('- `' || id || '` (' || total || ') ' || change_kind, chr(10) ORDER BY id) AS body FROM placed WHERE budget = 'balanced' GROUP BY id // 200, bucket)
+SELECT change, string_agg('## ' || ['Needs a person', 'Skim', 'No review'][k] || ' (' || n || ')' || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY k) AS report FROM l GROUP BY change""")
 def markdown_report(spark, sf):
-    """A report of the units of one change."""
-    units = _placed(spark, sf).filter("budget = 'balanced' AND id % 20 = 3").select(F.lit(1).alias("change"), F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), "bucket", "total", F.col("change_kind").alias("reason"))
+    """A report for each change of two hundred units."""
+    units = _placed(spark, sf).filter("budget = 'balanced'").select(F.floor(F.col("id") / 200).cast("bigint").alias("change"), F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), "bucket", "total", F.col("change_kind").alias("reason"))
     return reports.markdown(units, ["change"])
 
 
