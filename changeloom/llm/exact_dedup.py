@@ -30,40 +30,40 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 class DigestIndex:
-    """A table of digests in batches: digest, the largest id and the number of the batch's rows that have it, the batch.
+    """Digests in a table, one row each: digest, the largest id and the number of rows that had it in the batch that brought it.
 
-    The table is bucketed and sorted by digest. A batch is joined to it by sort-merge, an anti-join for the digests that
-    are new, for which only the batch is shuffled, and appended in the same buckets: new digests, and what the batch
-    changes for known ones. So the id that stays and the size of a group are right after any number of batches.
+    The table is bucketed and sorted by digest. A batch is joined to it by a sort-merge anti-join, for which only the batch is
+    shuffled; what that leaves is new and is appended, so no digest is ever there twice. What a batch changes for known digests, a
+    larger id and more rows, goes to a second table in the same buckets, which readers merge in without a shuffle.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.changes = spark, name, f"{name}_changes"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], SCHEMA), "errorifexists")
+        for table in (self.name, self.changes):
+            if not spark.catalog.tableExists(table):
+                self._write(spark.createDataFrame([], SCHEMA), table, "errorifexists")
 
-    def _write(self, df: DataFrame, mode: str) -> None:
-        df.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode(mode).saveAsTable(self.name)
+    def _write(self, df: DataFrame, table: str, mode: str) -> None:
+        df.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode(mode).saveAsTable(table)
 
     def rows(self) -> DataFrame:
-        """A row for each digest; the sum needs no shuffle, for the table has a digest in one bucket."""
-        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        """A row for each digest, with the largest id and the number of rows of all batches."""
+        more = self.spark.table(self.changes).groupBy("digest").agg(F.max("keep_id").alias("_keep"), F.sum("group_size").alias("_size"))
+        met = self.spark.table(self.name).join(more.hint("merge"), "digest", "left")
+        return met.select("digest", F.greatest("keep_id", "_keep").alias("keep_id"), (F.col("group_size") + F.coalesce("_size", F.lit(0))).alias("group_size"))
 
     def append(self, docs: DataFrame, batch: str, doc_id: str = "doc_id", text: str = "text") -> None:
         self.append_digests(digests(docs, doc_id, text), batch)
 
     def append_digests(self, rows: DataFrame, batch: str) -> None:
-        """Adds rows(doc_id, digest). An append is one write of a table: if the job is lost, none of it is seen and it
-        can be run again; a batch that is there isn't added twice."""
-        table = self.spark.table(self.name)
-        if not table.filter(F.col("batch") == batch).isEmpty():
-            return
+        """Adds rows(doc_id, digest). Each table is written once; if the job is lost between or in the writes, it can be run
+        again: what a batch has written already isn't written twice, and its own digests don't count as known to it."""
         groups = cut(rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-        known = table.select("digest").hint("merge")
-        new = groups.join(known, "digest", "left_anti")
-        again = groups.join(known, "digest", "left_semi")
-        self._write(new.unionByName(again).withColumn("batch", F.lit(batch)), "append")
+        known = self.spark.table(self.name).filter(F.col("batch") != batch).select("digest").hint("merge")
+        for table, kind in ((self.changes, "left_semi"), (self.name, "left_anti")):
+            if self.spark.table(table).filter(F.col("batch") == batch).isEmpty():
+                self._write(groups.join(known, "digest", kind).withColumn("batch", F.lit(batch)), table, "append")
 
     def decide(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         return self.decide_digests(digests(docs, doc_id, text))
@@ -79,7 +79,8 @@ class DigestIndex:
         )
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for table in (self.name, self.changes):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def batch_of(batches: int) -> Column:

@@ -115,12 +115,23 @@ def test_digest_index_appends_only_what_is_new(spark):
     index.append(first, "one")
     index.append(frame(spark, [(9, "B"), (10, "c")]), "two")
     index.append(frame(spark, [(9, "B"), (10, "c")]), "two")
-    assert index.rows().count() == 3 and spark.table("test_index").count() == 4
+    assert sorted(bytes(r["digest"]) for r in spark.table("test_index").collect()) == sorted(hashlib.sha256(x.encode()).digest() for x in "abc")
+    assert [(r["keep_id"], r["group_size"]) for r in spark.table("test_index_changes").collect()] == [(9, 1)]
+    index = exact_dedup.DigestIndex(spark, "test_index", 4)  # another run finds the index of this one
+    assert index.rows().count() == 3
     got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.decide(frame(spark, [(9, "B"), (10, "c"), (2, "a"), (3, "b")])).collect()}
     assert got == {9: (9, 2, True), 10: (10, 1, True), 2: (2, 2, True), 3: (9, 2, False)}
     assert "Exchange" not in index.rows()._jdf.queryExecution().executedPlan().toString()
     plan = frame(spark, [(1, "A")]).sparkSession.table("test_index")._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan or "bucket" in plan.lower()
+    index.append(frame(spark, [(20, "D"), (21, "d"), (5, "A")]), "three")
+    assert spark.table("test_index").groupBy("digest").count().filter("count > 1").isEmpty()
+    assert {(r["keep_id"], r["group_size"]) for r in index.rows().collect()} == {(5, 3), (9, 2), (10, 1), (21, 2)}
+    spark.sql("DROP TABLE test_index_changes")  # as if lost before anything was written: a batch that is run again adds what is missing
+    again = exact_dedup.DigestIndex(spark, "test_index", 4)
+    again.append(frame(spark, [(20, "D"), (21, "d"), (5, "A")]), "three")
+    assert [(r["keep_id"], r["group_size"]) for r in spark.table("test_index_changes").collect()] == [(5, 1)] and spark.table("test_index").count() == 4
+    again.drop()
 
 
 def test_line_dedup(spark, docs, odd):
