@@ -94,16 +94,20 @@ def test_gaps(files: DataFrame, known: DataFrame) -> DataFrame:
     return every.join(go.unionByName(found), ["change_id", "path"], "left").withColumn("test_gap", F.coalesce("test_gap", F.lit(False)))
 
 
-def explained(measures: dict[str, Column], table: dict[str, tuple[float, float, float]], says: dict[str, str]) -> Column:
-    """array<struct<name, points, why>> of the factors that count (half a point or more), the most points first, then as in
-    the table. ``says``: what a factor's measure means, with one %s for it."""
-    made = []
-    for place, name in enumerate(n for n in table if n in measures):
-        value = F.coalesce(measures[name].cast("double"), F.lit(0.0))
-        shown = F.regexp_replace(F.format_string("%.1f", F.bround(value, 1)), r"\.0$", "")
-        made.append(F.struct((-points(value, *table[name])).alias("minus"), F.lit(place).alias("place"), F.lit(name).alias("name"), points(value, *table[name]).alias("points"), F.format_string(says.get(name, f"{name}: %s"), shown).alias("why")))
-    kept = F.array_sort(F.filter(F.array(*made), lambda x: x["points"] >= 0.5))
-    return F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["points"].alias("points"), x["why"].alias("why")))
+def measured(measures: dict[str, Column], table: dict[str, tuple[float, float, float]]) -> Column:
+    """array<struct<minus, place, name, value>>: each factor's points, negative, its place in the table and its value."""
+    value = {n: F.coalesce(measures[n].cast("double"), F.lit(0.0)) for n in table if n in measures}
+    return F.array(*[F.struct((-points(v, *table[n])).alias("minus"), F.lit(i).alias("place"), F.lit(n).alias("name"), v.alias("value")) for i, (n, v) in enumerate(value.items())])
+
+
+def explained(factors: Column, says: dict[str, str], top: int) -> Column:
+    """array<struct<name, points, why>> of the first factors that count (half a point or more), the most points first, then as
+    in the table. ``says``: what a factor's measure means, with one %s for it. Only these few get a text."""
+    first = F.slice(F.array_sort(F.filter(factors, lambda x: x["minus"] <= -0.5)), 1, top)
+    text = F.create_map(*[F.lit(x) for kv in says.items() for x in kv])
+    shown = lambda x: F.regexp_replace(F.format_string("%.1f", F.bround(x["value"], 1)), r"\.0$", "")
+    why = lambda x: F.replace(F.coalesce(F.element_at(text, x["name"]), F.concat(x["name"], F.lit(": %s"))), F.lit("%s"), shown(x))
+    return F.transform(first, lambda x: F.struct(x["name"].alias("name"), (-x["minus"]).alias("points"), why(x).alias("why")))
 
 
 #: What the factors of a change say.
@@ -133,7 +137,7 @@ def change_likelihood(units: DataFrame, top: int = 5) -> DataFrame:
     }
     table = {**PLACE_POINTS, **CHANGE_POINTS}
     why = F.when(F.col("skipped"), "not scored: a rule skipped it").when(F.col("generated"), "not scored: generated").when(is_test(F.col("path")), "not scored: test code")
-    scores = F.array(*[points(F.coalesce(measures[k].cast("double"), F.lit(0.0)), *table[k]) for k in table])
-    score = F.when(why.isNotNull(), 0).otherwise(tally(scores))
-    factors = F.when(why.isNull(), F.slice(explained(measures, table, SAYS), 1, top))
-    return units.withColumns({"likelihood": score, "likelihood_level": level(score), "factors": factors, "note": why})
+    rows = units.withColumns({"_f": measured(measures, table), "note": why})
+    score = F.when(F.col("note").isNotNull(), 0).otherwise(tally(F.transform("_f", lambda x: -x["minus"])))
+    scored = rows.withColumns({"likelihood": score, "factors": F.when(F.col("note").isNull(), explained(F.col("_f"), SAYS, top))})
+    return scored.withColumn("likelihood_level", level(F.col("likelihood"))).select(*units.columns, "likelihood", "likelihood_level", "factors", "note")

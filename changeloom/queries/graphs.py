@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import round_half_away
 from changeloom.operators import graph
+from changeloom.operators.members import resolved_aliases
 from changeloom.operators.windows import percentile_below
 from changeloom.queries import query, table
 
@@ -133,3 +134,25 @@ def percentile_at_tolerance(spark, sf):
     """Prices moved by up to 1.2e-9 of themselves: only some of what lies between counts as below."""
     rows = table(spark, sf, "part").select("p_partkey", F.expr(_PLACED.replace("e0", "D").replace("0.4e-9", "0.4e-9D")).alias("v"))
     return percentile_below(rows, "v").select("p_partkey", "percentile")
+
+
+@query(f"""WITH {_CHAIN}, d AS (SELECT DISTINCT dst AS node, src AS up FROM e), t AS (SELECT * FROM d UNION SELECT a.node, b.up FROM d a JOIN d b ON b.node = a.up)
+SELECT node, count(*) AS syms, count(DISTINCT right(up, 2)) AS files, count(DISTINCT left(up, 1)) AS repos FROM t GROUP BY node""")
+def dependents_of_all(spark, sf):
+    """What depends on each node that anything depends on, by bits of starts."""
+    edges = _chain(spark, sf)
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graph.dependent_counts(edges, nodes.select("node", F.right("node", F.lit(2)).alias("file"), F.left("node", F.lit(1)).alias("repo")))
+
+
+@query("""
+WITH RECURSIVE a AS MATERIALIZED (SELECT p_partkey AS name, CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 1 WHEN p_partkey % 97 = 1 THEN p_partkey - 1 ELSE p_partkey + p_size END AS target FROM part WHERE p_size < 40 OR p_partkey % 97 < 2),
+r AS (SELECT name, target, 1 AS steps FROM a UNION ALL SELECT r.name, a.target, steps + 1 FROM r JOIN a ON a.name = r.target WHERE steps < 8),
+l AS (SELECT name, arg_max(target, steps) AS target, max(steps) AS steps FROM r GROUP BY name)
+SELECT name, CASE WHEN target NOT IN (SELECT name FROM a) THEN target END AS means, CASE WHEN target NOT IN (SELECT name FROM a) THEN steps END::INTEGER AS steps FROM l""")
+def alias_chains(spark, sf):
+    """Small parts are aliases of later ones; some point at each other."""
+    part = table(spark, sf, "part").select("p_partkey", "p_size").filter("p_size < 40 OR p_partkey % 97 < 2")
+    first = F.expr("CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 1 WHEN p_partkey % 97 = 1 THEN p_partkey - 1 ELSE p_partkey + p_size END")
+    both = part.select(F.col("p_partkey").alias("name"), F.explode(F.array(F.struct(first.alias("target"), F.lit(0).alias("ord")), F.struct(F.lit(-1).cast("bigint").alias("target"), F.lit(1).alias("ord")))).alias("x"))
+    return resolved_aliases(both.select("name", "x.*"), [])
