@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import patterns
 from changeloom.operators import change, decisions
-from changeloom.plans.lookup import fallback_lookup
+from changeloom.plans.impact import unit_impacts
 from changeloom.sources.diffs import parse_diff, units
 
 
@@ -51,7 +51,7 @@ def presort(rows: DataFrame, policy: dict | None = None) -> DataFrame:
     return rows.withColumn("rule", patterns.cascade(cascade))
 
 
-def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None, marked: DataFrame | None = None, heads: DataFrame | None = None, real: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None, marked: DataFrame | None = None, heads: DataFrame | None = None, real: DataFrame | None = None, most: int | None = None, base: DataFrame | None = None) -> DataFrame:
     """(change_id, id, file, impact, likelihood, prior, attention, total, bucket, ord) in the order in which units are looked at.
 
     diffs(change_id, text); declarations(change_id, path, name, start, end, ord); answers(change_id, id, bucket,
@@ -62,6 +62,9 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
     What rules look at besides the diff: marked(change_id, path), files that attributes mark as generated; heads(change_id, path,
     head), the first characters of files; real(change_id, path), files that still change when white space doesn't count
     (``sources.trees``). Without a table its rule doesn't fire.
+
+    base(change_id, path, name, start, end, ord): declarations of the base side. With it a unit's impact is looked up by every
+    declaration it touches there, the highest counts; without it, units without a name are placed by the map's lines.
     """
     files, lines = parse_diff(diffs)
     own = files.select("change_id", "file_ord", "binary")
@@ -73,9 +76,9 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
     if heads is not None:
         made = made.join(heads.select("change_id", F.col("path").alias("file"), "head"), ["change_id", "file"], "left")
     made = presort(made, policy)
-    made = made.withColumn("chars", F.aggregate("lines", F.lit(0), lambda a, x: a + F.octet_length(x["text"]) + 2)).withColumn("qid", F.xxhash64("change_id", "id"))
-    looked = fallback_lookup(made.select("qid", F.lit(repo).alias("repo"), F.col("file").alias("path"), F.nullif("symbol", F.lit("")).alias("sym"), F.col("line").alias("lo"), F.col("line").alias("hi"), (F.col("status") == "added").alias("new_file")), records, rules)
-    known = made.join(looked.select("qid", F.when(F.col("matched") != "none", F.col("impact")).alias("impact")), "qid")
+    made = made.withColumn("chars", F.aggregate("lines", F.lit(0), lambda a, x: a + F.octet_length(x["text"]) + 2))
+    looked = unit_impacts(made, base, records, rules, repo)
+    known = made.join(looked.select("change_id", "id", F.when(F.col("matched") != "none", F.col("impact")).alias("impact")), ["change_id", "id"])
     said = answers.select("change_id", "id", F.col("bucket").alias("_b"), F.col("change_kind").alias("_k"), F.col("confidence").alias("_c"))
     x = known.join(said, ["change_id", "id"], "left")
     pick = lambda rule, answer, default: F.coalesce(rule, answer, F.lit(default))

@@ -63,7 +63,9 @@ def parse_diff(diffs: DataFrame, normalise_empty: bool = True) -> tuple[DataFram
 
 
 def units(files: DataFrame, lines: DataFrame, declarations: DataFrame, most: int | None = None) -> DataFrame:
-    """A row for each file's declaration that changes: change_id, id, file, symbol, status, added, removed, first line, hunks.
+    """A row for each file's declaration that changes: change_id, id, file, old_path, symbol, status, added, removed, first line,
+    hunks, and of the base side: its span (old_lo, old_hi) and points, array<struct<a, b>>: a removed line is both, and lines
+    that are put in between a and b, without any removed right before them, are one.
 
     declarations(change_id, path, name, start, end, ord) are of the new side. A line belongs to the shortest that holds
     its new number; lines outside any stay with the run they stand in; runs without changes are dropped. A file without hunks
@@ -74,23 +76,32 @@ def units(files: DataFrame, lines: DataFrame, declarations: DataFrame, most: int
     size = lines.groupBy("change_id", "file_ord").agg(F.sum(F.char_length("text") + 2).alias("_chars"))
     large = F.lit(False) if most is None else F.coalesce(F.col("_chars") > most, F.lit(False))
     told = files.join(size, ["change_id", "file_ord"], "left").withColumn("_split", (F.col("status") != "deleted") & ((F.col("status") != "added") | large))
-    named = lines.join(told.select("change_id", "file_ord", F.col("path").alias("file"), "status", "_split"), ["change_id", "file_ord"])
+    named = lines.join(told.select("change_id", "file_ord", F.col("path").alias("file"), "old_path", "status", "_split"), ["change_id", "file_ord"])
     d = declarations.select("change_id", F.col("path").alias("file"), "name", "start", "end", "ord")
     held = named.filter("_split").select(*key, "file", "new_no").join(d, ["change_id", "file"]).filter((F.col("start") <= F.col("new_no")) & (F.col("new_no") <= F.col("end")))
     best = held.groupBy(*key).agg(F.min_by("name", F.struct(F.col("end") - F.col("start"), "ord")).alias("symbol"))
     run = islands(named.join(best, key, "left"), ["change_id", "file_ord", "hunk_ord"], [F.col("line_ord")], "symbol")
-    parts = run.groupBy("change_id", "file_ord", "file", "status", "hunk_ord", "island").agg(
+    before = Window.partitionBy("change_id", "file_ord", "hunk_ord", "island").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, -1)
+    after_removed = F.coalesce(F.last(F.when(F.col("op") != "+", F.col("op")), ignorenulls=True).over(before) == "-", F.lit(False))
+    between = F.struct((F.col("old_no") - (F.col("op") == "+").cast("int")).alias("a"), F.col("old_no").alias("b"))
+    run = run.withColumn("point", F.when((F.col("op") == "-") | ((F.col("op") == "+") & ~after_removed), between))
+    of_base = F.when(F.col("op") != "+", F.col("old_no"))
+    parts = run.groupBy("change_id", "file_ord", "file", "old_path", "status", "hunk_ord", "island").agg(
         F.max("symbol").alias("symbol"),
         F.count_if(F.col("op") == "+").alias("added"),
         F.count_if(F.col("op") == "-").alias("removed"),
         F.min(F.when(F.col("op") != " ", F.col("new_no"))).alias("line"),
+        F.coalesce(F.min(of_base), F.min("old_no")).alias("old_lo"),
+        F.coalesce(F.max(of_base), F.min("old_no") + 1).alias("old_hi"),
+        F.array_sort(F.collect_set("point")).alias("points"),
         F.array_sort(F.collect_list(F.struct("line_ord", "op", "text"))).alias("lines"),
     ).filter("added + removed > 0")
     symbol = F.coalesce("symbol", F.lit(""))
     id_ = F.when(symbol == "", F.col("file")).otherwise(F.concat_ws(":", "file", symbol))
-    with_lines = parts.groupBy("change_id", "file_ord", "file", "status", symbol.alias("symbol"), id_.alias("id")).agg(
+    with_lines = parts.groupBy("change_id", "file_ord", "file", "old_path", "status", symbol.alias("symbol"), id_.alias("id")).agg(
         F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("line").alias("line"), F.count("*").alias("n_hunks"),
+        F.min("old_lo").alias("old_lo"), F.max("old_hi").alias("old_hi"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("points")))).alias("points"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("hunk_ord", "island", "lines"))), lambda x: x["lines"])).alias("lines"),
     )
-    bare = files.filter("n_hunks = 0").select("change_id", "file_ord", F.col("path").alias("file"), "status", F.lit("").alias("symbol"), F.col("path").alias("id"))
+    bare = files.filter("n_hunks = 0").select("change_id", "file_ord", F.col("path").alias("file"), "old_path", "status", F.lit("").alias("symbol"), F.col("path").alias("id"))
     return with_lines.unionByName(bare.select("*", *[F.lit(0).cast(with_lines.schema[c].dataType).alias(c) for c in ("added", "removed", "n_hunks")]), allowMissingColumns=True).withColumn("lines", F.coalesce("lines", F.array().cast(with_lines.schema["lines"].dataType)))
