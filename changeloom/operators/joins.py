@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ def match_rules(subjects: DataFrame, rules: list[dict], path: str = "path") -> D
     """A row for each rule that a subject meets: its columns, rule_id, rule_score, rule_cap, rule_floor.
 
     A rule has an id, a score, perhaps cap and floor, and conditions: globs ``path`` (any) and ``not_path`` (none), and
-    lists of values for other columns. Rules are code, so each becomes literal patterns that are compiled once.
+    lists of values for other columns; of symbols also ``tags`` (any), expressions ``sym`` (any) and ``exported``. Rules are code, so each becomes literal patterns that are compiled once.
     """
 
     def holds(rule: dict) -> Column:
@@ -74,6 +77,12 @@ def match_rules(subjects: DataFrame, rules: list[dict], path: str = "path") -> D
                 for g in want:
                     any_of = any_of | F.col(path).rlike(map_glob(g))
                 out = out & (any_of if column == "path" else ~any_of)
+            elif column == "tags":
+                out = out & F.arrays_overlap("tags", F.array(*map(F.lit, want)))
+            elif column == "sym":
+                out = out & reduce(or_, [F.col("sym").rlike(x) for x in want])
+            elif column == "exported":
+                out = out & (F.col("exported") == want)
             else:
                 out = out & F.col(column).isin(want)
         return out
