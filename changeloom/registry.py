@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changeloom.queries import QUERIES, SQL, activity, changes, contracts, decisions, graphs, histories, impacts, pairing, paths, reports, rows, texts  # noqa: F401
+from changeloom.queries import QUERIES, SQL, activity, changes, contracts, decisions, graphs, histories, impacts, pairing, paths, reports, rows, specifications, texts  # noqa: F401
 
 FLAGSHIP = "halflife_activity_customer"
 
