@@ -56,9 +56,10 @@ def likelihood(measures: dict[str, Column], table: dict[str, tuple[float, float,
 
 
 def escalate(bucket: Column, confidence: Column, cut_off: Column, thresholds: dict[str, float] = CONFIDENCE) -> Column:
-    """One bucket up for little confidence in it or for a text that was cut; never down."""
+    """One bucket up for little confidence in it, or for "none" of a text that was cut; never down. Null stays null."""
     unsure = confidence < lookup(thresholds, bucket, 0.0)
-    return name_of(F.least(F.lit(2), rank_of(bucket) + (unsure | cut_off).cast("int")))
+    up = rank_of(bucket) + (unsure | (cut_off & (bucket == "none"))).cast("int")
+    return name_of(F.when(bucket.isNotNull(), F.least(F.lit(2), up)))
 
 
 def score_units(units: DataFrame, most_chars: int = 24_000) -> DataFrame:

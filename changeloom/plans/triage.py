@@ -51,7 +51,7 @@ def presort(rows: DataFrame, policy: dict | None = None) -> DataFrame:
     return rows.withColumn("rule", patterns.cascade(cascade))
 
 
-def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None, marked: DataFrame | None = None, heads: DataFrame | None = None, real: DataFrame | None = None, most: int | None = None, base: DataFrame | None = None) -> DataFrame:
+def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules: list[dict], repo: str, answers: DataFrame, issues: DataFrame, budget: str = "balanced", measures: DataFrame | None = None, policy: dict | None = None, marked: DataFrame | None = None, heads: DataFrame | None = None, real: DataFrame | None = None, most: int | None = None, base: DataFrame | None = None, most_chars: int = 24_000) -> DataFrame:
     """(change_id, id, file, impact, likelihood, prior, attention, total, bucket, ord) in the order in which units are looked at.
 
     diffs(change_id, text); declarations(change_id, path, name, start, end, ord); answers(change_id, id, bucket,
@@ -59,6 +59,8 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
     change_likelihood takes of a file: history, complexity, experience, partners, tests), without which only the change
     itself is scored: its size and how far it is spread.
 
+    An answer the classifier isn't sure enough of is one bucket higher, so is "none" for a unit of more than most_chars, which it saw cut.
+
     What rules look at besides the diff: marked(change_id, path), files that attributes mark as generated; heads(change_id, path,
     head), the first characters of files; real(change_id, path), files that still change when white space doesn't count
     (``sources.trees``). Without a table its rule doesn't fire.
@@ -82,15 +84,16 @@ def triage(diffs: DataFrame, declarations: DataFrame, records: DataFrame, rules:
     said = answers.select("change_id", "id", F.col("bucket").alias("_b"), F.col("change_kind").alias("_k"), F.col("confidence").alias("_c"))
     x = known.join(said, ["change_id", "id"], "left")
     pick = lambda rule, answer, default: F.coalesce(rule, answer, F.lit(default))
+    answered = decisions.escalate(F.col("_b"), F.coalesce("_c", F.lit(0.0)), F.col("chars") > most_chars)
     x = x.withColumns({
-        "bucket": pick(F.col("rule.bucket"), F.col("_b"), "human"),
+        "bucket": pick(F.col("rule.bucket"), answered, "human"),
         "change_kind": pick(F.col("rule.change_kind"), F.col("_k"), "behavior"),
         "source": F.when(F.col("rule").isNotNull(), "rule").when(F.col("_b").isNull(), "none").otherwise("model"),
         "confidence": F.when(F.col("rule").isNotNull(), 1.0).otherwise(F.coalesce("_c", F.lit(0.0))),
         "risk_signals": F.array().cast("array<string>"),
     })
     x = likelihoods(x, files, measures)
-    scored = decisions.score_units(x)
+    scored = decisions.score_units(x, most_chars)
     found = issues.groupBy("change_id", "id").agg(F.collect_list("severity").alias("severities"))
     reviewed = scored.join(found, ["change_id", "id"], "left").withColumns({"severities": F.coalesce("severities", F.array().cast("array<string>")), "reviewed": F.lit(True), "review_failed": F.lit(False)})
     after = decisions.after_review(reviewed).withColumn("pin", F.when(F.col("source") == "rule", F.col("classified")).otherwise(F.col("pin")))

@@ -181,7 +181,7 @@ def test_budget_what_if(spark):
 def test_attention_and_escalation(spark):
     levels = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
     assert one(spark, decisions.attention(levels())) == 0 and one(spark, decisions.attention(levels("high", "low"))) == 80
-    cases = [("none", 0.95, False, "none"), ("none", 0.8, False, "skim"), ("none", 0.95, True, "skim"), ("skim", 0.6, False, "human"), ("human", 0.1, False, "human")]
+    cases = [("none", 0.95, False, "none"), ("none", 0.8, False, "skim"), ("none", 0.95, True, "skim"), ("skim", 0.6, False, "human"), ("human", 0.1, False, "human"), ("skim", 0.9, True, "skim"), ("none", 0.5, True, "skim")]
     for bucket, confidence, cut, want in cases:
         assert one(spark, decisions.escalate(F.lit(bucket), F.lit(confidence), F.lit(cut))) == want
 

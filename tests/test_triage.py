@@ -92,3 +92,18 @@ def test_what_is_a_test(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "path string")
     assert {r["path"]: r["t"] for r in rows.withColumn("t", is_test(rows["path"])).collect()} == cases
+
+
+def test_unsure_answers_go_one_bucket_up(spark):
+    answer = lambda confidence: spark.createDataFrame([("c", "svc/retry.go", "none", "refactor", confidence)], ANSWERS)
+    sure, unsure, cut = result(spark, FIVE, answers=answer(0.99)), result(spark, FIVE, answers=answer(0.5)), result(spark, FIVE, answers=answer(0.99), most_chars=10)
+    prior = lambda x: x["svc/retry.go"]["prior"]
+    assert prior(sure) < prior(unsure) == prior(cut)  # "none" weighs at most 0.3, a refactoring that is skimmed 0.6
+
+
+def test_impact_by_base_names_in_triage(spark):
+    text = file("dao/q.go", " a", "-b", "+c")
+    decl = "change_id string, path string, name string, start int, end int, ord int"
+    base = spark.createDataFrame([("c", "dao/q.go", "(*Queries).Insert", 2, 4, 0)], decl)
+    with_base, without = result(spark, text, base=base), result(spark, text)
+    assert with_base["dao/q.go"]["impact"] == 80 and without["dao/q.go"]["impact"] == 65  # the map's lines say nothing of line 2
