@@ -81,3 +81,26 @@ def applied(unit: Column, texts: Column) -> Column:
 def renamed(new: Column, old: Column) -> Column:
     """A value that older rows have under another name."""
     return F.coalesce(new, old)
+
+
+#: A JSON string; its loops never give back, so that long ones are read in steps and not by recursion.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def outermost(text: Column) -> Column:
+    """From the first { to the last } of the text; the trimmed text where there are none."""
+    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", found).otherwise(F.trim(text))
+
+
+def drop_nulls(text: Column) -> Column:
+    """The JSON value in the text, written without spaces, keys in order, and without members that are null, at any depth,
+    in objects within arrays too; a null that is an array's element keeps its place. Null for null and what isn't JSON (a
+    repeated key isn't).
+
+    parse_json settles spacing and escapes; in what to_json writes of it, strings are skipped whole, so :null can only
+    follow a key.
+    """
+    plain = F.to_json(F.try_parse_json(outermost(text)))
+    fewer = F.regexp_replace(plain, f"({_STRING})(?!:null)|{_STRING}:null,?+", "$1")
+    return F.regexp_replace(fewer, f"({_STRING})|,(?=\\}})", "$1")

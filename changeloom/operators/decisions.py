@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import points, prior_base, tally, total, whole
+from changeloom.functions.texts import drop_nulls
 from changeloom.session import cut
 
 # Fixed values of the scoring.
@@ -133,8 +134,8 @@ def critic(issues: DataFrame, verdicts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def decode_decision(answer: Column) -> Column:
-    """The decision in a model's JSON answer: checked values, or the safe default with ok = false."""
-    got = F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), "bucket STRING, change_kind STRING, confidence DOUBLE, reason STRING, risk_signals ARRAY<STRING>")
+    """The decision in a model's JSON answer, nulls left out: checked values, or the safe default with ok = false."""
+    got = F.from_json(drop_nulls(answer), "bucket STRING, change_kind STRING, confidence DOUBLE, reason STRING, risk_signals ARRAY<STRING>")
     ok = got["bucket"].isin(_NAMES) & got["confidence"].between(0, 1) & (F.length(F.trim(got["reason"])) > 0) & got["change_kind"].isin(list(KIND_WEIGHTS))
     ok = F.coalesce(ok, F.lit(False))
     pick = lambda c, default: F.when(ok, c).otherwise(F.lit(default))

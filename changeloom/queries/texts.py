@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeloom.functions import patterns
+from changeloom.functions.texts import drop_nulls
 from changeloom.queries import query, table
 
 
@@ -48,3 +49,20 @@ def truncate_with_mark(spark, sf):
     from changeloom.functions.scalars import truncated
 
     return table(spark, sf, "documents").select("doc_id", truncated(F.col("text"), 500, "...").alias("t")).select("doc_id", F.col("t.text").alias("shown"), "t.truncated")
+
+
+@query("""SELECT event_id, CASE k % 4 WHEN 3 THEN NULL ELSE
+ '{"kind":{' || CASE k % 4 WHEN 0 THEN '"l":[null,{"z":' || k || '},[{}]],' ELSE '' END || '"s":"\\":null,}' || event_type || '"}' || CASE k % 4 WHEN 2 THEN ',"z":' || k ELSE '' END || '}' END AS answer
+ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)""")
+def answers_without_nulls(spark, sf):
+    """Answers made of events: nulls first, last, alone, nested and in arrays; strings that look like them; cut answers."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    s = F.concat(F.lit(r'"s": "\":null,}'), F.col("event_type"), F.lit('"'))
+    lists = F.format_string('"l": [null, {"y": null, "z": %s, "n": null}, [{"x": null}]], "m": null', k)
+    answer = (
+        F.when(k % 4 == 0, F.concat(F.lit('Here: {"kind": {"a": null, '), s, F.lit(", "), lists, F.lit('}, "b": null} so.')))
+        .when(k % 4 == 1, F.concat(F.lit('{"a": null, "kind": {'), s, F.lit(', "t": null}}')))
+        .when(k % 4 == 2, F.concat(F.lit('```json\n{\n "z": '), k.cast("string"), F.lit(',\n "y" : null,\n "kind": {'), s, F.lit("}\n}\n```")))
+        .otherwise(F.concat(F.lit('{"kind": {'), s))
+    )
+    return table(spark, sf, "events").select("event_id", drop_nulls(answer).alias("answer"))
