@@ -55,34 +55,37 @@ def author_totals(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo", "email").agg(F.countDistinct("hash").alias("commits"))
 
 
-def cochange(events: DataFrame, group: str, item: str, min_n: int = 3, min_conf: float = 0.3, max_k: int = 5, bulk: int = BULK, extra: int = 5, partner_ok: Column | None = None, but: DataFrame | None = None) -> DataFrame:
+def cochange(events: DataFrame, group: str, item: str, min_n: int = 3, min_conf: float = 0.3, max_k: int = 5, bulk: int = BULK, extra: int = 5, partner_ok: Column | None = None, but: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(item, partner, n, conf, rk): what shares at least min_n groups with an item, and that share of the item's groups.
 
     Groups of more than ``bulk`` items make no pairs, so a group adds at most bulk * bulk pairs. Confidence is compared
     unrounded and given to two decimals. max_k + extra are ranked before partners are filtered (by partner_ok, and those in but(partner)), then max_k stay.
+    With ``within``, a column that each group has one value of, items of different values are different items, and it is in the result and in but.
     """
-    pairs_of = events.select(F.col(group).alias("_g"), F.col(item).alias("item")).distinct()
+    of = [] if within is None else [within]
+    pairs_of = events.select(*of, F.col(group).alias("_g"), F.col(item).alias("item")).distinct()
     small = pairs_of.groupBy("_g").agg(F.count("*").alias("_n")).filter(F.col("_n") <= bulk).select("_g")
     kept = pairs_of.join(small, "_g", "left_semi")
-    counts = kept.groupBy("item").agg(F.count("*").alias("_all"))
-    both = kept.join(kept.withColumnRenamed("item", "partner"), "_g").filter("item <> partner")
-    n = both.groupBy("item", "partner").agg(F.count("*").alias("n")).filter(F.col("n") >= min_n)
-    scored = n.join(counts, "item").withColumn("_conf", F.col("n") / F.col("_all")).filter(F.col("_conf") >= min_conf)
-    order = Window.partitionBy("item").orderBy(F.desc("n"), "partner")
+    counts = kept.groupBy(*of, "item").agg(F.count("*").alias("_all"))
+    both = kept.join(kept.withColumnRenamed("item", "partner"), ["_g", *of]).filter("item <> partner")
+    n = both.groupBy(*of, "item", "partner").agg(F.count("*").alias("n")).filter(F.col("n") >= min_n)
+    scored = n.join(counts, [*of, "item"]).withColumn("_conf", F.col("n") / F.col("_all")).filter(F.col("_conf") >= min_conf)
+    order = Window.partitionBy(*of, "item").orderBy(F.desc("n"), "partner")
     if partner_ok is not None or but is not None:
         scored = scored.withColumn("_rk", F.row_number().over(order)).filter(F.col("_rk") <= max_k + extra)
         scored = scored if partner_ok is None else scored.filter(partner_ok)
-        scored = scored if but is None else scored.join(but.select("partner").distinct(), "partner", "left_anti")
+        scored = scored if but is None else scored.join(but.select(*of, "partner").distinct(), [*of, "partner"], "left_anti")
     ranked = scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= max_k)
-    return ranked.select("item", "partner", "n", (F.floor(F.col("_conf") * 100 + 0.5).cast("double") / 100).alias("conf"), "rk")
+    return ranked.select(*of, "item", "partner", "n", (F.floor(F.col("_conf") * 100 + 0.5).cast("double") / 100).alias("conf"), "rk")
 
 
 def file_partners(rows: DataFrame, generated: DataFrame | None = None, **options) -> DataFrame:
-    """Partners of files; files that change with everything are none, nor are mocks and generated(path), which follow their source."""
-    keyed = rows.filter("status <> 'D'").select(F.concat_ws("\n", "repo", "hash").alias("g"), "path")
+    """Partners of files within their repo; files that change with everything are none, nor are mocks and generated(repo, path), which
+    follow their source."""
+    keyed = rows.filter("status <> 'D'").select("repo", F.concat_ws("\n", "repo", "hash").alias("g"), "path")
     wanted = ~no_partner(F.col("partner")) & ~follows_source(F.col("partner"), F.lit(False))
-    but = None if generated is None else generated.select(F.col("path").alias("partner"))
-    return cochange(keyed, "g", "path", partner_ok=wanted, but=but, **options)
+    but = None if generated is None else generated.select("repo", F.col("path").alias("partner"))
+    return cochange(keyed, "g", "path", partner_ok=wanted, but=but, within="repo", **options)
 
 
 def merge_history(fresh: DataFrame, old: DataFrame, since: Column, most: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import ancestors, blend, dirname, level, round_half_away
@@ -14,8 +14,8 @@ from changeloom.operators.windows import percentile_below
 from changeloom.session import cut
 from changeloom.sources.trees import path_rules
 
-#: The score of what no tag speaks of; hops and loss a hop of tags of sinks.
-DEFAULT, HOPS, DECAY = 10, 3, 0.1
+#: The score of what no tag speaks of; hops and loss a hop of tags of sinks; callers that are named.
+DEFAULT, HOPS, DECAY, NAMED = 10, 3, 0.1, 5
 
 _OPTIONAL = {"kind": "string", "exported": "boolean", "internal": "boolean", "tags": "array<string>", "category": "string"}
 
@@ -70,6 +70,20 @@ def callers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def top_callers(nodes: DataFrame, edges: DataFrame, pr: DataFrame, most: int = NAMED) -> DataFrame:
+    """(node, top_callers): ids of the callers of the highest pr(key, pr), seen through internal nodes; of equal ones by id."""
+    pairs = graph.direct_callers(edges, nodes.filter("internal").select(F.col("key").alias("node")))
+    named = nodes.select(F.col("key").alias("caller"), symbol_id().alias("id")).join(pr.select(F.col("key").alias("caller"), "pr"), "caller")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("pr"), "id"))
+    first = pairs.join(named, "caller").withColumn("place", place).filter(F.col("place") <= most)
+    lists = first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).alias("_l"))
+    return lists.select("node", F.col("_l.id").alias("top_callers"))
+
+
+def symbol_id() -> Column:
+    return F.concat("repo", F.lit("/"), "file", F.lit(":"), "sym")
+
+
 def place_likelihood() -> Column:
     """The likelihood of a place by its history and complexity."""
     measures = {"fixes": F.col("recent_fixes"), "reverts": F.col("reverts"), "churn": F.col("recent"), "authors": F.col("authors"), "cyclo": F.col("cyclo"), "nest": F.col("nest")}
@@ -90,7 +104,8 @@ def build_map(
     Files, directories and repositories have the rank of their own collapsed graphs. A file has the tags and floors of all its
     symbols, but not their caps; without nodes it has the rank of the nearest ranked directory. A directory's rollback is the higher of
     its own rules' score and the 75th percentile of its files', its likelihood is that percentile; outside the graph it has its
-    children's rank. Generated files and symbols have the likelihood 0.
+    children's rank. Generated files and symbols have the likelihood 0. Symbols name their callers of the highest rank, files their
+    usual partners in changes of the history's days, but for generated ones.
     """
     every = nodes.select("key", "repo", "file", "sym", "start", "end", "cyclo", "nest", *[(F.col(c) if c in nodes.columns else F.lit(None)).cast(t).alias(c) for c, t in _OPTIONAL.items()])
     every = cut(every.withColumns({"kind": F.coalesce("kind", F.lit("")), "exported": F.coalesce("exported", F.lit(False)), "internal": F.coalesce("internal", F.lit(False)), "tags": F.coalesce("tags", F.array().cast("array<string>"))}))
@@ -119,13 +134,15 @@ def build_map(
 
     # history of files
     now = F.current_timestamp() if ref is None else ref
-    seen = history.file_history(history.changes(commits), now)
+    changed = history.changes(commits)
+    seen = history.file_history(changed, now)
 
     # symbols
     own = every.filter("NOT internal AND file <> ''").withColumns({"node": F.col("key"), "path": F.col("file"), "generated": F.array_contains("tags", "generated")})
     met = own.join(scores, "node", "left").join(limits, "node", "left").join(callers(every, known.select("src", "dst")), "node", "left")
     met = hierarchy.emitted(met, **emission) if emission is not None else met
-    symbols = met.join(ranks(real, weighed, "key", fixed), "key").join(seen, ["repo", "path"], "left").withColumns({"rollback": F.coalesce("rollback", F.lit(DEFAULT)), "likelihood": place_likelihood()})
+    symbol_ranks = cut(ranks(real, weighed, "key", fixed))
+    symbols = met.join(symbol_ranks, "key").join(top_callers(every, known.select("src", "dst"), symbol_ranks), "node", "left").join(seen, ["repo", "path"], "left").withColumns({"rollback": F.coalesce("rollback", F.lit(DEFAULT)), "likelihood": place_likelihood()})
     symbols = symbols.withColumn("impact", blend(F.col("rank"), F.col("rollback"), F.col("floor"), F.col("cap"))).withColumn("rank", round_half_away(F.col("rank"), 1))
 
     # files
@@ -169,12 +186,16 @@ def build_map(
     repos = repos.withColumn("rank", round_half_away(F.coalesce("rank", F.lit(0.0)), 1)).withColumn("impact", blend(F.col("rank"), F.col("rollback")))
 
     listed_tags = lambda df, by: hierarchy.sorted_tags(df, by).withColumnRenamed("tags", "rollback_tags")
-    symbols = symbols.join(listed_tags(tags, ["node"]), "node", "left").withColumns({"id": F.concat("repo", F.lit("/"), "file", F.lit(":"), "sym"), "lines": F.array("start", "end"), "rank_source": F.lit("graph"), "callers": F.coalesce("callers", F.lit(0))})
+    symbols = symbols.join(listed_tags(tags, ["node"]), "node", "left").withColumns({"id": symbol_id(), "lines": F.array("start", "end"), "rank_source": F.lit("graph"), "callers": F.coalesce("callers", F.lit(0))})
     whole = whole.join(listed_tags(file_tags, ["repo", "path"]), ["repo", "path"], "left")
+    paired = history.file_partners(changed.filter(history.in_window(F.col("ts"), now)), base.filter("generated").select("repo", "path"))
+    lists = paired.groupBy("repo", F.col("item").alias("path")).agg(F.array_sort(F.collect_list(F.struct("rk", F.col("partner").alias("path"), "n", "conf"))).alias("_l"))
+    whole = whole.join(lists, ["repo", "path"], "left").withColumn("cochange", F.transform("_l", lambda x: F.struct(x["path"], x["n"], x["conf"])))
     dirs = dirs.drop("path").withColumnRenamed("dir", "path").join(listed_tags(dir_tags, ["repo", "dir"]).withColumnRenamed("dir", "path"), ["repo", "path"], "left")
     columns = {
         "id": "string", "level": "string", "repo": "string", "path": "string", "sym": "string", "kind": "string", "lines": "array<int>", "impact": "int", "likelihood": "int", "rank": "double", "pr": "double", "rank_source": "string",
-        "rollback": "int", "rollback_tags": "array<struct<tag: string, score: int>>", "callers": "bigint", "symbols": "bigint", "impact_cap": "int", "generated": "boolean",
+        "rollback": "int", "rollback_tags": "array<struct<tag: string, score: int>>", "callers": "bigint", "caller_files": "bigint", "top_callers": "array<string>",
+        "cochange": "array<struct<path: string, n: bigint, conf: double>>", "symbols": "bigint", "impact_cap": "int", "generated": "boolean",
     }
 
     def records(df: DataFrame, name: str, **given: Column) -> DataFrame:

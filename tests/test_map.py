@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from changeloom.operators import history
-from changeloom.plans.codemap import build_map, callers
+from changeloom.plans.codemap import build_map, callers, top_callers
 
 NODES = "key string, repo string, file string, sym string, start int, end int, cyclo int, nest int, kind string, exported boolean, internal boolean, tags array<string>, category string"
 EDGES = "src string, dst string, n int, kind string"
@@ -63,6 +63,9 @@ def test_the_whole_map(spark):
     # without nodes: the rank of the nearest ranked directory, or the root's, or 0
     assert by["svc/dao/deep/q.sql"]["rank_source"] == "inherited:svc/dao/" and by["svc/dao/deep/q.sql"]["rank"] == by["svc/dao/"]["rank"]
     assert by["svc/README.md"]["rank"] == 0 and by["svc/README.md"]["rank_source"] is None
+    # callers by rank, seen through internal code; partners but for generated files
+    assert set(by["svc/dao/gen.go:Gen"]["top_callers"]) == {"svc/svc/serve.go:Serve", "svc/dao/save.go:Save"} and by["svc/dao/gen.go:Gen"]["caller_files"] == 2
+    assert by["svc/dao/save.go"]["cochange"] is None and [(p["path"], p["n"]) for p in by["svc/dao/gen.go"]["cochange"]] == [("dao/save.go", 4)]
     # a directory: its own rules (55), or the 75th percentile of its files (55, 55, 68, 73) if that is higher
     assert by["svc/dao/deep/"]["rollback"] == 73 and by["svc/dao/"]["rollback"] == 68 and by["svc/dao/"]["impact"] >= 52
     assert by["svc"]["level"] == "repo" and by["svc"]["symbols"] == 6 and set(tags("svc/dao/")) == {"dao"}
@@ -79,5 +82,21 @@ def test_callers_seen_through_internal_code(spark):
 def test_partners_without_what_follows_its_source(spark):
     files = [("M", p) for p in ("a.go", "b.go", "mocks/a.go", "made.go", "c_gen.go")]
     rows = history.changes(spark.createDataFrame([("r", f"h{i}", files) for i in range(3)], "repo string, hash string, files array<struct<status: string, path: string>>"))
-    found = history.file_partners(rows, spark.createDataFrame([("made.go",)], "path string")).filter("item = 'a.go'")
+    found = history.file_partners(rows, spark.createDataFrame([("r", "made.go")], "repo string, path string")).filter("item = 'a.go'")
     assert [r["partner"] for r in found.collect()] == ["b.go"]
+
+
+def test_partners_of_one_path_in_two_repositories(spark):
+    """What is generated in one, or never changes along in one, is a partner in the other; shares are of a repository's own changes."""
+    log = [(r, f"h{i}", [("M", "a.go"), ("M", f"{r}.go"), ("M", "both.go")][: 2 if r == "s" and i > 2 else 3]) for r in ("r", "s") for i in range(6)]
+    rows = history.changes(spark.createDataFrame(log, "repo string, hash string, files array<struct<status: string, path: string>>"))
+    found = history.file_partners(rows, spark.createDataFrame([("r", "both.go")], "repo string, path string")).filter("item = 'a.go'").orderBy("repo", "rk")
+    assert [(p["repo"], p["partner"], p["n"], p["conf"]) for p in found.collect()] == [("r", "r.go", 6, 1.0), ("s", "s.go", 6, 1.0), ("s", "both.go", 3, 0.5)]
+
+
+def test_top_callers_by_rank(spark):
+    nodes = spark.createDataFrame([*WORLD, *[node(f"c{i}", "web", "src/c.ts", f"c{i}") for i in range(7)]], NODES)
+    edges = spark.createDataFrame([(f"c{i}", "mid") for i in range(7)] + [("mid", "gen"), ("virtual:sdk", "gen"), ("serve", "gen")], "src string, dst string")
+    pr = spark.createDataFrame([(f"c{i}", float(i % 3)) for i in range(7)] + [("serve", 9.0)], "key string, pr double")
+    got = {r["node"]: r["top_callers"] for r in top_callers(nodes, edges, pr).collect()}
+    assert got["gen"] == ["svc/svc/serve.go:Serve", "web/src/c.ts:c2", "web/src/c.ts:c5", "web/src/c.ts:c1", "web/src/c.ts:c4"]
