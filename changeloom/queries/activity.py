@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import age_days, half_life, level, points, round_half_away, whole
 from changeloom.operators.hierarchy import nearest_rank
-from changeloom.operators.history import add_unknown, cochange, merge_history
+from changeloom.operators.history import add_unknown, cochange, file_partners, merge_history
 from changeloom.operators.joins import missing
 from changeloom.queries import query, table
 
@@ -112,6 +112,26 @@ def cochange_min_support(spark, sf):
     return cochange(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey", 3, 0.02, 5)
 
 
+@query("""
+WITH x AS (SELECT DISTINCT o_orderpriority AS repo, o_orderkey AS g, CASE l_suppkey % 7 WHEN 0 THEN 'mocks/' ELSE '' END || 's' || l_suppkey || '.go' AS item
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'A'),
+c AS (SELECT repo, item, count(*) AS a FROM x GROUP BY ALL),
+p AS (SELECT a.repo, a.item, b.item AS partner, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.item <> b.item GROUP BY ALL),
+f AS (SELECT p.*, p.n::DOUBLE / c.a AS cf FROM p JOIN c USING (repo, item) WHERE p.n >= 2 AND p.n::DOUBLE / c.a >= 0.02e0),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo, item ORDER BY n DESC, partner) AS rk0 FROM f),
+q AS (SELECT *, row_number() OVER (PARTITION BY repo, item ORDER BY n DESC, partner) AS rk FROM r WHERE rk0 <= 10 AND partner NOT LIKE 'mocks/%'
+  AND NOT (repo = '1-URGENT' AND partner IN (SELECT 's' || s_suppkey || '.go' FROM supplier WHERE s_suppkey % 3 = 0)))
+SELECT repo, item, partner, n, floor(cf * 100 + 0.5e0) / 100 AS conf, rk::INT AS rk FROM q WHERE rk <= 5""")
+def partners_by_repository(spark, sf):
+    """Suppliers as files that change in orders: partners within a priority, without mocks and what is generated in one priority."""
+    name = F.concat(F.when(F.col("l_suppkey") % 7 == 0, "mocks/").otherwise(""), F.lit("s"), "l_suppkey", F.lit(".go"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("repo"))
+    status = F.when(F.col("l_returnflag") == "A", "D").otherwise("M")
+    rows = table(spark, sf, "lineitem").join(orders, "l_orderkey").select("repo", F.col("l_orderkey").alias("hash"), status.alias("status"), name.alias("path"))
+    made = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.lit("1-URGENT").alias("repo"), F.concat(F.lit("s"), "s_suppkey", F.lit(".go")).alias("path"))
+    return file_partners(rows, made, min_n=2, min_conf=0.02)
+
+
 @query(_pairs_sql("l_orderkey", "l_partkey", "lineitem", 1, "0e0", 5, "rk0 <= 10 AND partner IN (SELECT p_partkey FROM part WHERE p_size >= 25)"))
 def alive_partner_semi(spark, sf):
     """The ten strongest partners are ranked, those of parts that are alive stay, five at most."""

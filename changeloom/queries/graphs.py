@@ -156,3 +156,23 @@ def alias_chains(spark, sf):
     first = F.expr("CASE WHEN p_partkey % 97 = 0 THEN p_partkey + 1 WHEN p_partkey % 97 = 1 THEN p_partkey - 1 ELSE p_partkey + p_size END")
     both = part.select(F.col("p_partkey").alias("name"), F.explode(F.array(F.struct(first.alias("target"), F.lit(0).alias("ord")), F.struct(F.lit(-1).cast("bigint").alias("target"), F.lit(1).alias("ord")))).alias("x"))
     return resolved_aliases(both.select("name", "x.*"), [])
+
+
+@query("""
+WITH e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT c, s FROM e WHERE s % 5 <> 0 UNION SELECT c, s + 1 FROM e WHERE s % 5 = 0 AND s + 1 IN (SELECT s_suppkey FROM supplier)),
+r AS (SELECT 's' || s AS node, c_nationkey || '/' || c_mktsegment || ':' || c AS id, row_number() OVER (PARTITION BY s ORDER BY c_acctbal DESC, c_nationkey || '/' || c_mktsegment || ':' || c) AS place FROM m JOIN customer ON c = c_custkey)
+SELECT node, string_agg(id, ' ' ORDER BY place) AS callers FROM r WHERE place <= 5 GROUP BY node""")
+def callers_by_rank(spark, sf):
+    """Customers as callers of suppliers, each fifth supplier internal and calling the next: the five of the highest balance."""
+    from changeloom.plans.codemap import top_callers
+
+    customers, suppliers = table(spark, sf, "customer"), table(spark, sf, "supplier").select("s_suppkey")
+    of = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    nodes = customers.select(of("c", "c_custkey").alias("key"), F.col("c_nationkey").cast("string").alias("repo"), F.col("c_mktsegment").alias("file"), F.col("c_custkey").cast("string").alias("sym"), F.lit(False).alias("internal"))
+    nodes = nodes.unionByName(suppliers.select(of("s", "s_suppkey").alias("key"), F.lit("").alias("repo"), F.lit("").alias("file"), F.lit("").alias("sym"), (F.col("s_suppkey") % 5 == 0).alias("internal")))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    asked = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey").select(of("c", "o_custkey").alias("src"), of("s", "l_suppkey").alias("dst")).distinct()
+    passed = suppliers.filter("s_suppkey % 5 = 0").select(of("s", "s_suppkey").alias("src"), F.concat(F.lit("s"), (F.col("s_suppkey") + 1).cast("string")).alias("dst")).join(suppliers.select(of("s", "s_suppkey").alias("dst")), "dst", "left_semi")
+    found = top_callers(nodes, asked.unionByName(passed.select("src", "dst")), customers.select(of("c", "c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("pr")))
+    return found.filter("substring(node, 2) % 5 <> 0").select("node", F.array_join("top_callers", " ").alias("callers"))
