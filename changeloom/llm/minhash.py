@@ -8,8 +8,9 @@ a byte a bin; BANDS groups of ROWS bins each name a bucket. At 0.8 a pair shares
 Pairs are bounded by stars. Each text is first tested with a few texts only: of the least ones of its buckets those that it
 shares most buckets with. What that links has one label. In a bucket of several labels the texts are dealt to blocks by their
 hashes, and each text that isn't of the bucket's largest label visits all its blocks with its full set; a block's sets are
-inverted once, so a visit counts its shared shingles with all of them, and gives one link a label at most. So no bucket meets
-in one task, texts of one label aren't compared, no pair leaves its task unless it is a link, and no link between labels is lost.
+inverted once, so a visit counts its shared shingles with all of them. So no bucket meets in one task, and no pair leaves its
+task unless it is a link that joins labels which the task's links before it haven't joined: fewer links than the task has
+labels, and what any link between labels connects is connected.
 
 Cases: texts of the same shingles are one node; a text of one to three words is one shingle; texts without words, and null
 texts, have an empty set, link with nothing and are their own component; a null doc_id is never the smallest of a
@@ -45,6 +46,9 @@ STARS = 3
 #: Shingles of a block, about.
 BLOCK = 1 << 19
 
+#: A task remembers so many labels that its links have joined; beyond, it starts anew and may join some of them again.
+REMEMBERED = 1_000_000
+
 U = np.uint64
 
 
@@ -162,23 +166,43 @@ class Block:
         order = np.argsort(flat, kind="stable")
         self.shingles, self.number = flat[order], np.repeat(np.arange(len(self.n)), self.n)[order]
 
-    def links(self, node: int, label: int, own: np.ndarray) -> np.ndarray:
-        """Of each other label one set that is similar enough; of two visitors the smaller one asks."""
+    def links(self, node: int, label: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each other label one set that is similar enough, and those labels; of two visitors the smaller one asks."""
         low, high = np.searchsorted(self.shingles, own), np.searchsorted(self.shingles, own, side="right")
         many = high - low
         at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
         both = np.bincount(self.number[at], minlength=len(self.n))
         near = (5 * both >= 4 * (self.n + len(own) - both)) & (self.label != label) & (~self.minor | (self.node > node))
         found = np.flatnonzero(near)
-        return self.node[found[np.unique(self.label[found], return_index=True)[1]]]
+        labels, at = np.unique(self.label[found], return_index=True)
+        return self.node[found[at]], labels
+
+
+class Joined:
+    """Labels that links have joined."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = label = self.above.get(up, up)
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they weren't joined before."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
 
 
 def linked_in_blocks(rows: DataFrame) -> DataFrame:
-    """(a, b): links between labels of rows (see ``dealt``); a label that a node is linked with is met once a block at least."""
+    """(a, b): links between labels of rows (see ``dealt``), so many that they join what all such links join."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, home, block = None, [], None
+        at, home, block, joined = None, [], None, Joined()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -190,12 +214,15 @@ def linked_in_blocks(rows: DataFrame) -> DataFrame:
             for s, e in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if at != (key[s], number[s]):
                     at, home, block = (key[s], number[s]), [], None
+                    if len(joined.above) > REMEMBERED:
+                        joined = Joined()
                 if here[s]:
                     home.append({"minor": minor[s:e], "node": node[s:e], "label": label[s:e], "n": n[s:e], "own": own[ends[s] - n[s] : ends[e - 1]]})
                 elif home:
                     block = block or Block(home)
                     for i in range(s, e):
-                        found += [(node[i], other) for other in block.links(node[i], label[i], own[ends[i] - n[i] : ends[i]])]
+                        others, labels = block.links(node[i], label[i], own[ends[i] - n[i] : ends[i]])
+                        found += [(node[i], other) for other, to in zip(others.tolist(), labels.tolist(), strict=True) if joined.join(int(label[i]), to)]
             if found:
                 pairs = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["a", "b"])

@@ -87,6 +87,20 @@ def test_no_first_text_decides(spark):
     assert result(spark, rows, block=9000) == brute(rows)
 
 
+def test_blocks_give_a_forest(spark):
+    """Sets that are all alike, each of a label of its own, in three buckets: no bucket gives all its pairs, and all are joined."""
+    r = np.random.default_rng(4)
+    base = np.sort(r.integers(-(1 << 62), 1 << 62, 200))
+    sets = {i: np.sort(np.concatenate([np.delete(base, [i, i + 70]), r.integers(-(1 << 62), 1 << 62, 2)])).tolist() for i in range(60)}
+    rows = [(key, 0, home, True, i, i, own) for key in range(3) for home in (True, False) for i, own in sets.items()]
+    rows += [(3, 0, home, True, i, 7, sets[i]) for home in (True, False) for i in (1, 2)]
+    got = minhash.linked_in_blocks(spark.createDataFrame(rows, "key bigint, block bigint, home boolean, minor boolean, node bigint, label bigint, own array<bigint>"))
+    links = got.collect()
+    assert len(links) <= 3 * 59 and all(a > b for a, b in links)
+    root = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(links, got.schema)).collect()}
+    assert root == dict.fromkeys(range(60), 0)
+
+
 def test_sketches():
     order = minhash.orders()
     assert all(sorted(row) == [*range(minhash.BINS)] for row in order[::50].tolist())
