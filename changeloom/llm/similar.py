@@ -1,12 +1,15 @@
 """Near-duplicate texts by the Jaccard similarity of their word shingles, found through SimHash fingerprints.
 
 Two texts are linked if their sets of 5-word shingles have a similarity of 0.8 or more; that is tested on the sets of each
-candidate pair. Candidates agree in all bits of at least one list: a list has some bits of a long SimHash fingerprint of
-its own, and there are as many lists as find MISSED of the pairs at 0.8 too few at most, and more of those above.
+candidate pair. Candidates come from an index of byte positions, as in simhash, of fingerprints with more positions than 8,
+because a pair at 0.8 shares only about 27 bytes of 100. The index lists each fingerprint by its bytes at some positions (two
+for up to about a million texts); no position is in two lists, and there are as many lists as find MISSED of the pairs at
+0.8 too few at most, and more of those above. In each list the bytes that a pair shares at POSITIONS further positions are
+tallied, pairs with SHARED or more are retained, and their bits are compared.
 
-In a list's bucket each text is tested with the first text near it. What that leaves unlinked is then tested pair by pair:
-each pair in the first list that it shares, if the whole fingerprints, thousands of bits, let it be similar enough. So a
-large group of near copies costs one test a text and those of the pairs at about 0.74 or more.
+In a list each text is tested with the first text so retained. What that leaves unlinked is then tested pair by pair:
+each pair in the first list that it shares, if the bytes shared at all positions, and all bits, let it be similar enough. So
+a large group of near copies costs one test a text and those of the pairs at about 0.74 or more.
 
 Cases: words are those of simhash; a text of fewer than five words is one shingle; texts of the same shingles are one
 node of the graph; null texts and texts of white space have no shingle and are alike; a null doc_id is never the smallest.
@@ -37,14 +40,17 @@ DIFFER = 0.1515
 #: The share of pairs at 0.8 that no list holds.
 MISSED = 0.008
 
-#: Bits of a list: more for more texts, so that texts that aren't alike seldom meet.
-LEAST_BITS = 20
+#: Bytes of a list: more for more texts, so that no more than 2 to this power that aren't alike meet in one, about.
+LEAST_BYTES, MEETING = 2, 4
 
-#: Candidates differ in so many of 64 further bits at most; 1 in 3,000 pairs at 0.8 differ in more.
+#: Candidates share bytes at so many of so many further positions at least; 1 in 1,700 pairs at 0.8 share fewer.
+SHARED, POSITIONS = 2, 32
+
+#: They differ in so many of the last 64 bits at most; 1 in 3,000 pairs at 0.8 differ in more.
 NEAR = 20
 
-#: Whole fingerprints of a pair at 0.8 differ in more bits than is let through once in so many standard deviations (1 in
-#: 6,000 pairs). Sets smaller than FEW have more ties than the angle tells, so they are tested whatever their bits.
+#: Whole fingerprints of a pair at 0.8 differ in more bits, or share fewer bytes, than is let through once in so many
+#: standard deviations (1 in 6,000 pairs each). Sets smaller than FEW have more ties than the angle tells, so they are tested whatever their bits.
 DEVIATIONS, FEW = 3.6, 32
 
 #: A task remembers so many nodes that it has listed.
@@ -55,12 +61,15 @@ SMALL = 32
 
 #: So many pairs are unpacked at a time.
 PAIRS = 4096
+
+#: Columns of the bytes at the further positions; the last one has the last 64 bits.
+MARKS = [f"m{i}" for i in range(POSITIONS // 8)]
 U = np.uint64
 
 
 def shape(n: int) -> tuple[int, int]:
-    """Bits of a list and the number of lists for n texts."""
-    bits = max(LEAST_BITS, n.bit_length())
+    """Bits of a list, which are whole bytes, and the number of lists for n texts."""
+    bits = 8 * max(LEAST_BYTES, ceil((n.bit_length() - MEETING) / 8))
     return bits, ceil(log(MISSED) / log(1 - (1 - DIFFER) ** bits))
 
 
@@ -89,7 +98,7 @@ def long_fingerprint(own: np.ndarray, words: int) -> np.ndarray:
 
 
 def words_of(bits: int, lists: int) -> int:
-    return ceil(bits * lists / 64) + 1
+    return ceil(bits * lists / 64) + POSITIONS // 8
 
 
 def buckets(made: np.ndarray, bits: int, lists: int) -> np.ndarray:
@@ -102,10 +111,32 @@ def most_differing(size: int) -> int:
     return int(size * DIFFER + DEVIATIONS * sqrt(size * DIFFER * (1 - DIFFER)))
 
 
+def least_shared(size: int) -> int:
+    """The bytes at so many positions that a pair must share."""
+    same = (1 - DIFFER) ** 8
+    return max(0, int(size * same - DEVIATIONS * sqrt(size * same * (1 - same))))
+
+
 def keys(own: np.ndarray, bits: int, lists: int) -> tuple[np.ndarray, int]:
-    """The bucket of a set in each list, and 64 further bits."""
+    """The bucket of a set in each list, and the last 64 bits."""
+    key, marks = placed(own, bits, lists)
+    return key, int(marks[-1])
+
+
+def placed(own: np.ndarray, bits: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of a set in each list, and the bytes at the further positions, eight a number."""
     made = long_fingerprint(own, words_of(bits, lists))
-    return buckets(made, bits, lists), int(np.packbits(made[-64:]).view(np.int64)[0])
+    return buckets(made, bits, lists), np.packbits(made[-8 * POSITIONS :]).view(np.int64)
+
+
+def retained(marks: np.ndarray, n: np.ndarray, other: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """Whether sets share bytes at enough of the further positions, and are then near by their bits and sizes."""
+    tally = np.count_nonzero((marks ^ other).view(np.uint8) == 0, axis=1)
+    out = tally >= SHARED
+    at = np.flatnonzero(out)
+    last, last_n = np.broadcast_to(other[..., -1], out.shape), np.broadcast_to(other_n, out.shape)
+    out[at] = near(marks[at, -1], n[at], last[at], last_n[at])
+    return out
 
 
 def near(fp: np.ndarray, n: np.ndarray, other_fp: np.ndarray, other_n: np.ndarray) -> np.ndarray:
@@ -115,8 +146,9 @@ def near(fp: np.ndarray, n: np.ndarray, other_fp: np.ndarray, other_n: np.ndarra
 
 
 def listed(docs: DataFrame, text: str, bits: int, lists: int) -> DataFrame:
-    """(key, node, fp, n): each set in its bucket of each list, once a task at least."""
+    """(key, node, n, m0, m1, m2, m3): each set in its bucket of each list, once a task at least."""
     small_batches(docs.sparkSession)
+    names = ["key", "node", "n", *MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -130,13 +162,13 @@ def listed(docs: DataFrame, text: str, bits: int, lists: int) -> DataFrame:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    rows.append((*keys(own, bits, lists), node, len(own)))
+                    rows.append((*placed(own, bits, lists), node, len(own)))
                 if rows:
-                    key = np.concatenate([k for k, *_ in rows])
-                    rest = [np.repeat(np.array([r[i] for r in rows], np.int64), lists) for i in (2, 1, 3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *rest)], names=["key", "node", "fp", "n"])
+                    key, marks = np.concatenate([r[0] for r in rows]), np.stack([r[1] for r in rows])
+                    rest = [np.repeat(np.array(x, np.int64), lists) for x in ([r[2] for r in rows], [r[3] for r in rows], *marks.T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *rest)], names=names)
 
-    return docs.select(text).mapInArrow(run, "key bigint, node bigint, fp bigint, n bigint")
+    return docs.select(text).mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -160,8 +192,8 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, np.int64), cuts)), np.concatenate((cuts, np.array([len(key)])))
 
 
-def _worth(key: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The buckets with candidates: all long ones, and of the others those with two sets near each other."""
+def _worth(key: np.ndarray, node: np.ndarray, marks: np.ndarray, n: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The buckets with candidates: all long ones, and of the others those with two sets retained."""
     sizes = ends - starts
     bucket = np.repeat(np.arange(len(starts)), sizes)
     out = sizes > SMALL
@@ -171,28 +203,29 @@ def _worth(key: np.ndarray, node: np.ndarray, fp: np.ndarray, n: np.ndarray, sta
         at = at[bucket[at] == bucket[at + k]]
         if not len(at):
             break
-        found = at[(node[at] != node[at + k]) & near(fp[at], n[at], fp[at + k], n[at + k])]
+        found = at[(node[at] != node[at + k]) & retained(marks[at], n[at], marks[at + k], n[at + k])]
         out[bucket[found]] = True
     return np.flatnonzero(out)
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """(key, node, fp, n, first): the sets of each bucket that are near another one there, and the first set near each."""
+    """(key, node, fp, n, first): the sets of each bucket that are retained with another one there, and the first one with each."""
     names = ["key", "node", "fp", "n", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, n in whole_buckets(batches):
+        for key, node, n, *columns in whole_buckets(batches):
             if not len(key):
                 continue
+            marks, fp = np.stack(columns, axis=1), columns[-1]
             starts, ends = _bounds(key)
-            for i in _worth(key, node, fp, n, starts, ends):
+            for i in _worth(key, node, marks, n, starts, ends):
                 _, at = np.unique(node[starts[i] : ends[i]], return_index=True)
                 at += starts[i]
                 first, left = np.full(len(at), -1), np.arange(len(at))
                 alike = np.zeros(len(at), bool)
                 while len(left):
                     root = left[0]
-                    close = near(fp[at], n[at], fp[at[root]], n[at[root]])
+                    close = retained(marks[at], n[at], marks[at[root]], n[at[root]])
                     close[root] = False
                     alike |= close
                     alike[root] |= close.any()
@@ -207,17 +240,18 @@ def candidates(lists: DataFrame) -> DataFrame:
 
 
 def unlinked(rows: DataFrame, bits: int, lists: int) -> DataFrame:
-    """(a, b): pairs near each other in a bucket of rows(key, node, fp, n, label, whole) whose labels differ, each once: in
+    """(a, b): pairs that share enough bytes and bits in a bucket of rows(key, node, fp, n, label, whole) whose labels differ, each once: in
     the bucket of the first list that both share."""
 
     def pairs(key: int, node: np.ndarray, fp: np.ndarray, n: np.ndarray, label: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         number = np.flatnonzero(buckets(np.unpackbits(whole[0]), bits, lists) == key)[0]
-        most = most_differing(8 * whole.shape[1])
+        most, least = most_differing(8 * whole.shape[1]), least_shared(whole.shape[1])
         for i in range(len(node) - 1):
             met = np.flatnonzero(near(fp[i + 1 :], n[i + 1 :], fp[i], n[i]) & (label[i + 1 :] != label[i])) + i + 1
             for part in np.split(met, range(PAIRS, len(met), PAIRS)):
                 other = whole[part] ^ whole[i]
-                ok = (np.bitwise_count(other).sum(axis=1, dtype=np.int64) <= most) | (np.minimum(n[part], n[i]) < FEW)
+                tally = np.count_nonzero(other == 0, axis=1)
+                ok = (tally >= least) & (np.bitwise_count(other).sum(axis=1, dtype=np.int64) <= most) | (np.minimum(n[part], n[i]) < FEW)
                 part, other = part[ok], other[ok]
                 shared = ~np.unpackbits(other, axis=1, count=bits * lists).reshape(len(part), lists, bits).any(axis=2)
                 part = part[shared.argmax(axis=1) == number]

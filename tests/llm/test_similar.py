@@ -92,3 +92,43 @@ def test_each_unlinked_pair_is_tested_once(spark):
     frame_ = spark.createDataFrame(rows, "key bigint, node bigint, fp bigint, n bigint, label bigint, whole binary")
     got = sorted(tuple(r) for r in similar.unlinked(frame_, bits, lists).collect())
     assert got == [(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)]
+
+
+def test_lists_are_byte_positions():
+    """A list is some whole bytes of the fingerprint, whatever the number of texts, and no position is in two lists."""
+    own = np.random.default_rng(6).integers(0, 2**63, 90, dtype=np.uint64)
+    for n in (1, 10**5, 10**6, 10**7, 10**9):
+        bits, lists = similar.shape(n)
+        assert bits % 8 == 0
+        words = similar.words_of(bits, lists)
+        whole = np.packbits(similar.long_fingerprint(own, words))
+        key = similar.buckets(np.unpackbits(whole), bits, lists)
+        for at in (0, 2, bits // 8 * lists - 1):
+            other = whole.copy()
+            other[at] ^= 9
+            changed = np.flatnonzero(similar.buckets(np.unpackbits(other), bits, lists) != key)
+            assert changed.tolist() == [at // (bits // 8)]
+
+
+def test_shared_bytes_are_tallied(spark):
+    """Sets of one list whose last 64 bits are near are retained if enough positions share their byte."""
+    r = np.random.default_rng(7)
+    marks = np.repeat(r.integers(-(2**62), 2**62, 4)[None], 4, axis=0)
+    marks[1] ^= np.frombuffer(b"\x01" * 32, np.int64)  # no byte shared with 0: 8 bits of the last 64 differ
+    marks[2] ^= np.frombuffer(b"\x01" * 30 + b"\0\0", np.int64)  # two shared
+    marks[3] ^= np.frombuffer(b"\x02" * 31 + b"\0", np.int64)  # one shared with 0 and 2, none with 1
+    rows = spark.createDataFrame([(7, i, 50, *m) for i, m in enumerate(marks.tolist())], "key bigint, node bigint, n bigint, m0 bigint, m1 bigint, m2 bigint, m3 bigint")
+    assert sorted((x["node"], x["first"]) for x in similar.candidates(rows).collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
+def test_few_similar_sets_are_lost_by_the_tally():
+    r = np.random.default_rng(8)
+    bits, lists = similar.shape(10**5)
+    lost = tried = 0
+    for n in (9, 18, 45, 90, 400):
+        both = -(-8 * n // 9)
+        for _ in range(60):
+            x = r.integers(0, 2**63, 2 * n, dtype=np.uint64)
+            (_, a), (_, b) = (similar.placed(s, bits, lists) for s in (x[:n], np.concatenate((x[:both], x[n : 2 * n - both]))))
+            tried, lost = tried + 1, lost + int(np.count_nonzero((a ^ b).view(np.uint8) == 0) < similar.SHARED)
+    assert lost <= tried // 100
