@@ -53,6 +53,9 @@ NEAR = 20
 #: standard deviations (1 in 6,000 pairs each). Sets smaller than FEW have more ties than the angle tells, so they are tested whatever their bits.
 DEVIATIONS, FEW = 3.6, 32
 
+#: 64-bit words of a whole fingerprint at least: with fewer, more pairs below 0.8 are let through.
+LEAST_WORDS = 41
+
 #: A task remembers so many nodes that it has listed.
 REMEMBERED = 1_000_000
 
@@ -98,7 +101,7 @@ def long_fingerprint(own: np.ndarray, words: int) -> np.ndarray:
 
 
 def words_of(bits: int, lists: int) -> int:
-    return ceil(bits * lists / 64) + POSITIONS // 8
+    return max(LEAST_WORDS, ceil(bits * lists / 64) + POSITIONS // 8)
 
 
 def buckets(made: np.ndarray, bits: int, lists: int) -> np.ndarray:
