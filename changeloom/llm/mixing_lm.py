@@ -22,8 +22,8 @@ empty table gives no rows; in a text of more than 1 MB contexts and weights star
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changeloom.llm.common import cut, map_text, pick, slices, small_batches
-from changeloom.llm.substring_dedup import word_hashes
 
 ORDERS = (2, 4, 6)
 PREDICTORS = len(ORDERS) + 1
@@ -45,6 +44,7 @@ FOLDS, HOT_WORDS = 10, 1 << 21
 HELD_WORDS = 6_000_000  # that a task holds before it counts them
 SEGMENT = 1 << 20  # bytes of a text after which contexts start anew
 GROUP = 1 << 16  # bytes that are handled as one array
+AT_ONCE = 1 << 14  # symbols whose bits are looked up at once when texts are scored
 SHARD = 32 << 20  # bytes of training texts that one learner reads, about
 FIRST_BLOCK = 128  # bytes of a text after which its weights first move; blocks double
 ODDS, STEP = 7.9, 16  # largest log odds of a predictor, and steps in a unit
@@ -64,6 +64,7 @@ class Code:
     node: np.ndarray
     sign: np.ndarray  # 1 for a bit of 1, -1 for 0
     offset: np.ndarray  # the node's place in a context's line of slots
+    step: np.ndarray  # the node, and 256 more for a bit of 1: what is looked up for each bit
 
 
 def code(counts: np.ndarray) -> Code:
@@ -93,7 +94,8 @@ def code(counts: np.ndarray) -> Code:
             bits += [b for _, b in reversed(path)]
             at_all += len(path)
     node = np.array(nodes, np.uint8)
-    return Code(np.array(starts), np.array(lengths), node.astype(np.int64), np.array(bits, np.float32) * 2 - 1, (node % LINE).astype(np.uint32))
+    step = node + np.array(bits, np.int16) * np.int16(256)
+    return Code(np.array(starts), np.array(lengths), node.astype(np.int64), np.array(bits, np.float32) * 2 - 1, (node % LINE).astype(np.uint32), step)
 
 
 @cache
@@ -102,52 +104,65 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n, base, U)), np.cumprod(np.full(n, pow(base, -1, 1 << 64), U))
 
 
-def contexts(cat: np.ndarray) -> list[np.ndarray]:
-    """A 22-bit hash of each predictor's context before each symbol of cat (segments parted by zeros)."""
+def contexts(cat: np.ndarray) -> np.ndarray:
+    """A 22-bit hash of each predictor's context (a row each) before each symbol of cat (segments parted by zeros)."""
     top = U(64 - int(np.log2(SLOTS)))
-    b = np.concatenate((np.zeros(8, U), np.where(cat == END, 0, cat).astype(U)))
-    n, out, word = len(cat), [], np.zeros(len(cat), U)
-    for k in range(1, max(ORDERS) + 1):
-        word |= b[8 - k : 8 - k + n] << U(8 * (k - 1))
-        if k in ORDERS:
-            out.append((((word + U(k << 56)) * U(0xD6E8FEB86659FD93)) >> top).astype(np.uint32))
+    b = np.concatenate((np.zeros(8, U), (cat & 255).astype(U)))  # END counts as zero
+    n, own, out = len(cat), b[8:], np.empty((len(cat), PREDICTORS), np.int32)  # a symbol's hashes side by side
+    two = b[1:-1] | b[:-2] << U(8)  # the last two bytes, from the third place of b on
+    last = {2: two[6:], 4: two[6:] | two[4:-2] << U(16)}
+    last[6] = last[4] | two[2:-4] << U(32)
+    for i, k in enumerate(ORDERS):
+        out[:, i] = ((last[k] + U(k << 56)) * U(0xD6E8FEB86659FD93)) >> top
     power, inverse = _powers(1 << (max(1, n + 1) - 1).bit_length())
-    own = b[8:]
     sums = np.concatenate((np.zeros(1, U), np.cumsum((own + U(1)) * power[:n])))
-    white = _WHITE[cat]
+    white = _WHITE.take(cat)
     start = np.maximum.accumulate(np.where(np.concatenate(([True], white[:-1])), np.arange(n), 0)) if n else np.zeros(0, np.int64)
-    so_far = (sums[:n] - sums[start]) * inverse[start]
+    so_far = (sums[:n] - look(sums, start)) * look(inverse, start)
     so_far = (so_far ^ (so_far >> U(31))) * U(0xBF58476D1CE4E5B9)
-    out.append((so_far >> top).astype(np.uint32))
-    return out
+    out[:, -1] = so_far >> top
+    return out.T
+
+
+def keep_freed() -> None:
+    """Frees a block of 30 MB, after which malloc keeps what smaller arrays free, and doesn't ask the system for it again each time."""
+    np.empty(30 << 20, np.uint8)
+
+
+def look(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at] for places that are there, so without the time that checking them takes."""
+    return table.take(at, mode="wrap")
 
 
 @dataclass
 class Bits:
-    """The bits of some symbols: node, sign, the refining table's row, each predictor's slot, bits of each symbol."""
+    """The bits of some symbols: node, whether it is 1, the refining table's row, each predictor's slot."""
 
     node: np.ndarray
-    sign: np.ndarray
+    one: np.ndarray
     row: np.ndarray
     slots: list[np.ndarray]
-    each: np.ndarray
-
-
-def bits_of(cat: np.ndarray, hashed: list[np.ndarray], at: np.ndarray, tree: Code) -> Bits:
-    before = cat.take(at - 1) & 255
-    sym = before.astype(np.int32) * 257 + cat.take(at)
-    n = tree.length.take(sym)
-    ends = np.cumsum(n)
-    owner = np.repeat(np.arange(len(sym)), n)
-    flat = (tree.start.take(sym) - (ends - n)).take(owner)
-    flat += np.arange(len(flat))
-    offset, slots = tree.offset.take(flat), []
-    for h in hashed:
-        s = h.take(at).take(owner)
-        s ^= offset
-        slots.append(s)
-    last = before * np.int16(BUCKETS)
-    return Bits(tree.node.take(flat), tree.sign.take(flat), last.take(owner), slots, n)
+
+
+def bits_of(cat: np.ndarray, hashed: np.ndarray, at: np.ndarray, tree: Code) -> Bits:
+    before, sym = paths(cat, at)
+    n = look(tree.length, sym)
+    # what a symbol's bits share is repeated in two pieces: its place in the tree with the row, and the hashes side by side
+    base = np.repeat((look(tree.start, sym) + n - np.cumsum(n) << 16) + before * BUCKETS, n)
+    sides = np.repeat(look(hashed.T.view(np.complex128).ravel(), at), n).view(np.int32).reshape(-1, PREDICTORS)
+    row = (base & 0xFFFF).astype(np.int16)
+    base >>= 16
+    base += np.arange(len(base))
+    step = look(tree.step, base)
+    node = (step & np.int16(255)).astype(np.intp)
+    offset = node & (LINE - 1)
+    return Bits(node, step > 255, row, [side ^ offset for side in sides.T])
+
+
+def paths(cat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes before the symbols at these places, and the numbers of their paths in the tree."""
+    before = look(cat, at - 1) & 255
+    return before, before.astype(np.int64) * 257 + look(cat, at)
 
 
 @dataclass
@@ -157,9 +172,9 @@ class Model:
     weights: np.ndarray  # PREDICTORS x 256
     refined: np.ndarray  # 256 x BUCKETS, log odds
 
-    def refine(self, total: np.ndarray, b: Bits) -> np.ndarray:
-        cell = b.row + _bucket(total)
-        return (total + self.refined.ravel().take(cell)) * np.float32(0.5)
+    def refine(self, total: np.ndarray, row: np.ndarray) -> np.ndarray:
+        cell = row + _bucket(total)
+        return (total + look(self.refined.ravel(), cell)) * np.float32(0.5)
 
 
 def _bucket(total: np.ndarray) -> np.ndarray:
@@ -167,7 +182,10 @@ def _bucket(total: np.ndarray) -> np.ndarray:
 
 
 def probability(total: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+    p = np.tanh(total * np.float32(0.5))
+    p *= np.float32(0.5)
+    p += np.float32(0.5)
+    return p
 
 
 def fresh(tree: Code) -> Model:
@@ -175,6 +193,15 @@ def fresh(tree: Code) -> Model:
     return Model(tree, np.zeros((PREDICTORS, SLOTS), np.int8), np.full((PREDICTORS, 256), 0.4, np.float32), np.tile(centre.astype(np.float32), (256, 1)))
 
 
+def symbols(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all symbols of segments, and which of these is the first of each segment."""
+    n = end - start
+    first = np.cumsum(n) - n
+    at = np.repeat(start - first, n)
+    at += np.arange(len(at))
+    return at, first
+
+
 def groups(texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts in segments, laid end to end with zeros between: the symbols; of each segment its text, start and end."""
     parts, size = [], 0
@@ -206,41 +233,57 @@ def log_probabilities(model: Model, texts: list[bytes | None]) -> np.ndarray:
     weights = model.weights / np.float32(STEP)
     for cat, text, start, end in groups(texts):
         hashed = contexts(cat)
-        moved = np.zeros((PREDICTORS, len(text)), np.float32)
-        lo, hi = 0, FIRST_BLOCK
-        while (live := np.flatnonzero(start + lo < end)).size:
-            a, b = start[live] + lo, np.minimum(start[live] + hi, end[live])
-            at = np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
-            at += np.arange(len(at))
-            x = bits_of(cat, hashed, at, model.tree)
-            own = np.add.reduceat(x.each, np.cumsum(b - a) - (b - a))  # bits of each segment
-            first = np.cumsum(own) - own
-            total, odds = np.zeros(len(x.node), np.float32), []
-            owner = np.repeat(live, own) if lo else None
+        at, first = symbols(start, end)
+        size = end - start
+        bit = np.concatenate(([0], np.cumsum(look(model.tree.length, paths(cat, at)[1]))))  # the first of each symbol
+        odds, total = np.empty((PREDICTORS, bit[-1]), np.float32), np.zeros(bit[-1], np.float32)
+        one, row = np.empty(bit[-1], np.float32), np.empty(bit[-1], np.int16)
+        for a in range(0, len(at), AT_ONCE):
+            x, here = bits_of(cat, hashed, at[a : a + AT_ONCE], model.tree), slice(bit[a], bit[min(a + AT_ONCE, len(at))])
+            one[here], row[here] = x.one, x.row
             for k, s in enumerate(x.slots):
-                st, w = model.odds[k].take(s), weights[k].take(x.node)
-                if lo:
-                    w += moved[k].take(owner)
-                w *= st
-                total += w
-                odds.append(st)
-            loss = np.log(1 + np.exp(np.clip(-x.sign * model.refine(total, x), -30, 30)))
-            np.subtract.at(out, text[live], np.add.reduceat(loss, first, dtype=np.float64))
-            if (end[live] > start[live] + hi).any():
-                err = (x.sign + 1) * np.float32(0.5) - probability(total)
-                for k, st in enumerate(odds):
-                    slope = np.add.reduceat(err * st, first, dtype=np.float64) / own / STEP
-                    moved[k, live] = np.clip(moved[k, live] + RATE * slope / STEP, -0.5 / STEP, 0.5 / STEP)
-            lo, hi = hi, 2 * hi
+                odds[k, here] = look(model.odds[k], s)
+                w = look(weights[k], x.node)
+                w *= odds[k, here]
+                total[here] += w
+        for j in np.flatnonzero(size > FIRST_BLOCK).tolist():
+            move(odds, total, one, bit[first[j] : first[j] + size[j] + 1])
+        for a in range(0, len(total), GROUP):
+            here = slice(a, a + GROUP)
+            refined = model.refine(total[here], row[here])
+            refined *= 1 - 2 * one[here]
+            np.exp(np.clip(refined, -30, 30, out=refined), out=refined)
+            refined += 1
+            np.log(refined, out=total[here])
+        np.subtract.at(out, text, np.add.reduceat(total, bit[first], dtype=np.float64))
     return out / np.log(10)
 
 
+def move(odds: np.ndarray, total: np.ndarray, one: np.ndarray, bit: np.ndarray) -> None:
+    """Adds to the log odds of a text's bits what its weights have moved by in the blocks before; bit: the first of each symbol, and the end."""
+    moved, lo, hi, n = np.zeros(PREDICTORS, np.float32), 0, FIRST_BLOCK, len(bit) - 1
+    most = np.float32(0.5 / STEP)
+    while lo < n:
+        a, b = int(bit[lo]), int(bit[min(hi, n)])
+        own, sums = odds[:, a:b], total[a:b]
+        if lo:
+            sums += moved @ own
+        if hi < n:
+            slope = own @ (one[a:b] - probability(sums))
+            slope *= np.float32(RATE / (STEP * STEP * (b - a)))
+            moved = np.maximum(np.minimum(moved + slope, most), -most)
+        lo, hi = hi, 2 * hi
+
+
 class Learner:
     """A task's tables, and the weights that it moves online."""
 
     def __init__(self, tree: Code):
+        keep_freed()
         self.model = fresh(tree)
-        self.counts = np.zeros((PREDICTORS, SLOTS, 2), np.uint32)
+        self.counts = np.empty((PREDICTORS, SLOTS, 2), np.uint32)
+        self.counts.fill(0)  # np.zeros would not ask for large pages, without which most lookups wait for an address
+        self.both = self.counts.view(np.int64).reshape(PREDICTORS, SLOTS)  # a slot's two counts as one number: of 1 above, of 0 below
         self.slopes = np.full((PREDICTORS, 256), 1e-3)
         self.refining = np.zeros((2, 256 * BUCKETS))
         self.seen = 0.0
@@ -261,36 +304,41 @@ class Learner:
 
     def read(self, texts: list[bytes | None]) -> None:
         for cat, _, start, end in groups(texts):
-            hashed = contexts(cat)
-            n = end - start
-            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            b = bits_of(cat, hashed, at, self.model.tree)
-            self.move(b)
-            one = (b.sign > 0).astype(np.uint32)
-            for k, slot in enumerate(b.slots):
-                slot <<= np.uint32(1)
-                slot |= one
-                np.add.at(self.counts[k].reshape(-1), slot.astype(np.int64), np.uint32(1))
-
-    def move(self, b: Bits) -> None:
-        odds = [odds_of(self.counts[k][s]) for k, s in enumerate(b.slots)]
-        total = sum(st * w.take(b.node) for st, w in zip(odds, self.model.weights, strict=True))
-        one = b.sign > 0
-        err = one - probability(total)
-        n = np.maximum(np.bincount(b.node, minlength=256), 1)
-        for k, st in enumerate(odds):
-            slope = np.bincount(b.node, err * st, 256) / np.sqrt(n)
-            self.slopes[k] += slope**2
-            self.model.weights[k] += 0.3 * slope / np.sqrt(self.slopes[k])
-        cell = b.row + _bucket(total)
-        self.refining += np.stack([np.bincount(cell, minlength=256 * BUCKETS), np.bincount(cell, one, 256 * BUCKETS)])
-        self.seen += len(b.node)
+            hashed, at = contexts(cat), symbols(start, end)[0]
+            self.move(bits_of(cat, hashed, at[a : a + AT_ONCE], self.model.tree) for a in range(0, len(at), AT_ONCE))
+
+    def move(self, parts: Iterable[Bits]) -> None:
+        n, slopes = np.zeros(256), np.zeros((PREDICTORS, 256))
+        for b in parts:
+            odds, one = [], np.where(b.one, np.int64(1 << 32), np.int64(1))
+            for both, slot in zip(self.both, b.slots, strict=True):  # counted at once, while the slots are at hand
+                odds.append(odds_of(look(both, slot).view(np.int32).reshape(-1, 2)))
+                np.add.at(both, slot, one)
+            total = np.zeros(len(b.node), np.float32)
+            for st, weights in zip(odds, self.model.weights, strict=True):
+                w = look(weights, b.node)
+                w *= st
+                total += w
+            err = b.one - probability(total)
+            n += np.bincount(b.node, minlength=256)
+            for k, st in enumerate(odds):
+                st *= err
+                slopes[k] += np.bincount(b.node, st, 256)
+            cell = b.row + _bucket(total)
+            self.refining += np.stack([np.bincount(cell, minlength=256 * BUCKETS), np.bincount(cell, b.one, 256 * BUCKETS)])
+            self.seen += len(b.node)
+        slopes /= np.sqrt(np.maximum(n, 1))
+        self.slopes += slopes**2
+        self.model.weights += (0.3 * slopes / np.sqrt(self.slopes)).astype(np.float32)
 
 
 def odds_of(counts: np.ndarray) -> np.ndarray:
     """Log odds of a 1 after counts of 0 and 1: 0 where nothing was counted, and within what int8 steps hold."""
     c = counts.astype(np.float32)
-    return np.clip(np.log((c[..., 1] + np.float32(0.3)) / (c[..., 0] + np.float32(0.3))), -ODDS, ODDS)
+    c += np.float32(0.3)
+    odds = c[..., 1] / c[..., 0]
+    np.log(odds, out=odds)
+    return np.clip(odds, -ODDS, ODDS, out=odds)
 
 
 def trained_on(doc_id: str = "doc_id") -> Column:
@@ -358,7 +406,7 @@ def train(texts: DataFrame) -> Model:
         shrink = zstandard.ZstdCompressor(level=1).compress
         flat = counts.reshape(-1, SLICE * 2)
         for i in np.flatnonzero(flat.any(axis=1)):
-            planes = flat[i].view(np.uint8).reshape(-1, 4).T.tobytes()
+            planes = b"".join((flat[i] >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4))
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([shrink(planes)], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +419,11 @@ def train(texts: DataFrame) -> Model:
                     x = np.frombuffer(data)
                     states[x[0]] = x[1:]
                 else:
-                    x = np.ascontiguousarray(np.frombuffer(grow(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-                    total[i] = total[i] + x if i in total else x
+                    planes = np.frombuffer(grow(data), np.uint8).reshape(4, -1)
+                    own = total.setdefault(i, np.zeros(SLICE * 2, np.int64))
+                    for k in range(4):
+                        if planes[k].any():
+                            own += planes[k].astype(np.int64) << (8 * k)
         if states:
             total[-1] = sum(states[k] for k in sorted(states))
         for i, x in total.items():
@@ -394,22 +445,51 @@ def train(texts: DataFrame) -> Model:
     return model
 
 
+def hashed_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts, A-Z lower-cased, and how many words each text has."""
+    whole = b" ".join([(t or b"").lower() for t in texts])
+    hashes, starts, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while at < len(whole):
+        end = min(at + GROUP, len(whole))
+        while end < len(whole) and not _WHITE[whole[end]]:
+            end += 1
+        b = np.frombuffer(whole[at:end], np.uint8)
+        white = np.concatenate(([True], _WHITE.take(b), [True]))
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        start, stop = edges[::2], edges[1::2]
+        power, inverse = _powers(1 << (GROUP - 1).bit_length()) if len(b) <= GROUP else _powers.__wrapped__(len(b))
+        sums = np.concatenate((np.zeros(1, U), np.cumsum((b + U(1)) * power[: len(b)])))
+        own = (sums[stop] - sums[start]) * inverse[start]
+        hashes.append(mixed(own ^ ((stop - start).astype(U) << U(32))).view(np.int64))
+        starts.append(start + at)
+        at = end
+    ends = np.cumsum(np.array([len(t or b"") + 1 for t in texts], np.int64))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
 def words(texts: DataFrame) -> DataFrame:
     """(word, n): hashes of the words of texts(text) with their counts, summed in each batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         held, size = [], 0
         for whole in batches:
             for batch in slices(whole, 0):
-                held += [word_hashes((t or b"").lower()) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-                if (size := size + sum(map(len, held))) > HELD_WORDS:
+                held.append(hashed_words(batch.column(0).cast(pa.binary()).to_pylist())[0])
+                if (size := size + len(held[-1])) > HELD_WORDS:
                     yield counted(held)
                     held, size = [], 0
         yield counted(held)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        word, n = np.unique(np.concatenate([*held, np.empty(0, U)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        word, n = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return texts.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -424,18 +504,17 @@ def word_sums(docs: DataFrame, known: DataFrame, hot: tuple[np.ndarray, np.ndarr
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         table, counts = shared.value
         logs = np.log10(counts + 0.1)
         for whole in batches:
             for batch in slices(whole, 1):
                 row_of = batch.column(0).to_numpy()
-                own = [word_hashes((t or b"").lower()).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                n = np.fromiter(map(len, own), np.int64, len(own))
-                word = np.concatenate([*own, np.empty(0, np.int64)])
+                word, n = hashed_words(batch.column(1).cast(pa.binary()).to_pylist())
                 at = find(table, word)
                 rare = at < 0
-                row = np.repeat(np.arange(len(own)), n)
-                log = np.bincount(row[~rare], logs[at[~rare]], len(own)) + np.log10(ends + 0.1)
+                row = np.repeat(np.arange(len(n)), n)
+                log = np.bincount(row[~rare], logs[at[~rare]], len(n)) + np.log10(ends + 0.1)
                 sent = row_of[row[rare]]
                 columns = (np.concatenate((sent, row_of)), np.concatenate((word[rare], row_of)), np.concatenate((np.ones(len(sent), np.int64), -1 - n)), np.concatenate((np.zeros(len(sent)), log)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "word", "times", "log"])
@@ -475,8 +554,11 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        keep_freed()
+        model = replace(shared.value, odds=shared.value.odds.copy())  # numpy asks for large pages for its own arrays
+
         def score(texts: list[bytes | None]) -> list[pa.Array]:
-            made = log_probabilities(shared.value, texts)
+            made = log_probabilities(model, texts)
             return [pa.array(made), pa.array(-made / np.log10(2) / np.maximum([len(t or b"") for t in texts], 1))]
 
         return score

@@ -1,5 +1,7 @@
 """What the language model learns from, and when it moves."""
 
+import re
+
 import numpy as np
 
 from changeloom.llm import mixing_lm
@@ -63,3 +65,30 @@ def test_scores_against_a_plain_version():
     model.odds = np.stack([np.round(mixing_lm.odds_of(c) * mixing_lm.STEP).astype(np.int8) for c in learner.counts])
     texts = [b"The cat sat", b"", b"zebra \xc3\xa9", b"on the mat and a dog"]
     assert np.allclose(mixing_lm.log_probabilities(model, texts), [plain_score(model, t) for t in texts], rtol=1e-3)
+
+
+def test_words_of_many_texts_are_hashed_at_once():
+    texts = [b"The cat\tsat", None, b"", b" \n ", b"cat " * 20_000, b"x" * 100_000 + b" the", b"cat"]
+    hashes, n = mixing_lm.hashed_words(texts)
+    plain = [re.findall(rb"[^\x20\x09-\x0D]+", (t or b"").lower()) for t in texts]
+    assert n.tolist() == [len(x) for x in plain]
+    pairs = set(zip((w for x in plain for w in x), hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
+def test_bits_in_pieces_are_counted_as_they_are_one_by_one(monkeypatch):
+    counts = np.ones((256, 257), np.int64)
+    texts = [b"the cat sat on the mat", b"", None, b"a dog and a cat"] * 3
+    monkeypatch.setattr(mixing_lm, "AT_ONCE", 7)
+    learner = mixing_lm.Learner(mixing_lm.code(counts))
+    learner.read(texts)
+    tree, plain = learner.model.tree, np.zeros_like(learner.counts)
+    for t in texts:
+        symbols = [0] * 6 + [*(t or b""), mixing_lm.END]
+        hashed = mixing_lm.contexts(np.array(symbols, np.int16))
+        for at in range(6, len(symbols)):
+            sym = symbols[at - 1] * 257 + symbols[at]
+            for k in range(int(tree.start[sym]), int(tree.start[sym]) + int(tree.length[sym])):
+                for p, h in enumerate(hashed):
+                    plain[p, int(h[at]) ^ int(tree.offset[k]), int(tree.sign[k] > 0)] += 1
+    assert (plain == learner.counts).all()
