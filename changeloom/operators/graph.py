@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import damped
-from changeloom.operators.windows import running_total
+from changeloom.operators.labels import packed, reached_by
 from changeloom.session import cut
 
 
@@ -89,43 +89,24 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None) -> DataF
 
 def dependents(starts: DataFrame, edges: DataFrame, nodes: DataFrame, hops: int | None = None) -> DataFrame:
     """(sid, syms, files, repos): what depends on a start; nodes(node, file, repo, internal?). Starts count only by others."""
-    found = reach(starts, edges, hops).filter("hop > 0")
-    met = found.join(nodes.filter("NOT coalesce(internal, false)") if "internal" in nodes.columns else nodes, "node")
-    return met.groupBy("sid").agg(F.countDistinct("node").alias("syms"), F.countDistinct("file").alias("files"), F.array_sort(F.collect_set("repo")).alias("repos"))
+    met = nodes.filter("NOT coalesce(internal, false)") if "internal" in nodes.columns else nodes
+    tallies = reached_by(packed(edges), starts.select("sid", "node"), met.select("node", "file", "repo"), hops)
+    repos = F.array_sort(F.collect_set(F.when(F.col("of") == "repo", F.col("value"))).cast(f"array<{nodes.schema['repo'].dataType.simpleString()}>"))
+    return tallies.groupBy("sid").agg(F.sum(F.when(F.col("of") == "", F.col("n"))).alias("syms"), F.count_if(F.col("of") == "file").alias("files"), repos.alias("repos"))
 
 
 def dependent_counts(edges: DataFrame, nodes: DataFrame, words: int = 1024) -> DataFrame:
     """(node, syms, files, repos): how many nodes, files and repos lead to each of nodes(node, file, repo), by any number of hops.
 
-    The starts are numbered; a node has a bit for each start that it leads to, 64 a row, joined by OR along the edges until no
-    bit is new. So many rows of bits (``words``) go at a time: a round has as many rows a node at most, where single pairs
-    would be 64 times as many, and starts beyond that take further passes. A node on a cycle isn't its own dependent.
+    A task holds the edges of one block and 4096 x ``words`` starts that their targets lead to at a time. A node on a cycle isn't its
+    own dependent.
     """
-    back = cut(edges.filter("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("_next")).distinct())
-    starts = back.select("node").distinct().join(nodes.select("node").distinct(), "node", "left_semi").withColumn("_one", F.lit(1))
-    numbered = cut(running_total(starts, "node", "_one", "number").select("node", "number"))
-    many = numbered.count()
-    counts = nodes.sparkSession.createDataFrame([], f"node {nodes.schema['node'].dataType.simpleString()}, syms bigint, files bigint, repos bigint")
-    for first in range(0, many, 64 * words):
-        batch = numbered.filter((F.col("number") >= first) & (F.col("number") < first + 64 * words)).withColumn("word", F.floor(F.col("number") / 64))
-        mark = batch.select("node", "word", F.expr("shiftleft(1L, cast(number % 64 AS int))").alias("bits"))
-        fresh, seen = cut(mark), None
-        while not fresh.isEmpty():
-            seen = fresh if seen is None else cut(seen.unionByName(fresh).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))
-            moved = fresh.join(back, "node").groupBy(F.col("_next").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
-            had = seen.select("node", "word", F.col("bits").alias("_had"))
-            new = moved.join(had, ["node", "word"], "left").withColumn("bits", F.expr("bits & ~coalesce(_had, 0L)"))
-            fresh = cut(new.filter("bits <> 0").select("node", "word", "bits"))
-        own = seen.join(mark.withColumnRenamed("bits", "_own"), ["node", "word"], "left").withColumn("bits", F.expr("bits & ~coalesce(_own, 0L)"))
-        met = own.join(nodes.select("node", "file", "repo"), "node")
-        found = None
-        for of, name in (("node", "syms"), ("file", "files"), ("repo", "repos")):
-            by = met.groupBy("word", of).agg(F.bit_or("bits").alias("bits")).filter(F.col(of).isNotNull())
-            ones = by.select("word", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)).alias("bit")).groupBy("word", "bit").agg(F.count("*").alias(name))
-            found = ones if found is None else found.join(ones, ["word", "bit"], "left")
-        named = batch.withColumn("bit", (F.col("number") % 64).cast("int")).join(found, ["word", "bit"], "left")
-        counts = counts.unionByName(cut(named.select("node", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("syms", "files", "repos")])))
-    return counts
+    blocks = packed(edges)
+    tallies = reached_by(blocks, values=nodes.select("node", "file", "repo"), words=words)
+    of = lambda name: F.col("of") == name
+    counts = tallies.groupBy(F.col("sid").alias("node")).agg(F.sum(F.when(of(""), F.col("n"))).alias("syms"), F.count_if(of("file")).alias("files"), F.count_if(of("repo")).alias("repos"))
+    starts = blocks.select(F.explode("dsts").alias("node")).distinct().join(nodes.select("node").distinct(), "node", "left_semi")
+    return starts.join(counts, "node", "left").select("node", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("syms", "files", "repos")])
 
 
 def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.scalars import round_half_away
 from changeloom.operators import graph
+from changeloom.operators.labels import packed, reached_by
 from changeloom.operators.members import resolved_aliases
 from changeloom.operators.windows import percentile_below
 from changeloom.queries import query, table
@@ -25,11 +26,31 @@ def _nations(spark, sf):
 
 def _chain(spark, sf):
     """Customers depend on the parts they buy, parts on those who supply them."""
+    return _chain_numbers(spark, sf).distinct().select(_name("src").alias("src"), _name("dst").alias("dst"))
+
+
+def _chain_numbers(spark, sf):
+    """The chain's edges by numbers of nodes, with copies."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    p = F.concat(F.lit("p"), "l_partkey")
-    first = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), "o_custkey").alias("src"), p.alias("dst"))
-    return first.unionByName(lines.select(p.alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))).distinct()
+    first = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(_number("c", "o_custkey").alias("src"), _number("p", "l_partkey").alias("dst"))
+    return first.unionByName(lines.select(_number("p", "l_partkey").alias("src"), _number("s", "l_suppkey").alias("dst")))
+
+
+def _number(letter, key):
+    """A node's number, three to a key: a third of its name's size."""
+    return F.col(key).cast("bigint") * 3 + "cps".index(letter)
+
+
+def _name(number):
+    kind = F.pmod(F.col(number), F.lit(3))
+    return F.concat(F.substring(F.lit("cps"), kind.cast("int") + 1, F.lit(1)), F.expr(f"({number} - pmod({number}, 3)) div 3"))
+
+
+def _ends(spark, sf):
+    """All numbers that the chain may have."""
+    of = lambda t, letter, key: table(spark, sf, t).select(_number(letter, key).alias("node")).distinct()
+    return of("orders", "c", "o_custkey").unionByName(of("lineitem", "p", "l_partkey")).unionByName(of("lineitem", "s", "l_suppkey"))
 
 
 _EDGES = """e AS (SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
@@ -139,10 +160,9 @@ def percentile_at_tolerance(spark, sf):
 @query(f"""WITH {_CHAIN}, d AS (SELECT DISTINCT dst AS node, src AS up FROM e), t AS (SELECT * FROM d UNION SELECT a.node, b.up FROM d a JOIN d b ON b.node = a.up)
 SELECT node, count(*) AS syms, count(DISTINCT right(up, 2)) AS files, count(DISTINCT left(up, 1)) AS repos FROM t GROUP BY node""")
 def dependents_of_all(spark, sf):
-    """What depends on each node that anything depends on, by bits of starts."""
-    edges = _chain(spark, sf)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return graph.dependent_counts(edges, nodes.select("node", F.right("node", F.lit(2)).alias("file"), F.left("node", F.lit(1)).alias("repo")))
+    """What depends on each node that anything depends on."""
+    nodes = _ends(spark, sf).select("node", F.right(_name("node"), F.lit(2)).alias("file"), F.left(_name("node"), F.lit(1)).alias("repo"))
+    return graph.dependent_counts(_chain_numbers(spark, sf), nodes).withColumn("node", _name("node"))
 
 
 @query("""
