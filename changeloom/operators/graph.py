@@ -50,22 +50,35 @@ def shares(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, d: float = 0.85, rounds: int = 200, tol: float = 1e-10, fixed: int | None = None) -> DataFrame:
     """(id, pr) of nodes(id, share?) and edges(src, dst, w): weighted, personalised, ranks of nodes without edges spread.
 
-    A round is one join, one sum and one write of the ranks; two numbers come to the driver: what is lost in nodes
-    without edges, and how far the ranks have moved. It stops below tol, or after ``fixed`` rounds.
+    Nodes that nothing leads to all have the same multiple of their teleport in a round, so their edges are summed once, and a round
+    joins only edges between others: it is one join, if there are such edges, one sum and one write of the ranks of nodes that
+    something leads to. Two numbers come to the driver: what is lost in nodes without edges, and how far the ranks have moved. It
+    stops below tol, or after ``fixed`` rounds.
     """
     tele = teleport(nodes if "share" in nodes.columns else nodes.withColumn("share", F.lit(None).cast("double")))
     flow = cut(shares(edges))
+    led = flow.groupBy(F.col("dst").alias("id")).agg(F.lit(True).alias("led"))
     sources = flow.select(F.col("src").alias("id")).distinct().withColumn("_flows", F.lit(True))
-    state = tele.join(sources, "id", "left").select("id", "tele", F.coalesce("_flows", F.lit(False)).alias("flows"), F.col("tele").alias("pr"), F.lit(1.0).alias("last"))
+    known = cut(tele.join(sources, "id", "left").join(led, "id", "left").select("id", "tele", F.coalesce("_flows", F.lit(False)).alias("flows"), F.coalesce("led", F.lit(False)).alias("led")))
+    base = flow.join(known.filter("flows AND NOT led").select(F.col("id").alias("src"), "tele"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("tele") * F.col("p")).alias("base"))
+    between = known.filter("flows AND led").select(F.col("id").alias("src"))
+    none = between.isEmpty()
+    inner = None if none else cut(flow.join(between, "src", "left_semi").select("src", "dst", "p"))
+    free, gone = known.filter("NOT led").agg(F.coalesce(F.sum("tele"), F.lit(0.0)), F.coalesce(F.sum(F.when(~F.col("flows"), F.col("tele"))), F.lit(0.0))).first()
+    state = known.filter("led").join(base, "id", "left").select("id", "tele", "flows", F.coalesce("base", F.lit(0.0)).alias("base"), F.col("tele").alias("pr"), F.lit(1.0).alias("last"))
+    times, before = 1.0, None  # the multiple of those that nothing leads to, in this round and the last
     for i in range(fixed or rounds):
         state = cut(state)
-        lost, moved = state.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("pr"))), F.lit(0.0)), F.sum(F.abs(F.col("pr") - F.col("last")))).first()
+        lost, moved = state.agg(F.coalesce(F.sum(F.when(~F.col("flows"), F.col("pr"))), F.lit(0.0)), F.coalesce(F.sum(F.abs(F.col("pr") - F.col("last"))), F.lit(0.0))).first()
+        lost, moved = lost + times * gone, moved + (0.0 if before is None else abs(times - before) * free)
         if fixed is None and i and moved < tol:
             break
-        got = state.join(flow, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pr") * F.col("p")).alias("_in"))
-        next_ = (1 - d) * F.col("tele") + d * float(lost) * F.col("tele") + d * F.coalesce("_in", F.lit(0.0))
-        state = state.join(got, F.col("id") == F.col("dst"), "left").select("id", "tele", "flows", next_.alias("pr"), F.col("pr").alias("last"))
-    return state.select("id", "pr")
+        got = state if none else state.join(state.join(inner, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("pr") * F.col("p")).alias("_in")), F.col("id") == F.col("dst"), "left")
+        into = times * F.col("base") + (F.lit(0.0) if none else F.coalesce("_in", F.lit(0.0)))
+        next_ = (1 - d) * F.col("tele") + d * float(lost) * F.col("tele") + d * into
+        state = got.select("id", "tele", "flows", "base", next_.alias("pr"), F.col("pr").alias("last"))
+        times, before = (1 - d) + d * float(lost), times
+    return known.filter("NOT led").select("id", (F.lit(float(times)) * F.col("tele")).alias("pr")).unionByName(state.select("id", "pr"))
 
 
 def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from changeloom.operators import labels
+from changeloom.operators import graph, labels
 
 
 def closure(edges, hops=None):
@@ -63,3 +63,24 @@ def test_a_long_line_and_several_nodes_of_a_label(spark):
     line = spark.createDataFrame([(i, i + 1) for i in range(20)], "src int, dst int")
     got = {r["sid"]: r["n"] for r in labels.reached_by(labels.packed(line), spark.createDataFrame([("x", 20), ("x", 10), ("y", 3)], "sid string, node int"), words=1).collect()}
     assert got == {"x": 19, "y": 3}  # 10 and 20 count by others only
+
+
+@pytest.mark.parametrize("fixed", [1, 2, 6, None])
+def test_ranks_are_those_of_all_nodes_moved(spark, fixed):
+    """Nodes that nothing leads to aren't moved one by one, nor is an edge between them and others joined again; the ranks are the same."""
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(40), rng.randrange(25, 60)) for _ in range(90)})
+    edges = [(a, b, 1.0 + (a * b) % 5) for a, b in pairs if a != b] + [(99, 30, 2.0), (3, 98, 1.0)]  # 98 and 99 aren't nodes
+    share = {7: 0.2, 50: 0.1}
+    out = {a: sum(w for x, _, w in edges if x == a) for a, _, _ in edges}
+    tele = {i: share.get(i, (1 - 0.3) / 58) for i in range(60)}
+    pr = dict(tele)
+    for n in range(fixed or 200):
+        lost = sum(pr[i] for i in pr if i not in out)
+        next_ = {i: 0.15 * tele[i] + 0.85 * lost * tele[i] + 0.85 * sum(pr[a] * w / out[a] for a, b, w in edges if b == i and a in pr) for i in pr}
+        far, pr = sum(abs(next_[i] - pr[i]) for i in pr), next_
+        if fixed is None and far < 1e-10:
+            break
+    nodes = spark.createDataFrame([(i, share.get(i)) for i in range(60)], "id int, share double")
+    got = {r["id"]: r["pr"] for r in graph.pagerank(nodes, spark.createDataFrame(edges, "src int, dst int, w double"), fixed=fixed).collect()}
+    assert got.keys() == pr.keys() and all(abs(got[i] - pr[i]) < 1e-12 for i in pr)
