@@ -114,9 +114,10 @@ h1 AS (SELECT sid, src AS node FROM s JOIN e ON e.dst = sid), h2 AS (SELECT sid,
 u AS (SELECT * FROM h1 UNION SELECT * FROM h2)
 SELECT sid, count(*) FILTER (node LIKE 'p%') AS parts, count(*) FILTER (node LIKE 'c%') AS customers FROM u GROUP BY sid""")
 def reach_2hop_counts(spark, sf):
-    starts = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("sid")).withColumn("node", F.col("sid"))
-    found = graph.reach(starts, _chain(spark, sf), 2).filter("hop > 0")
-    return found.groupBy("sid").agg(F.count_if(F.col("node").startswith("p")).alias("parts"), F.count_if(F.col("node").startswith("c")).alias("customers"))
+    starts = table(spark, sf, "supplier").select(_number("s", "s_suppkey").alias("sid")).withColumn("node", F.col("sid"))
+    found = reached_by(packed(_chain_numbers(spark, sf)), starts, _ends(spark, sf).select("node", F.left(_name("node"), F.lit(1)).alias("letter")), 2)
+    of = lambda letter: F.coalesce(F.sum(F.when((F.col("of") == "letter") & (F.col("value") == letter), F.col("n"))), F.lit(0))
+    return found.groupBy("sid").agg(of("p").alias("parts"), of("c").alias("customers")).select(_name("sid").alias("sid"), "parts", "customers")
 
 
 @query(f"""WITH {_CHAIN}, s AS (SELECT 's' || s_suppkey AS node, 'n' || s_nationkey % 5 AS tag, 60 + s_nationkey AS score FROM supplier),

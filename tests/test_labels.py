@@ -84,3 +84,18 @@ def test_ranks_are_those_of_all_nodes_moved(spark, fixed):
     nodes = spark.createDataFrame([(i, share.get(i)) for i in range(60)], "id int, share double")
     got = {r["id"]: r["pr"] for r in graph.pagerank(nodes, spark.createDataFrame(edges, "src int, dst int, w double"), fixed=fixed).collect()}
     assert got.keys() == pr.keys() and all(abs(got[i] - pr[i]) < 1e-12 for i in pr)
+
+
+def test_two_hops_make_no_row_for_each_pair(spark, tmp_path):
+    """Suppliers' counts come from tallies of blocks; edges are read with copies and as numbers."""
+    from changeloom.queries import graphs
+
+    lines = [(o, p, s) for o in range(6) for p, s in ((o % 3, 0), (o % 3, 1), (3, o % 2), (3, o % 2))]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, 10 + o // 2) for o in range(6)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0,), (1,), (2,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = closure({(f"c{10 + o // 2}", f"p{p}") for o, p, _ in lines} | {(f"p{p}", f"s{s}") for _, p, s in lines}, 2)
+    want = {s: (sum(x[0] == "p" for y, x in pairs if y == s), sum(x[0] == "c" for y, x in pairs if y == s)) for s, _ in pairs if s[0] == "s"}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(graph, "reach", None)  # no longer asked for pairs
+        assert {r["sid"]: (r["parts"], r["customers"]) for r in graphs.reach_2hop_counts(spark, str(tmp_path)).collect()} == want
