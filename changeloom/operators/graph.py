@@ -139,6 +139,11 @@ def direct_callers(edges: DataFrame, transparent: DataFrame) -> DataFrame:
     return real.select("node", "caller").filter("node <> caller").distinct()
 
 
+def caller_counts(edges: DataFrame, transparent: DataFrame) -> DataFrame:
+    """(node, callers): how many pairs ``direct_callers`` has of each node, without making them."""
+    return reached_by(packed(edges), clear=transparent.select("node")).select(F.col("sid").alias("node"), F.col("n").alias("callers"))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, hops: int, decay: float, silent: DataFrame | None = None) -> DataFrame:
     """(node, tag, score, hop): tags of seeds(node, tag, score) carried to those that lead to them, at most so many hops;
     the fewest hops count, and a score falls to score * (1 - decay * hop), rounded. silent(node): nodes that pass tags on but

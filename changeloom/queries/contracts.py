@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from changeloom.operators import contracts, graph, hierarchy, members, reports
 from changeloom.queries import query, table
-from changeloom.queries.graphs import _CHAIN, _chain
+from changeloom.queries.graphs import _CHAIN, _chain, _chain_numbers, _name, _number
+from changeloom.session import cut
 
 
 @query("""WITH o AS (SELECT page_id, url FROM pages)
@@ -140,8 +141,8 @@ n AS (SELECT 'p' || p_partkey AS node, p_brand AS file, 'parts' AS repo FROM par
 SELECT sid, count(DISTINCT node) AS syms, count(DISTINCT file) AS files, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM u JOIN n USING (node) GROUP BY sid""")
 def dependents(spark, sf):
     """What depends on every fifth supplier; small parts are internal."""
-    p = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_brand").alias("file"), F.lit("parts").alias("repo"), (F.col("p_size") <= 3).alias("internal"))
-    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("file"), F.lit("customers").alias("repo"), F.lit(False).alias("internal"))
-    starts = table(spark, sf, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("sid")).withColumn("node", F.col("sid"))
-    made = graph.dependents(starts, _chain(spark, sf), p.unionByName(c), 2)
-    return made.select("sid", "syms", "files", F.concat_ws(",", "repos").alias("repos"))
+    p = table(spark, sf, "part").select(_number("p", "p_partkey").alias("node"), F.col("p_brand").alias("file"), F.lit("parts").alias("repo"), (F.col("p_size") <= 3).alias("internal"))
+    c = table(spark, sf, "customer").select(_number("c", "c_custkey").alias("node"), F.col("c_mktsegment").alias("file"), F.lit("customers").alias("repo"), F.lit(False).alias("internal"))
+    starts = table(spark, sf, "supplier").filter("s_suppkey % 5 = 0").select(_number("s", "s_suppkey").alias("sid")).withColumn("node", F.col("sid"))
+    made = graph.dependents(starts, _chain_numbers(spark, sf), p.unionByName(c), 2)
+    return made.select(_name("sid").alias("sid"), "syms", "files", F.concat_ws(",", "repos").alias("repos"))

@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from changeloom.operators import graph, labels
 
@@ -99,3 +100,23 @@ def test_two_hops_make_no_row_for_each_pair(spark, tmp_path):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(graph, "reach", None)  # no longer asked for pairs
         assert {r["sid"]: (r["parts"], r["customers"]) for r in graphs.reach_2hop_counts(spark, str(tmp_path)).collect()} == want
+
+
+def test_dependents_and_callers_make_no_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)}
+    df, clear = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame([(f"n{i}",) for i in range(0, 30, 3)], "node string")
+    want = {}
+    for r in graph.direct_callers(df, clear).collect():
+        want[r["node"]] = want.get(r["node"], 0) + 1
+    monkeypatch.setattr(graph, "reach", None)
+    monkeypatch.setattr(graph, "direct_callers", None)
+    assert {r["node"]: r["callers"] for r in graph.caller_counts(df, clear).collect()} == want
+    nodes = spark.createDataFrame([(f"n{i}", f"f{i % 4}", f"r{i % 2}", i % 5 == 0) for i in range(30)], "node string, file string, repo string, internal boolean")
+    starts = clear.select("node", F.col("node").alias("sid"))
+    found = {}
+    for s, x in closure(edges, 2):
+        if int(s[1:]) % 3 == 0 and int(x[1:]) % 5:
+            found.setdefault(s, set()).add(int(x[1:]))
+    got = {r["sid"]: (r["syms"], r["files"], r["repos"]) for r in graph.dependents(starts, df, nodes, 2).collect()}
+    assert got == {s: (len(x), len({i % 4 for i in x}), sorted({f"r{i % 2}" for i in x})) for s, x in found.items()}
