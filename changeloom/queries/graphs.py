@@ -136,8 +136,8 @@ v AS (SELECT a.dst AS node, b.src AS caller FROM e a JOIN t ON a.src = t.node JO
 SELECT node, count(DISTINCT caller) AS callers FROM (SELECT * FROM d UNION SELECT * FROM v) GROUP BY node""")
 def direct_callers_skip(spark, sf):
     """Small parts are seen through: who buys them calls their suppliers."""
-    clear = table(spark, sf, "part").filter("p_size < 10").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
-    return graph.direct_callers(_chain(spark, sf), clear).groupBy("node").agg(F.count("*").alias("callers"))
+    clear = table(spark, sf, "part").filter("p_size < 10").select(_number("p", "p_partkey").alias("node"))
+    return graph.caller_counts(_chain_numbers(spark, sf), clear).select(_name("node").alias("node"), "callers")
 
 
 @query("""SELECT c_custkey, 100e0 * (rank() OVER (ORDER BY c_acctbal) - 1) / count(*) OVER () AS percentile FROM customer""")
