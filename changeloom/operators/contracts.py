@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.patterns import map_glob
 from changeloom.functions.scalars import ancestors, normal_operation
-from changeloom.operators.graph import reach
 from changeloom.operators.joins import best_match
+from changeloom.operators.labels import carried, packed
 
 
 def segments(path: Column) -> Column:
@@ -98,7 +98,8 @@ def sink_hits(nodes: DataFrame, edges: DataFrame, sinks: list[dict]) -> DataFram
     A sink has an id, a score, expressions ``callee`` for keys, and perhaps categories, which count for the caller.
     """
     eligible = nodes.filter(~F.col("kind").isin(MENTIONS)).select(F.col("key").alias("node"), "category")
-    keys = eligible.select("node", "category", F.col("node").alias("_callee")).unionByName(edges.select(F.col("src").alias("node"), F.col("dst").alias("_callee")).join(eligible, "node"))
+    any_ = reduce(or_, [F.col("dst").rlike(x) for s in sinks for x in s["callee"]], F.lit(False))  # other edges need no join
+    keys = eligible.select("node", "category", F.col("node").alias("_callee")).unionByName(edges.filter(any_).select(F.col("src").alias("node"), F.col("dst").alias("_callee")).join(eligible, "node"))
     made = []
     for s in sinks:
         holds = reduce(or_, [F.col("_callee").rlike(x) for x in s["callee"]])
@@ -115,7 +116,5 @@ def serve_tags(tags: DataFrame, operations: DataFrame, edges: DataFrame, hops: i
     the operation, at most so many hops.
     """
     strong = tags.join(operations.select("node").distinct(), "node", "left_semi").filter(F.col("score") >= least)
-    turned = edges.filter(F.col("kind").isin("contract", "impl")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reached = reach(strong.select(F.col("node").alias("sid"), "node").distinct(), turned, hops).filter("hop > 0")
-    met = reached.join(strong.select(F.col("node").alias("sid"), "tag", "score"), "sid")
+    met = carried(packed(edges.filter(F.col("kind").isin("contract", "impl"))), strong, hops)
     return met.groupBy("node", F.concat(F.lit("serves:"), F.col("tag")).alias("tag")).agg((F.max("score") - less).alias("score"))

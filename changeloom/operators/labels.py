@@ -243,3 +243,60 @@ def reached_by(blocks: DataFrame, marks: DataFrame | None = None, values: DataFr
         every = every.withColumn("values", F.lit(None).cast("array<string>")).unionByName(texts)
     made = _met(blocks, every, sizes(seen), lambda x, y: _tallies(x, y, columns), f"sid {label}, of string, value string, n bigint", words)
     return made.repartition("sid").groupBy("sid", "of", "value").agg(F.sum("n").alias("n"))
+
+
+def _carried(sent: pa.Table, edges: pa.Table) -> pa.Table:
+    """(node, tag, score, lo, hi) of a block: the tags of its sources at their targets, with two of their starts."""
+    made, names = [sent.select(["node", "tag", "score", "lo", "hi"]).slice(0, 0)], ["node", "tag", "score", "lo", "hi"]
+    if sent.num_rows and edges.num_rows:
+        srcs, degrees, dsts, ends = (_one(edges[c]).flatten() for c in ("srcs", "degrees", "dsts", "ends"))
+        sent, ends = sent.combine_chunks(), ends.to_numpy()
+        tag, score = (_one(sent[c]).dictionary_encode() for c in ("tag", "score"))
+        kind = tag.indices.to_numpy().astype(np.int64) * len(score.dictionary) + score.indices.to_numpy()
+        kinds = len(tag.dictionary) * len(score.dictionary)
+        starts = pa.concat_arrays([_one(sent["lo"]), _one(sent["hi"])]).dictionary_encode()
+        lo, hi = np.split(starts.indices.to_numpy(), 2)
+        code = pc.index_in(_one(sent["node"]), srcs).to_numpy(zero_copy_only=False).astype(np.int64)
+        at, first, size = _lines(code, np.arange(len(code)), np.ones(len(code), np.int64), len(srcs))
+        src = np.repeat(np.arange(len(srcs)), degrees.to_numpy())
+        keep = size[src] > 0
+        src, ends = src[keep], ends[keep]
+        upto, i = np.cumsum(size[src]), 0
+        while i < len(src):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PATHS, "right")))
+            row = at[_ranges(first[src[i:j]], size[src[i:j]])]
+            key = np.repeat(ends[i:j].astype(np.int64), size[src[i:j]]) * kinds + kind[row]
+            order = np.argsort(key)
+            key, row = key[order], row[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            key, least, most = key[new], np.minimum.reduceat(lo[row], new), np.maximum.reduceat(hi[row], new)
+            of = key % kinds
+            columns = [(dsts, key // kinds), (tag.dictionary, of // len(score.dictionary)), (score.dictionary, of % len(score.dictionary)), (starts.dictionary, least), (starts.dictionary, most)]
+            made.append(pa.table([x.take(pa.array(y)) for x, y in columns], names))
+            i = j
+    return pa.concat_tables(made)
+
+
+def carried(blocks: DataFrame, tags: DataFrame, hops: int) -> DataFrame:
+    """(node, tag, score): tags(node, tag, score) at all nodes that their nodes lead to along the edges of packed(), by at most so many hops;
+    a node's own tags count by others only.
+
+    A row has a node's tag with one score and two of the nodes that it comes from, or one: two tell for any node whether another has it.
+    In a round blocks get what is new at their sources, and no edge leaves them.
+    """
+    homes = blocks.select("block", F.explode("srcs").alias("node"))
+    kind = lambda c: tags.schema[c].dataType.simpleString()
+    schema = f"node {kind('node')}, tag {kind('tag')}, score {kind('score')}, lo {kind('node')}, hi {kind('node')}"
+    key = ["node", "tag", "score"]
+    level = cut(tags.select(*key).filter("node IS NOT NULL AND tag IS NOT NULL AND score IS NOT NULL").distinct().select(*key, F.col("node").alias("lo"), F.col("node").alias("hi")))
+    every = level
+    for _ in range(hops):
+        sent = homes.join(level, "node").select("block", *level.columns)
+        edges = blocks.withColumnRenamed("block", "_block")
+        moved = sent.groupBy("block").cogroup(edges.groupBy("_block")).applyInArrow(_carried, schema).groupBy(*key).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        had = every.groupBy(*key).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+        level = cut(moved.join(had, key, "left").filter("_lo IS NULL OR _lo = _hi AND (lo <> _lo OR hi <> _hi)").select(*key, F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi")), measured=True)
+        if level.isEmpty():
+            break
+        every = every.unionByName(level)
+    return every.filter("lo <> hi OR lo <> node").select(*key).distinct()

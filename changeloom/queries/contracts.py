@@ -40,8 +40,10 @@ r AS (SELECT * FROM h1 UNION SELECT * FROM h2)
 SELECT r.node, 'serves:' || tag AS tag, max(score) - 5 AS score FROM r JOIN sinks ON sinks.node = sid WHERE score >= 40 AND r.node <> sid GROUP BY ALL""")
 def serve_tags(spark, sf):
     """Tagged nodes as operations: what they depend on implements them."""
-    tags = _sinks(spark, sf)
-    return contracts.serve_tags(tags, tags.select("node"), _chain(spark, sf).withColumn("kind", F.lit("impl")))
+    letter, key = F.left("node", F.lit(1)), F.expr("cast(substring(node, 2) AS bigint)")
+    tags = cut(_sinks(spark, sf).select((key * 3 + F.instr(F.lit("cps"), letter) - 1).alias("node"), "tag", "score"))
+    made = contracts.serve_tags(tags, tags.select("node"), _chain_numbers(spark, sf).withColumn("kind", F.lit("impl")))
+    return made.withColumn("node", _name("node"))
 
 
 _OPS = """o AS (SELECT 'op' || n_nationkey AS src, n_regionkey AS dir, lower(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g')) AS op FROM nation),

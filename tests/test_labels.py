@@ -120,3 +120,21 @@ def test_dependents_and_callers_make_no_pairs(spark, monkeypatch):
             found.setdefault(s, set()).add(int(x[1:]))
     got = {r["sid"]: (r["syms"], r["files"], r["repos"]) for r in graph.dependents(starts, df, nodes, 2).collect()}
     assert got == {s: (len(x), len({i % 4 for i in x}), sorted({f"r{i % 2}" for i in x})) for s, x in found.items()}
+
+
+def test_tags_are_carried_without_their_starts(spark, monkeypatch):
+    """A node's own tag counts by others only, also round a cycle; the highest score of the starts counts."""
+    from changeloom.operators import contracts
+
+    rng = random.Random(9)
+    edges = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(32)} | {("a", "b"), ("b", "a")}
+    tags = [(f"n{i}", t, s) for i in range(25) for t, s in (("x", 40 + i % 3), ("y", 90), ("x", 10)) if (i + len(t + str(s))) % 2] + [("a", "z", 50)]
+    want = {}
+    for x, s in closure({(b, a) for a, b in edges}, 3):  # s leads from x
+        for n, t, score in tags:
+            if n == x and score >= 40:
+                want[s, "serves:" + t] = max(want.get((s, "serves:" + t), 0), score - 5)
+    df, ops = spark.createDataFrame(tags, "node string, tag string, score int"), spark.createDataFrame([(n,) for n, _, _ in tags], "node string")
+    made = contracts.serve_tags(df, ops, spark.createDataFrame([(*e, "impl") for e in sorted(edges)] + [("a", "n1", "call")], "src string, dst string, kind string"))
+    assert not hasattr(contracts, "reach")  # pairs of starts and nodes aren't asked for
+    assert {(r["node"], r["tag"]): r["score"] for r in made.collect()} == want and ("a", "serves:z") not in want
