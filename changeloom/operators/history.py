@@ -107,26 +107,26 @@ def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
     joins as its length has bits. Then the other parents of what was reached start lines of their own, until none is new: as
     many rounds as branches are merged into branches, not as many as there are commits. Unknown parents end a line.
     """
-    jumps = [cut(commits.filter(F.size("parents") > 0).select("repo", "hash", F.col("parents")[0].alias("to")))]
+    jumps = [cut(commits.filter(F.size("parents") > 0).select("repo", "hash", F.col("parents")[0].alias("to")), measured=True)]
     while True:
         last = jumps[-1]
-        twice = cut(last.join(last.select("repo", F.col("hash").alias("to"), F.col("to").alias("further")), ["repo", "to"]).select("repo", "hash", F.col("further").alias("to")))
+        twice = cut(last.join(last.select("repo", F.col("hash").alias("to"), F.col("to").alias("further")), ["repo", "to"]).select("repo", "hash", F.col("further").alias("to")), measured=True)
         if twice.isEmpty():
             break
         jumps.append(twice)
     merged = commits.filter(F.size("parents") > 1).select("repo", "hash", F.explode(F.slice("parents", F.lit(2), F.size("parents"))).alias("to")).distinct()
     there = commits.select("repo", "hash").distinct()
-    reached, fresh = None, cut(starts.select("repo", "hash").distinct().join(there, ["repo", "hash"], "left_semi"))
+    reached, fresh = None, cut(starts.select("repo", "hash").distinct().join(there, ["repo", "hash"], "left_semi"), measured=True)
     while not fresh.isEmpty():
         line = fresh
         for jump in jumps:
-            line = cut(line.unionByName(line.join(jump, ["repo", "hash"]).select("repo", F.col("to").alias("hash"))).distinct())
+            line = cut(line.unionByName(line.join(jump, ["repo", "hash"]).select("repo", F.col("to").alias("hash"))).distinct(), measured=True)
         line = line.join(there, ["repo", "hash"], "left_semi")
         new = line if reached is None else line.join(reached, ["repo", "hash"], "left_anti")
-        new = cut(new)
-        reached = new if reached is None else cut(reached.unionByName(new))
+        new = cut(new, measured=True)
+        reached = new if reached is None else cut(reached.unionByName(new), measured=True)
         beside = new.join(merged, ["repo", "hash"]).select("repo", F.col("to").alias("hash")).distinct()
-        fresh = cut(beside.join(there, ["repo", "hash"], "left_semi").join(reached, ["repo", "hash"], "left_anti"))
+        fresh = cut(beside.join(there, ["repo", "hash"], "left_semi").join(reached, ["repo", "hash"], "left_anti"), measured=True)
     return fresh if reached is None else reached
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeloom.operators import graph, labels
+from changeloom.session import cut
 
 
 def closure(edges, hops=None):
@@ -138,3 +139,11 @@ def test_tags_are_carried_without_their_starts(spark, monkeypatch):
     made = contracts.serve_tags(df, ops, spark.createDataFrame([(*e, "impl") for e in sorted(edges)] + [("a", "n1", "call")], "src string, dst string, kind string"))
     assert not hasattr(contracts, "reach")  # pairs of starts and nodes aren't asked for
     assert {(r["node"], r["tag"]): r["score"] for r in made.collect()} == want and ("a", "serves:z") not in want
+
+
+def test_sizes_of_a_loop_that_joins_its_last_round(spark):
+    """Each round's estimate was the square of the last one's: after 24 rounds, as in a history of 2^24 commits, millions of digits."""
+    df = spark.range(3)
+    for _ in range(24):
+        df = cut(df.join(df.select((F.col("id") + 0).alias("id")), "id"), measured=True)
+    assert df.count() == 3
